@@ -2,6 +2,6 @@
 SQL can state it. Modules register themselves on import."""
 
 from .base import QUERIES, SQL
-from . import apportionment
+from . import apportionment, elections
 
-__all__ = ["QUERIES", "SQL", "apportionment"]
+__all__ = ["QUERIES", "SQL", "apportionment", "elections"]
