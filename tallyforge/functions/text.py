@@ -14,7 +14,8 @@ from pyspark.sql.types import StringType
 SMALL_KANA = "ァィゥェォヵヶッャュョヮぁぃぅぇぉっゃゅょゎ"
 FULL_KANA = "アイウエオカケツヤユヨワあいうえおつやゆよわ"
 SELECTORS = r"[︀-️]|[\x{E0100}-\x{E01EF}]"
-SPACES = r"[\s\p{Z}]+"
+#: ASCII and Unicode spaces, the control separators included.
+SPACES = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]+"
 
 #: Full-width ASCII and the ideographic space, by rule.
 WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "　"
