@@ -2,6 +2,6 @@
 SQL can state it. Modules register themselves on import."""
 
 from .base import QUERIES, SQL
-from . import apportionment, checks, cleaning, elections
+from . import apportionment, checks, cleaning, elections, relations, shaping
 
-__all__ = ["QUERIES", "SQL", "apportionment", "checks", "cleaning", "elections"]
+__all__ = ["QUERIES", "SQL", "apportionment", "checks", "cleaning", "elections", "relations", "shaping"]

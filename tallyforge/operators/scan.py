@@ -54,14 +54,14 @@ def ordered_rank(df, keys, order, split: Column, out: str = "rank_no") -> DataFr
     cut = df.withColumn("__split", split)
     sizes = cut.groupBy(*keys, "__split").agg(F.count(F.lit(1)).alias("__size"))
     starts = sizes.select(
-        *keys, "__split", F.coalesce(F.sum("__size").over(_before(keys)), F.lit(0)).alias("__start")
+        *keys, "__split", F.coalesce(F.sum("__size").over(_before(keys)), F.lit(0)).alias("__rank_before")
     )
     inside = Window.partitionBy(*keys, "__split").orderBy(*order)
-    local = cut.withColumn("__no", F.row_number().over(inside))
+    local = cut.withColumn("__rank_inside", F.row_number().over(inside))
     return (
         join_null_safe(local, starts, [*keys, "__split"], "inner")
-        .withColumn(out, F.col("__start") + F.col("__no"))
-        .drop("__split", "__no", "__start")
+        .withColumn(out, F.col("__rank_before") + F.col("__rank_inside"))
+        .drop("__split", "__rank_inside", "__rank_before")
     )
 
 
