@@ -9,9 +9,10 @@ Three things keep the job small at scale:
 
 * only quotients that can still win are exploded (`_ceiling`): at most
   S + parties (+ head starts) rows per contest instead of S x parties;
+* a contest with more parties than seats is first cut, inside salted parts, to the
+  parties that can win, so what is ranked together grows with the seats alone;
 * quotients are compared exactly with two 64-bit integers (`with_quotient`), no
-  decimal division and no rounding, for divisors below 2^31;
-* a contest of any width is first cut down inside salted parts (`top_by_group`).
+  decimal division and no rounding, for divisors below 2^31.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import join_null_safe, top_by_group
+from .scan import join_null_safe, salted_cut
 
 DHONDT = "dhondt"
 SAINTE_LAGUE = "sainteLague"
@@ -132,39 +133,50 @@ def apportion(
         _one_of(_col(overhang), (TRUNCATE, EXPAND), "overhang rule").alias("__over"),
     )
     heiyo, renyo = F.col("__link") == HEIYO, F.col("__link") == RENYO
+    none = F.lit(0).cast("bigint")
+    if district_wins:
+        wins = base.groupBy(*contest).agg(F.sum("__smd").alias("__wins"))
+        base = join_null_safe(base, wins, contest, "inner")
+    else:
+        base = base.withColumn("__wins", none)
+    # Compensatory: all district and list seats of the contest are ranked together;
+    # winners without a list keep their seat outside the ranking.
     bounded = (F.col("__exh") == REALLOCATE) & F.lit(capacity is not None)
-    room = F.coalesce(F.col("__cap"), F.lit(0)) + F.when(heiyo, F.col("__smd")).otherwise(F.lit(0))
-    totals = base.groupBy(*contest).agg(
-        # All quotients of a party without votes are zero; such parties tie as a group.
-        F.count_if((F.col("votes") == 0) & (~bounded | (room > 0))).alias("__zero"),
+    wide = (
+        base.withColumn("__target", F.when(heiyo, F.col("__wins") + F.col("__seats")).otherwise(F.col("__seats")))
+        .withColumn("__head", F.when(renyo, F.col("__smd")).otherwise(none))
+        .withColumn(
+            "__room",
+            F.when(
+                bounded,
+                F.least(F.col("__target"), F.coalesce(F.col("__cap"), none) + F.when(heiyo, F.col("__smd")).otherwise(none)),
+            ).otherwise(F.col("__target")),
+        )
+        .where(F.col("__room") > 0)
+        .withColumn("divisor", divisor(F.col("__method"), F.col("__head") + 1, F.col("__tenths")))
+    )
+    # A party behind that many others by its first quotient wins nothing. Two more are
+    # kept so that a tie with the last award is still seen.
+    wide = salted_cut(
+        with_quotient(wide, "votes", "divisor"), contest,
+        [F.col("__q").desc(), F.col("__qf").desc(), F.col("votes").desc(), F.col("party")],
+        F.col("__target") + 2, ["party"], salts,
+    ).drop("__q", "__qf", "divisor")
+    totals = wide.groupBy(*contest).agg(
         F.sum("votes").alias("__total"),
         F.count(F.lit(1)).alias("__parties"),
-        F.sum("__smd").alias("__wins"),
+        F.sum("__head").alias("__heads"),
+        # All quotients of a party without votes are zero; such parties tie as a group.
+        F.count_if(F.col("votes") == 0).alias("__zero"),
+    )
+    wide = join_null_safe(wide, totals, contest, "inner")
+    ceiling = _ceiling(
+        F.col("__method"), F.col("votes").cast("double"), F.col("__head"), F.col("__total").cast("double"),
+        F.col("__parties"), F.col("__heads"), F.col("__target"),
     )
-    wide = join_null_safe(base, totals, contest, "inner")
-    # Compensatory: all district and list seats of the contest are ranked together;
-    # winners without a list keep their seat outside the ranking.
-    wide = wide.withColumn(
-        "__target",
-        F.when(heiyo, F.col("__wins") + F.col("__seats")).otherwise(F.col("__seats")),
-    ).withColumn("__head", F.when(renyo, F.col("__smd")).otherwise(F.lit(0).cast("bigint")))
-    open_limit = F.when(
-        F.col("__total") > 0,
-        F.least(
-            F.col("__target"),
-            _ceiling(
-                F.col("__method"),
-                F.col("votes").cast("double"),
-                F.col("__head"),
-                F.col("__total").cast("double"),
-                F.col("__parties"),
-                F.when(renyo, F.col("__wins")).otherwise(F.lit(0).cast("bigint")),
-                F.col("__target"),
-            ),
-        ),
-    ).otherwise(F.col("__target"))
     wide = wide.withColumn(
-        "__limit", F.when(bounded, F.least(F.col("__target"), room)).otherwise(open_limit)
+        "__limit",
+        F.when(bounded | (F.col("__total") == 0), F.col("__room")).otherwise(F.least(F.col("__room"), ceiling)),
     )
     steps = wide.where(F.col("__limit") > 0).select(
         "*", F.explode(F.expr("sequence(1L, __limit)")).alias("seat_no")
@@ -178,16 +190,17 @@ def apportion(
         "divisor",
     )
     order = [F.col("__q").desc(), F.col("__qf").desc(), F.col("votes").desc(), F.col("party"), F.col("seat_no")]
-    ranked = top_by_group(
-        steps, contest, order, F.col("__target"), ["party"], "__rn", salts, spare=2
-    )
     same_quotient = Window.partitionBy(*contest, "__q", "__qf")
-    ranked = ranked.withColumn(
-        "__shared",
-        F.when(F.col("votes") == 0, F.col("__zero") > 1).otherwise(
-            F.min("party").over(same_quotient) != F.max("party").over(same_quotient)
-        ),
-    ).where(F.col("__rn") <= F.col("__target"))
+    ranked = (
+        steps.withColumn("__rn", F.row_number().over(Window.partitionBy(*contest).orderBy(*order)))
+        .withColumn(
+            "__shared",
+            F.when(F.col("votes") == 0, F.col("__zero") > 1).otherwise(
+                F.min("party").over(same_quotient) != F.max("party").over(same_quotient)
+            ),
+        )
+        .where(F.col("__rn") <= F.col("__target"))
+    )
     by_rank = Window.partitionBy(*contest).orderBy("__rn")
     is_list = F.when(heiyo, F.col("seat_no") > F.col("__smd")).otherwise(F.lit(True))
     ranked = ranked.withColumn(

@@ -69,25 +69,27 @@ def first_parcels(candidates: DataFrame, keys: Sequence[str], layers: DataFrame,
     joined = candidates.select(*keys, "name", "party", "votes").join(
         layers.select(F.col("voter").alias("party"), "layer", "weight"), "party", "left"
     ).join(known, "party", "left")
-    weighted = F.col("votes").cast("decimal(26,8)") * F.coalesce(F.col("weight"), F.lit(100)).cast("decimal(5,0)") / F.lit(100).cast("decimal(3,0)")
+    hundred = F.lit(100).cast("decimal(3,0)")
+    weighted = F.col("votes").cast("decimal(26,8)") * F.coalesce(F.col("weight").cast("decimal(5,0)"), hundred) / hundred
     return joined.select(
-        *keys, "name", "party", F.col("party").alias("src"), F.coalesce("layer", F.lit(0)).alias("layer"),
+        *keys, F.lit(1).alias("round"), "name", "party", F.col("party").alias("src"), F.coalesce("layer", F.lit(0)).alias("layer"),
         F.when(F.col("layer").isNotNull(), "layers").when(F.col("__known"), "even").otherwise("none").alias("route"),
         weighted.cast(VOTES).alias("votes"), F.lit(1).cast("bigint").alias("pieces"),
         F.coalesce("layer", F.lit(0)).cast("bigint").alias("seq"),
     )
 
 
-def _standing(parcels: DataFrame, keys: Sequence[str], no: int) -> DataFrame:
-    totals = parcels.groupBy(*keys, "name", "party").agg(F.sum("votes").cast(VOTES).alias("votes"))
-    verdict = totals.groupBy(*keys).agg(
+def _standing(parcels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    by = [*keys, "round"]
+    totals = parcels.groupBy(*by, "name", "party").agg(F.sum("votes").cast(VOTES).alias("votes"))
+    verdict = totals.groupBy(*by).agg(
         F.sum("votes").alias("__all"), F.count(F.lit(1)).alias("__n"),
         F.min(F.struct((-F.col("votes")).alias("v"), "name")).alias("__lead"),
         F.min(F.struct("votes", "party", "name")).alias("__lose"),
     )
     decided = (F.col("__n") == 1) | (-F.col("__lead.v") * 2 > F.col("__all"))
-    return join_null_safe(totals, verdict, keys, "inner").select(
-        *keys, F.lit(no).alias("round"), "name", "party", "votes",
+    return join_null_safe(totals, verdict, by, "inner").select(
+        *by, "name", "party", "votes",
         F.when(F.col("__all") > 0, F.col("votes").cast("double") / F.col("__all").cast("double") * 100).otherwise(0.0).alias("share"),
         (F.col("name") == F.col("__lead.name")).alias("leader"),
         ((F.col("name") == F.col("__lose.name")) & (F.col("party") == F.col("__lose.party"))).alias("loser"),
@@ -95,13 +97,72 @@ def _standing(parcels: DataFrame, keys: Sequence[str], no: int) -> DataFrame:
     )
 
 
-def runoff(
-    candidates: DataFrame, layers: DataFrame, orderings: DataFrame, keys: Sequence[str]
-) -> Runoff:
+def _redistribute(parcels: DataFrame, standing: DataFrame, accepts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All parcels of the open contests after this round, marked kept, moved or gone."""
+    columns = [*keys, "round", "name", "party", "src", "layer", "route", "votes", "pieces", "seq"]
+    open_rows = standing.where("NOT decided")
+    live = open_rows.where("NOT loser").select(*keys, F.col("name"), "party", F.col("votes").alias("total"))
+    losers = open_rows.where("loser").select(*keys, "name")
+    kept = join_null_safe(parcels, live.select(*keys, "name"), [*keys, "name"], "left_semi")
+    bag = join_null_safe(parcels, losers, [*keys, "name"], "left_semi").drop("name", "party")
+    parties = live.groupBy(*keys, F.col("party").alias("target")).agg(
+        F.sum("total").alias("__base"), F.count(F.lit(1)).alias("__same")
+    )
+    choice = (
+        join_null_safe(
+            bag.where("route = 'layers'").select(*keys, "src", "layer").join(accepts, ["src", "layer"]),
+            parties.select(*keys, "target"), [*keys, "target"], "left_semi",
+        )
+        .groupBy(*keys, "src", "layer")
+        .agg(F.min(F.struct("pos", "target"))["target"].alias("target"))
+    )
+    # A bag is one candidate's parcels (sources x layers), numbered in order of arrival.
+    moved = join_null_safe(bag, choice, [*keys, "src", "layer"], "left").withColumn(
+        "seq", F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "src", "layer")).cast("bigint")
+    )
+    # Receivers: those of the chosen party, or everyone left on the even route.
+    shares = join_null_safe(live.withColumnRenamed("party", "target"), parties, [*keys, "target"], "inner")
+    everyone = live.groupBy(*keys).agg(F.count(F.lit(1)).alias("__same"))
+    even = join_null_safe(live, everyone, keys, "inner").select(
+        *keys, F.lit(None).cast("string").alias("target"), F.lit("even").alias("route"), "name", "party",
+        F.lit(0).cast(VOTES).alias("total"), F.lit(0).cast("decimal(38,10)").alias("__base"), "__same",
+    )
+    receivers = shares.select(
+        *keys, "target", F.lit("layers").alias("route"), "name", F.col("target").alias("party"), "total", "__base", "__same"
+    ).unionByName(even)
+    ratio = F.when(F.col("__base") > 0, F.col("total").cast("double") / F.col("__base").cast("double")).otherwise(
+        F.lit(1.0) / F.col("__same")
+    )
+    part = (
+        F.when(F.col("__same").isNull() | (F.col("__same") == 1), F.col("votes"))
+        .when(F.col("route") == "even", (F.col("votes") / F.col("__same")).cast(VOTES))
+        .otherwise((F.col("votes").cast("double") * ratio).cast(VOTES))
+    )
+    arrived = join_null_safe(moved, receivers, [*keys, "target", "route"], "left").withColumn("votes", part)
+    return kept.select(*columns, F.lit("kept").alias("state")).unionByName(
+        arrived.select(*columns, F.when(F.col("name").isNull(), "gone").otherwise("moved").alias("state"))
+    )
+
+
+def _next_parcels(after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Parcels of one source and layer held by a candidate become one."""
+    arrival = F.when(F.col("state") == "moved", F.col("round") * F.lit(_SEQ_STEP)).otherwise(F.lit(0).cast("bigint"))
+    return after.where("state <> 'gone'").groupBy(
+        *keys, (F.col("round") + 1).alias("round"), "name", "party", "src", "layer", "route"
+    ).agg(
+        F.sum("votes").cast(VOTES).alias("votes"), F.sum("pieces").alias("pieces"),
+        F.min(F.col("seq") + arrival).alias("seq"),
+    )
+
+
+def runoff(candidates: DataFrame, layers: DataFrame, orderings: DataFrame, keys: Sequence[str]) -> Runoff:
     """Instant runoff per contest until a majority of continuing votes or one is left.
 
     candidates: keys, name (unique in a contest), party, votes · layers: voter, layer,
     weight, rejects · orderings: voter, pos, target.
+
+    Two small tables are written per round. The round number is a column, so every
+    round runs the same generated code.
     """
     keys = list(keys)
     # (source, layer) -> targets it would accept, in order: as small as the profile.
@@ -111,79 +172,29 @@ def runoff(
         .select(F.col("voter").alias("src"), "layer", "pos", "target")
     )
     parcels = cut_lineage(first_parcels(candidates, keys, layers, orderings))
-    standings, transfers, exhausted = [], [], []
-    no = 0
+    standings, after = [], []
     while True:
-        no += 1
-        standing = cut_lineage(_standing(parcels, keys, no))
+        standing = cut_lineage(_standing(parcels, keys))
         standings.append(standing)
-        open_rows = standing.where("NOT decided")
-        if open_rows.isEmpty():
+        if standing.where("NOT decided").isEmpty():
             break
-        live = open_rows.where("NOT loser").select(*keys, "name", "party", F.col("votes").alias("total"))
-        losers = open_rows.where("loser").select(*keys, "name")
-        kept = join_null_safe(parcels, live.select(*keys, "name"), [*keys, "name"], "left_semi")
-        bag = join_null_safe(parcels, losers, [*keys, "name"], "left_semi").drop("name", "party")
-        parties = live.groupBy(*keys, "party").agg(F.sum("total").alias("__base"), F.count(F.lit(1)).alias("__same"))
-        choice = (
-            join_null_safe(
-                bag.where("route = 'layers'").select(*keys, "src", "layer").join(accepts, ["src", "layer"]),
-                parties.select(*keys, F.col("party").alias("target")), [*keys, "target"], "left_semi",
-            )
-            .groupBy(*keys, "src", "layer")
-            .agg(F.min(F.struct("pos", "target"))["target"].alias("target"))
-        )
-        moved = cut_lineage(
-            # A bag is one candidate's parcels (sources x layers), numbered in order of arrival.
-            join_null_safe(bag, choice, [*keys, "src", "layer"], "left").withColumn(
-                "seq", F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "src", "layer")).cast("bigint")
-            )
-        )
-        ratio = F.when(F.col("__base") > 0, F.col("total").cast("double") / F.col("__base").cast("double")).otherwise(
-            F.lit(1.0) / F.col("__same")
-        )
-        to_party = join_null_safe(
-            join_null_safe(moved.where("target IS NOT NULL").withColumnRenamed("target", "party"), live, [*keys, "party"], "inner"),
-            parties, [*keys, "party"], "inner",
-        ).withColumn(
-            "votes", F.when(F.col("__same") == 1, F.col("votes")).otherwise((F.col("votes").cast("double") * ratio).cast(VOTES))
-        )
-        count = live.groupBy(*keys).agg(F.count(F.lit(1)).alias("__left"))
-        spread = join_null_safe(
-            join_null_safe(moved.where("route = 'even'"), count, keys, "inner"), live, keys, "inner"
-        ).withColumn("votes", (F.col("votes") / F.col("__left")).cast(VOTES))
-        columns = [*keys, "name", "party", "src", "layer", "route", "votes", "pieces", "seq"]
-        arrived = to_party.select(columns).unionByName(spread.select(columns)).withColumn(
-            "seq", F.col("seq") + F.lit(no * _SEQ_STEP)
-        )
-        parcels = cut_lineage(
-            kept.select(columns).unionByName(arrived).groupBy(*keys, "name", "party", "src", "layer", "route").agg(
-                F.sum("votes").cast(VOTES).alias("votes"), F.sum("pieces").alias("pieces"), F.min("seq").alias("seq")
-            )
-        )
-        transfers.append(
-            moved.where("target IS NOT NULL").groupBy(*keys, F.lit(no).alias("round"), "target").agg(
-                F.sum("pieces").alias("parcels"), F.min("seq").alias("first_seen"), F.sum("votes").alias("votes")
-            )
-        )
-        exhausted.append(
-            moved.where("target IS NULL AND route <> 'even'").groupBy(*keys, F.lit(no).alias("round")).agg(F.sum("votes").alias("votes"))
-        )
-
-    def union(frames, empty):
-        out = empty
-        for f in frames:
-            out = f if out is None else out.unionByName(f)
-        return out
-
-    nothing = standings[0].where("false")
-    return Runoff(
-        keys,
-        union(standings, None),
-        union(transfers, nothing.select(*keys, "round", F.lit("").alias("target"), F.lit(0).cast("bigint").alias("parcels"),
-                                        F.lit(0).cast("bigint").alias("first_seen"), F.lit(0).cast("decimal(38,10)").alias("votes"))),
-        union(exhausted, nothing.select(*keys, "round", F.lit(0).cast("decimal(38,10)").alias("votes"))),
+        state = cut_lineage(_redistribute(parcels, standing, accepts, keys))
+        after.append(state)
+        parcels = _next_parcels(state, keys)
+    everything = standings[0]
+    for s in standings[1:]:
+        everything = everything.unionByName(s)
+    steps = after[0] if after else _redistribute(parcels, standings[0].where("false"), accepts, keys)
+    for s in after[1:]:
+        steps = steps.unionByName(s)
+    by_parcel = steps.where("state = 'moved' AND route = 'layers'").groupBy(
+        *keys, "round", F.col("party").alias("target"), "src", "layer"
+    ).agg(F.max("pieces").alias("pieces"), F.min("seq").alias("seq"), F.sum("votes").alias("votes"))
+    transfers = by_parcel.groupBy(*keys, "round", "target").agg(
+        F.sum("pieces").alias("parcels"), F.min("seq").alias("first_seen"), F.sum("votes").alias("votes")
     )
+    gone = steps.where("state = 'gone'").groupBy(*keys, "round").agg(F.sum("votes").alias("votes"))
+    return Runoff(keys, everything, transfers, gone)
 
 
 def as_outcome(result: Runoff, candidates: DataFrame, place: Sequence[str]) -> DataFrame:

@@ -179,32 +179,30 @@ def islands(
     )
 
 
-def top_by_group(
-    df: DataFrame,
-    keys,
-    order: Sequence[Column],
-    n: int | Column,
-    salt_on: Sequence[str],
-    out: str = "rank_no",
-    salts: int = 32,
-    spare: int = 0,
+def salted_cut(
+    df: DataFrame, keys, order: Sequence[Column], n: int | Column, salt_on: Sequence[str], salts: int = 32
 ) -> DataFrame:
-    """The first ``n`` rows of each group by ``order``, with their rank.
+    """Rows that can still be among the first ``n`` of their group.
 
-    Two steps: each salted part of a group keeps its own first ``n`` (plus
-    ``spare``), then the survivors, at most ``salts * (n + spare)`` per group, are
-    ranked together. A group of any size is therefore sorted by many tasks. With
-    ``spare`` the caller also receives that many runners-up.
+    Each salted part of a group keeps its own first ``n``, so a group of any size is
+    sorted by many tasks and shrinks to at most ``salts * n`` rows.
     """
-    keys = _keys(keys)
     limit = F.lit(n) if isinstance(n, int) else n
-    salted = df.withColumn("__salt", F.pmod(F.hash(*salt_on), F.lit(salts)))
-    part = Window.partitionBy(*keys, "__salt").orderBy(*order)
-    kept = (
-        salted.withColumn("__no", F.row_number().over(part))
-        .where(F.col("__no") <= limit + F.lit(spare))
-        .drop("__salt", "__no")
+    part = Window.partitionBy(*_keys(keys), "__salt").orderBy(*order)
+    return (
+        df.withColumn("__salt", F.pmod(F.hash(*salt_on), F.lit(salts)))
+        .withColumn("__place", F.row_number().over(part))
+        .where(F.col("__place") <= limit)
+        .drop("__salt", "__place")
     )
+
+
+def top_by_group(
+    df: DataFrame, keys, order: Sequence[Column], n: int | Column, salt_on: Sequence[str], out: str = "rank_no", salts: int = 32
+) -> DataFrame:
+    """The first ``n`` rows of each group by ``order``, with their rank."""
+    keys = _keys(keys)
+    limit = F.lit(n) if isinstance(n, int) else n
+    kept = salted_cut(df, keys, order, limit, salt_on, salts)
     whole = Window.partitionBy(*keys).orderBy(*order)
-    ranked = kept.withColumn(out, F.row_number().over(whole))
-    return ranked if spare else ranked.where(F.col(out) <= limit)
+    return kept.withColumn(out, F.row_number().over(whole)).where(F.col(out) <= limit)
