@@ -12,19 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import BLOCK_TOTAL, GRAND_TOTAL, TOTAL, any_required_missing, fold_uncertified, within
-from ..functions.text import name_key
 from ..operators import apportion as ap
-from ..operators.linkage import disagreements, link
+from ..operators.linkage import disagreements
 from ..operators.scan import join_null_safe, numeric_split
-from ..sources.dimensions import BLOCKS, PREFECTURES, geography, is_prefecture
+from ..sources.dimensions import BLOCKS, PREFECTURES, is_prefecture
 from ..sources.schemas import PERSONAL_TABLES, TABLES
 from . import quality as q
+from .election_data import BLOCK_PARTY, DISTRICT, E, SEATED, UNSEATED, district_id, link_duals
 from .quality import Check
 
-E = ["election_id"]
-SEATED = "当"
 NUMBER_OF_PREFECTURES = len(PREFECTURES)
-DISTRICT = [*E, "prefecture", "district_no"]
 REGISTRY: dict[str, tuple[tuple[str, ...], Callable]] = {}
 
 
@@ -183,10 +180,6 @@ def district_sums(t):
     )
 
 
-def district_id():
-    return F.concat(F.col("prefecture"), F.col("district_no").cast("string"))
-
-
 @check("B1", "smd_districts", "smd_candidates")
 def b1(t, cfg):
     rows = t["smd_districts"].join(district_sums(t), DISTRICT, "left")
@@ -292,9 +285,6 @@ def block_votes(t):
         F.col("votes").alias("value"), "share_pct", "is_total_row")
 
 
-BLOCK_PARTY = [*E, "block", "party"]
-
-
 @check("C4", "party_votes_by_block_pref", "party_votes_by_block")
 def c4(t, cfg):
     got = t["party_votes_by_block_pref"].where(is_prefecture("prefecture")).groupBy(*BLOCK_PARTY).agg(
@@ -374,18 +364,8 @@ def c9(t, cfg):
 
 @check("C10", "smd_candidates", "pr_list_entries")
 def c10(t, cfg):
-    places = geography(t["smd_candidates"].sparkSession).select("prefecture", "block")
-    left = t["smd_candidates"].where("dual_candidacy").join(places, "prefecture", "left").withColumn("cid", F.xxhash64(*DISTRICT, "order_in_district"))
-    right = t["pr_list_entries"].where("dual_candidacy")
-    order = "file_ordinal" if "file_ordinal" in right.columns else "elected_order"
-    right = right.withColumn("lid", F.xxhash64(*BLOCK_PARTY, "list_rank", "name", F.col(order)))
-    spread = lambda c: F.shiftright(c, 44)  # noqa: E731 - hash ids are evenly spread
-    by_display = [*[F.col(c) for c in E], F.col("party"), name_key(F.col("name_display"))]
-    legal = [*[F.col(c) for c in E], F.col("party"), F.when(F.coalesce("name_kanji", F.lit("")) != "", name_key(F.col("name_kanji")))]
-    listed = [*[F.col(c) for c in E], F.col("party"), name_key(F.col("name"))]
-    rest = [*[F.col(c) for c in E], F.col("block"), F.col("party")]
-    found = link(left, right, "cid", "lid", [(by_display, listed), (legal, listed)], (rest, rest), spread)
-    mark = F.when(F.col("elected"), SEATED).otherwise("落")
+    left, right, found = link_duals(t)
+    mark = F.when(F.col("elected"), SEATED).otherwise(UNSEATED)
     wrong = disagreements(found.pairs, left, right, "cid", "lid", [
         (mark, F.col("smd_result"), "result"),
         (F.col("sekihai_rate"), F.col("sekihai_rate"), "rate"),

@@ -20,6 +20,8 @@ def rows(spark):
 
 
 WIDTHS = [7, 100, 100000]
+#: Two of the four keys have this many rows, so both paths run.
+HOT = 100
 
 
 def same(a, b, *cols):
@@ -29,27 +31,27 @@ def same(a, b, *cols):
 @pytest.mark.parametrize("width", WIDTHS)
 def test_rank(rows, width):
     w = Window.partitionBy("k").orderBy("pos")
-    same(scan.ordered_rank(rows, ["k"], ["pos"], scan.numeric_split("pos", width), "out"),
+    same(scan.ordered_rank(rows, ["k"], ["pos"], scan.numeric_split("pos", width), "out", HOT),
          rows.withColumn("out", F.row_number().over(w).cast("long")), "out")
 
 
 @pytest.mark.parametrize("width", WIDTHS)
 def test_lag(rows, width):
     w = Window.partitionBy("k").orderBy("pos")
-    same(scan.ordered_lag(rows, ["k"], ["pos"], scan.numeric_split("pos", width), "label", "out"),
+    same(scan.ordered_lag(rows, ["k"], ["pos"], scan.numeric_split("pos", width), "label", "out", HOT),
          rows.withColumn("out", F.lag("label").over(w)), "out")
 
 
 @pytest.mark.parametrize("width", WIDTHS)
 def test_running_sum(rows, width):
     w = Window.partitionBy("k").orderBy("pos")
-    same(scan.ordered_running_sum(rows, ["k"], ["pos"], scan.numeric_split("pos", width), "v", "out"),
+    same(scan.ordered_running_sum(rows, ["k"], ["pos"], scan.numeric_split("pos", width), "v", "out", HOT),
          rows.withColumn("out", F.sum("v").over(w)), "out")
 
 
 @pytest.mark.parametrize("width", WIDTHS)
 def test_carry_forward(rows, width):
-    got = scan.carry_forward(rows, ["k"], ["pos"], scan.numeric_split("pos", width), "label", "out", F.col("clear"))
+    got = scan.carry_forward(rows, ["k"], ["pos"], scan.numeric_split("pos", width), "label", "out", F.col("clear"), HOT)
     want, last = {}, {}
     for r in sorted(rows.collect(), key=lambda r: r.pos):
         if r.clear:
@@ -62,7 +64,7 @@ def test_carry_forward(rows, width):
 
 @pytest.mark.parametrize("width", [5, 60, 100000])
 def test_islands(rows, width):
-    got = scan.islands(rows, ["k"], ["v", "pos"], F.floor(F.col("v") / width), "v", 6, "out")
+    got = scan.islands(rows, ["k"], ["v", "pos"], F.floor(F.col("v") / width), "v", 6, "out", HOT)
     want, state = {}, {}
     for r in sorted(rows.collect(), key=lambda r: (r.v, r.pos)):
         prev, no = state.get(r.k, (None, 0))
