@@ -21,11 +21,13 @@ class Links:
     right_rest: DataFrame
 
 
-def _pair_in_order(left, right, keys, left_id, right_id, split) -> DataFrame:
+def _pair_in_order(left, right, keys, left_order, right_order, split) -> DataFrame:
     """The k-th left record of a key with the k-th right one; never all pairs of a key."""
-    a = ordered_rank(left, keys, [left_id], split(left_id), "__no")
-    b = ordered_rank(right, keys, [right_id], split(right_id), "__no")
-    return a.join(b, [*keys, "__no"]).select(left_id, right_id)
+    a = ordered_rank(left, keys, left_order, split(left_order[0]), "__no")
+    b = ordered_rank(right, keys, right_order, split(right_order[0]), "__no")
+    return a.select(*keys, "__no", left_order[-1]).join(
+        b.select(*keys, "__no", right_order[-1]), [*keys, "__no"]
+    ).select(left_order[-1], right_order[-1])
 
 
 def link(
@@ -36,28 +38,33 @@ def link(
     passes: Sequence[tuple[Sequence[Column], Sequence[Column]]],
     residual: tuple[Sequence[Column], Sequence[Column]] | None = None,
     split=numeric_split,
+    left_order: Sequence[str] = (),
+    right_order: Sequence[str] = (),
 ) -> Links:
     """Link ``left`` to ``right`` by successive keys, each record used at most once.
 
     ``passes``: (left key columns, right key columns); a null key part never links.
     ``residual``: keys under which exactly one record remaining on each side is a
-    pair. Ids are unique numbers and give the order inside a key. Each pass writes
-    its pairs (two ids per row), so later passes do not repeat earlier ones.
+    pair. Ids are unique. Records of one key pair in the order of ``left_order`` and
+    ``right_order`` (file order, say), then of the id; ``split`` makes the split of the
+    first order column. Each pass writes its pairs (two ids per row), so later passes
+    do not repeat earlier ones.
     """
+    left_order, right_order = [*left_order, left_id], [*right_order, right_id]
     pairs: DataFrame | None = None
 
     def rest(df: DataFrame, id_col: str) -> DataFrame:
         return df if pairs is None else df.join(pairs.select(id_col), id_col, "left_anti")
 
-    def keyed(df, id_col, cols):
+    def keyed(df, order, cols):
         named = [c.alias(f"__k{i}") for i, c in enumerate(cols)]
-        return df.select(id_col, *named).na.drop(subset=[f"__k{i}" for i in range(len(cols))])
+        return df.select(*order, *named).na.drop(subset=[f"__k{i}" for i in range(len(cols))])
 
     for no, (lk, rk) in enumerate(passes, 1):
         names = [f"__k{i}" for i in range(len(lk))]
         found = _pair_in_order(
-            keyed(rest(left, left_id), left_id, lk), keyed(rest(right, right_id), right_id, rk),
-            names, left_id, right_id, split,
+            keyed(rest(left, left_id), left_order, lk), keyed(rest(right, right_id), right_order, rk),
+            names, left_order, right_order, split,
         ).withColumn("pass_no", F.lit(no))
         pairs = cut_lineage(found if pairs is None else pairs.unionByName(found))
     if residual is not None:
@@ -66,7 +73,7 @@ def link(
 
         def single(df, id_col, cols):
             return (
-                keyed(rest(df, id_col), id_col, cols)
+                keyed(rest(df, id_col), [id_col], cols)
                 .groupBy(*names)
                 .agg(F.count(F.lit(1)).alias("__n"), F.min(id_col).alias(id_col))
                 .where("__n = 1")

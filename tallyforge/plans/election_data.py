@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import scaled
 from ..functions.text import name_key
 from ..operators.linkage import Links, link
-from ..operators.scan import join_null_safe
+from ..operators.scan import join_null_safe, numeric_split
 from ..sources.dimensions import geography, is_prefecture
 from ..sources.documents import nest
 from . import quality as q
@@ -28,11 +28,11 @@ def link_duals(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, Links]:
     """Dual candidates of the district table linked to their list entries.
 
     Passes: (party, shown name), (party, legal name), then the only ones left on both
-    sides of a (block, party). Ids are hashes of the rows' own keys.
+    sides of a (block, party). Persons with the same key pair in file order.
     """
     places = geography(t["smd_candidates"].sparkSession).select("prefecture", "block")
     left = t["smd_candidates"].where("dual_candidacy").join(places, "prefecture", "left").withColumn(
-        "cid", F.xxhash64(*DISTRICT, "order_in_district")
+        "cid", F.md5(F.to_json(F.struct(*DISTRICT, "order_in_district")))
     )
     right = with_entry_id(t["pr_list_entries"]).where("dual_candidacy")
 
@@ -40,17 +40,19 @@ def link_duals(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, Links]:
         return [F.col("election_id"), F.col("party"), F.when(F.coalesce(c, F.lit("")) != "", name_key(F.col(c)))]
 
     rest = [F.col("election_id"), F.col("block"), F.col("party")]
+    by_file = "file_ordinal" in left.columns and "file_ordinal" in right.columns
+    order = ["file_ordinal"] if by_file else []
     found = link(
         left, right, "cid", "lid",
-        [(shown("name_display"), shown("name")), (shown("name_kanji"), shown("name"))],
-        (rest, rest), lambda c: F.shiftright(c, 44),
+        [(shown("name_display"), shown("name")), (shown("name_kanji"), shown("name"))], (rest, rest),
+        numeric_split if by_file else (lambda c: F.substring(c, 1, 3)), order, order,
     )
     return left, right, found
 
 
 def with_entry_id(entries: DataFrame) -> DataFrame:
     order = "file_ordinal" if "file_ordinal" in entries.columns else "elected_order"
-    return entries.withColumn("lid", F.xxhash64(*BLOCK_PARTY, "list_rank", "name", order))
+    return entries.withColumn("lid", F.md5(F.to_json(F.struct(*BLOCK_PARTY, "list_rank", "name", order))))
 
 
 def from_tables(t: dict[str, DataFrame]) -> Election:
