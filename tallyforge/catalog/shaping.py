@@ -114,16 +114,18 @@ def unpivot_groups(spark, sf):
 
 @query(
     "merge_wrapped",
-    """WITH c AS (SELECT *, SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, text) AS g FROM conversations)
-SELECT conv_id, CAST(g AS BIGINT) AS group_no, COUNT(*) AS rows, MIN(turn) AS first_row, md5(STRING_AGG(text, '' ORDER BY turn, text)) AS label_md5
-FROM c GROUP BY 1, 2""",
+    """WITH c AS (SELECT *, SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations),
+p AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY conv_id, g ORDER BY turn) - 1) // 16 + 1 AS part FROM c)
+SELECT conv_id, CAST(g AS BIGINT) AS group_no, CAST(part AS BIGINT) AS part_no, COUNT(*) AS rows, MIN(turn) AS first_row,
+  md5(STRING_AGG(text, '' ORDER BY turn)) AS label_md5 FROM p GROUP BY 1, 2, 3""",
 )
 def merge_wrapped(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     merged = reshape.merge_wrapped(
-        rows, ["conv_id"], "turn", scan.numeric_split("turn"), "text", F.col("role") == "user"
+        rows, ["conv_id"], "turn", scan.numeric_split("turn"), "text", F.col("role") == "user", part_rows=16
     )
-    return merged.select("conv_id", F.col("group_no").cast("bigint").alias("group_no"), "rows", "first_row", F.md5("label").alias("label_md5"))
+    return merged.select(
+        "conv_id", F.col("group_no").cast("bigint").alias("group_no"), "part_no", "rows", "first_row", F.md5("label").alias("label_md5"))
 
 
 @query(
@@ -206,29 +208,34 @@ def classify_sections(spark, sf):
     return reshape.expected_once(kinds, expected, ["kind"])
 
 
+#: Tokens of a page: a fixed run of event ids, so a page stays small however large the tables.
+PAGE = 256
+
+
 @query(
     "token_lines",
-    """WITH t AS (SELECT user_id, event_id AS x, CAST(ROUND(value * 100) AS BIGINT) AS top, substr(event_type, 1, 1) AS c FROM events),
-i AS (SELECT *, CASE WHEN top - LAG(top) OVER (PARTITION BY user_id ORDER BY top, x) <= 40 THEN 0 ELSE 1 END AS s FROM t),
-b AS (SELECT *, SUM(s) OVER (PARTITION BY user_id ORDER BY top, x) AS line_no FROM i)
-SELECT user_id, CAST(line_no AS BIGINT) AS line_no, COUNT(*) AS tokens, STRING_AGG(c, '' ORDER BY x) AS text FROM b GROUP BY 1, 2""",
+    f"""WITH t AS (SELECT event_id // {PAGE} AS page, event_id AS x, CAST(ROUND(value * 100) AS BIGINT) AS top, substr(event_type, 1, 1) AS c FROM events),
+i AS (SELECT *, CASE WHEN top - LAG(top) OVER (PARTITION BY page ORDER BY top, x) <= 10 THEN 0 ELSE 1 END AS s FROM t),
+b AS (SELECT *, SUM(s) OVER (PARTITION BY page ORDER BY top, x) AS line_no FROM i)
+SELECT page, CAST(line_no AS BIGINT) AS line_no, COUNT(*) AS tokens, STRING_AGG(c, '' ORDER BY x) AS text FROM b GROUP BY 1, 2""",
 )
 def token_lines(spark, sf):
     tokens = table(spark, sf, "events").select(
-        "user_id", F.col("event_id").alias("x"), F.round(F.col("value") * 100).cast("bigint").alias("top"),
-        F.substring("event_type", 1, 1).alias("c"),
+        F.expr(f"event_id div {PAGE}").alias("page"), F.col("event_id").alias("x"),
+        F.round(F.col("value") * 100).cast("bigint").alias("top"), F.substring("event_type", 1, 1).alias("c"),
     )
-    out = grid.token_lines(tokens, ["user_id"], "top", "x", "c", 40, F.floor(F.col("top") / 1000))
+    out = grid.token_lines(tokens, ["page"], "top", "x", "c", 10, F.floor(F.col("top") / 1000))
     return out.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 @query("cell_lines")
 def cell_lines(spark, sf):
+    """Lines inside the cells of a page; a cell is a few of the page's tokens."""
     tokens = table(spark, sf, "events").select(
-        "user_id", (F.col("event_id") % 50).alias("cell"), F.col("event_id").alias("x"), "value",
+        F.expr(f"event_id div {PAGE}").alias("page"), (F.col("event_id") % 16).alias("cell"), F.col("event_id").alias("x"), "value",
         F.substring("event_type", 1, 1).alias("c"),
     )
-    return grid.cell_lines(tokens, ["user_id", "cell"], "value", "x", "c", 20.0)
+    return grid.cell_lines(tokens, ["page", "cell"], "value", "x", "c", 3.0)
 
 
 def name_grid(spark, sf):

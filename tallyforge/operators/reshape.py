@@ -26,19 +26,28 @@ def unpivot_groups(
 
 
 def merge_wrapped(
-    df: DataFrame, keys: Sequence[str], order: str, split: Column, label: str, is_head: Column, out: str = "label"
+    df: DataFrame, keys: Sequence[str], order: str, split: Column, label: str, is_head: Column, out: str = "label",
+    part_rows: int | None = None,
 ) -> DataFrame:
     """Join the label of each head row with the rows that continue it.
 
     A continuation has a label but no value. Rows before the first head form group 0.
-    The text of one group is one value, as long as the printed label is.
+    A printed label wraps a few times; where a group may be of any length, ``part_rows``
+    joins it in consecutive parts of that many rows, all of them kept.
     """
+    keys = list(keys)
     flagged = df.withColumn("__head", F.when(is_head, 1).otherwise(0))
-    numbered = ordered_running_sum(flagged, keys, [order], split, "__head", "group_no")
+    rows = ordered_running_sum(flagged, keys, [order], split, "__head", "group_no")
+    by = [*keys, "group_no"]
+    if part_rows:
+        rows = ordered_rank(rows, by, [order], split, "__no").withColumn(
+            "part_no", F.floor((F.col("__no") - 1) / part_rows) + 1
+        )
+        by = [*by, "part_no"]
     joined = F.array_join(
         F.transform(F.sort_array(F.collect_list(F.struct(order, label))), lambda x: x[label]), ""
     )
-    return numbered.groupBy(*keys, "group_no").agg(
+    return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"), F.min(order).alias("first_row"), joined.alias(out)
     )
 

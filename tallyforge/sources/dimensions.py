@@ -82,3 +82,45 @@ def election_index(elections_df: DataFrame) -> DataFrame:
 def register(spark: SparkSession, rows=()) -> DataFrame:
     """Known discrepancies: (election_id, check_id, subject, reason)."""
     return spark.createDataFrame(list(rows), "election_id string, check_id string, subject string, reason string")
+
+
+# Category names allowed per election.
+ALLOWED_VALUES = {
+    "r08-02-08": (
+        "自由民主党 中道改革連合 日本維新の会 国民民主党 参政党 日本共産党 れいわ新選組 減税日本・ゆうこく連合 日本保守党 "
+        "社会民主党 チームみらい 安楽死制度を考える会 立憲民主党 公明党 無所属 再生の道 無所属連合 日本大和党 世界平和党 "
+        "一番星 核融合党 未来進歩党 日本自由党 心の党 諸派"
+    ),
+    "r06-10-27": (
+        "自由民主党 立憲民主党 日本維新の会 公明党 日本共産党 国民民主党 れいわ新選組 社会民主党 参政党 日本保守党 "
+        "みんなでつくる党 安楽死制度を考える会 無所属 諸派 お金をみんなへシン独立党 川口自警団 自民党を終わらせる党 心の党 鼎立の党"
+    ),
+    "r03-10-31": (
+        "自由民主党 立憲民主党 日本維新の会 公明党 日本共産党 国民民主党 れいわ新選組 社会民主党 "
+        "ＮＨＫと裁判してる党弁護士法７２条違反で 支持政党なし 新党やまと 政権交代によるコロナ対策強化新党 日本第一党 "
+        "新党くにもり 希望の党 新党日本こころ 改革未来党 愛地球党 日本成功党 改新党 無所属 諸派"
+    ),
+    "h29-10-22": (
+        "自由民主党 立憲民主党 希望の党 公明党 日本共産党 日本維新の会 社会民主党 日本のこころ 幸福実現党 支持政党なし "
+        "世界経済共同体党 労働の解放をめざす労働者党 新党大地 フェア党 犬丸勝子と共和党 都政を革新する会 新党憲法９条 "
+        "議員報酬ゼロを実現する会 長野県を日本一好景気にする会 日本新党 無所属 諸派"
+    ),
+    "h26-12-14": (
+        "自由民主党 民主党 維新の党 公明党 日本共産党 次世代の党 生活の党 社会民主党 新党改革 幸福実現党 支持政党なし "
+        "減税日本 世界経済共同体党 犬丸勝子と共和党 みらい党 無所属 諸派"
+    ),
+}
+# Discrepancies inside the published source itself.
+KNOWN_DISCREPANCIES = (
+    ("h29-10-22", "B1", "沖縄県2", "candidate votes exceed ten times the printed point by 105"),
+    ("h29-10-22", "C3", "沖縄県", "candidate votes exceed the printed valid votes by 105"),
+)
+
+
+def allowed_values(spark: SparkSession, values=ALLOWED_VALUES) -> DataFrame:
+    rows = [(e, name) for e, names in values.items() for name in names.split()]
+    return spark.createDataFrame(rows, "election_id string, party string")
+
+
+def known_discrepancies(spark: SparkSession) -> DataFrame:
+    return register(spark, KNOWN_DISCREPANCIES)
