@@ -202,6 +202,58 @@ def documents(t: dict[str, DataFrame], config: DataFrame) -> DataFrame:
     return out
 
 
+def publication(t: dict[str, DataFrame], config: DataFrame, data: Election, baseline: Outcome) -> DataFrame:
+    """The compact document the simulator publishes: one row per election.
+
+    Votes are whole numbers (thousandths), names follow the published format. Write it
+    with ``write_checked`` and the problems of ``self_check``.
+    """
+    place = ["election", "district"]
+    key = F.col("election_id").alias("election")
+    known = t["smd_districts"].select(key, district_id().alias("district"), F.col("prefecture").alias("pref"), F.col("district_no").alias("no"))
+    geo = geography(config.sparkSession)
+    won = baseline.districts.where("smd_voting = 'plurality'").select(*place, "winner", "winner_party", "winner_votes")
+    people = nest(data.candidates.withColumn("__down", -F.col("votes")), place, ["__down", "name"], ["name", "party", "votes"], "candidates")
+    districts = data.districts.join(known, place).join(won, place).join(people, place).join(
+        geo.select(F.col("prefecture").alias("pref"), "pref_idx"), "pref")
+    smd = nest(districts, ["election"], ["pref_idx", "no"], [
+        F.col("district").alias("id"), "pref", "no", "block", F.col("valid_votes").alias("validVotes"),
+        F.col("winner_votes").alias("topVotes"), "winner", F.col("winner_party").alias("winnerParty"), "candidates"], "districts")
+    by_block = won.join(data.districts, place).groupBy("election", "block", F.col("winner_party").alias("party")).agg(
+        F.count(F.lit(1)).alias("seats"))
+    by_party = by_block.groupBy("election", "party").agg(F.sum("seats").alias("seats"))
+    won_blocks = nest(by_block, ["election", "block"], ["party"], ["party", "seats"], "seatsByParty")
+
+    printed = with_entry_id(t["pr_list_entries"])
+    ordinal = F.col("file_ordinal") if "file_ordinal" in printed.columns else F.col("list_rank").cast("bigint")
+    actual = printed.select(key, "block", "party", ordinal.alias("ordinal"), "list_rank", "name",
+                            F.col("elected_pr").alias("actualElected"), F.col("elected_order").alias("actualElectedOrder"))
+    who = ["election", "block", "party", "ordinal", "list_rank", "name"]
+    entries = data.entries.join(actual, who).join(
+        data.districts.select(*place, "valid_votes"), place, "left").join(won.drop("winner_party"), place, "left")
+    ratio = F.coalesce(F.col("smd_votes") / F.nullif(F.col("winner_votes"), F.lit(0)), F.lit(0.0))
+    lists = nest(entries.withColumn("__down", -ratio), ["election", "block", "party"], ["list_rank", "__down", "ordinal"], [
+        F.col("list_rank").alias("rank"), "name", "dual", "actualElected", "actualElectedOrder",
+        F.col("district").alias("districtId"), F.col("smd_name").alias("smdName"),
+        (F.col("dual") & F.col("winner").eqNullSafe(F.col("smd_name"))).alias("smdWon"), F.col("smd_votes").alias("smdVotes"),
+        F.col("valid_votes").alias("districtValidVotes"), F.col("winner_votes").alias("districtTopVotes")], "list")
+    seats = t["pr_party_blocks"].select(key, "block", "party", q.zero(F.col("seats")).alias("actualSeats"))
+    parties = data.list_votes.join(seats, ["election", "block", "party"]).join(lists, ["election", "block", "party"], "left")
+    tree = nest(parties.withColumn("__down", -F.col("votes")), ["election", "block"], ["__down", "party"],
+                ["party", "votes", "actualSeats", "list"], "parties")
+    dim = geo.groupBy("block").agg(
+        F.min("pref_idx").alias("block_idx"),
+        F.transform(F.sort_array(F.collect_list(F.struct("pref_idx", "prefecture"))), lambda x: x["prefecture"]).alias("prefectures"))
+    blocks = nest(data.blocks.join(tree, ["election", "block"]).join(dim, "block"), ["election"], ["block_idx"],
+                  ["block", "prefectures", "seats", "electors", "parties"], "blocks")
+    out = config.select(
+        key, F.struct(*config.columns, (F.col("smd_seats") + F.col("pr_seats")).alias("total_seats")).alias("meta"), F.lit(1000).alias("voteScale"))
+    for df in (nest(by_party, ["election"], ["party"], ["party", "seats"], "seatsByParty"),
+               nest(won_blocks, ["election"], ["block"], ["block", "seatsByParty"], "byBlock"), smd, blocks):
+        out = out.join(df, "election", "left")
+    return out.select("meta", "voteScale", F.struct("seatsByParty", "byBlock", "districts").alias("smd"), "blocks")
+
+
 def roundtrip(t: dict[str, DataFrame], docs: DataFrame) -> DataFrame:
     """Seven totals of the documents against their tables and configuration."""
     cand = docs.select(*E, F.explode("districts").alias("d")).select(*E, F.explode("d.candidates").alias("c"))
@@ -233,4 +285,4 @@ def roundtrip(t: dict[str, DataFrame], docs: DataFrame) -> DataFrame:
     return q.reconcile(got, want, [*E, "total"])
 
 
-__all__ = ["documents", "from_tables", "input_problems", "link_duals", "roundtrip", "self_check"]
+__all__ = ["documents", "from_tables", "input_problems", "link_duals", "publication", "roundtrip", "self_check"]

@@ -51,30 +51,3 @@ def write_checked(df: DataFrame, problems: DataFrame, path: str, mode: str = "er
     if first:
         raise ValueError(f"self-check failed, nothing written: {first[0].asDict()}")
     write_documents(df, path, mode)
-
-
-def publishable(districts: DataFrame, candidates: DataFrame, blocks: DataFrame, list_votes: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Compact election document as two tables of documents: districts and blocks.
-
-    Votes are whole numbers (scaled); names follow the published format.
-    """
-    place = ["election", "district"]
-    people = nest(
-        candidates, place, ["__sort", "name"], ["name", "party", "votes"], "candidates"
-    ) if "__sort" in candidates.columns else nest(
-        candidates.withColumn("__sort", -F.col("votes")), place, ["__sort", "name"], ["name", "party", "votes"], "candidates"
-    )
-    smd = districts.join(people, place, "left").select(
-        "election", F.col("district").alias("id"), "block", F.col("valid_votes").alias("validVotes"), "candidates"
-    )
-    lists = nest(
-        entries, ["election", "block", "party"], ["list_rank", "ordinal"],
-        [
-            F.col("list_rank").alias("rank"), "name", "dual", F.col("district").alias("districtId"),
-            F.col("smd_name").alias("smdName"), F.col("smd_votes").alias("smdVotes"),
-        ],
-        "list",
-    )
-    parties = list_votes.join(lists, ["election", "block", "party"], "left").withColumn("__sort", -F.col("votes"))
-    tree = nest(parties, ["election", "block"], ["__sort", "party"], ["party", "votes", "list"], "parties")
-    return smd, blocks.join(tree, ["election", "block"], "left")

@@ -52,3 +52,21 @@ def test_documents_round_trip(world):
     votes = [c.votes for c in doc.districts[0].candidates]
     assert votes == sorted(votes, reverse=True)
     assert len(doc.electorate) == 47 == len(doc.ballots)
+
+
+def test_publication(spark, world, tmp_path):
+    from tallyforge.sources.documents import write_checked
+
+    rows, t, cfg, data, baseline = world
+    docs = ed.publication(t, cfg, data, baseline)
+    doc = docs.first()
+    assert doc.voteScale == 1000 and doc.meta.smd_seats == len(rows["smd_districts"]) == len(doc.smd.districts)
+    assert sum(p.seats for p in doc.smd.seatsByParty) == doc.meta.smd_seats
+    first = doc.smd.districts[0]
+    assert (first.pref, first.topVotes, first.winner) == ("北海道", first.candidates[0].votes, first.candidates[0].name)
+    listed = [x for b in doc.blocks for p in b.parties for x in p.list or []]
+    assert len(listed) == len(rows["pr_list_entries"])
+    assert sum(x.actualElected for x in listed) == doc.meta.pr_seats == sum(b.seats for b in doc.blocks)
+    assert all((x.districtId is not None) == x.dual for x in listed)
+    write_checked(docs, ed.self_check(t, cfg, data, baseline), str(tmp_path / "pub"))
+    assert spark.read.json(str(tmp_path / "pub")).count() == 1

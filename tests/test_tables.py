@@ -78,21 +78,6 @@ def test_documents_are_written_only_when_checked(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "d")).first()["items"] == [1]
 
 
-def test_publishable_documents(spark):
-    e = F.lit("e").alias("election")
-    districts = spark.createDataFrame([("d1", "X", 30)], "district string, block string, valid_votes long").select(e, "*")
-    candidates = spark.createDataFrame([("d1", "n1", "a", 10), ("d1", "n2", "b", 20)], "district string, name string, party string, votes long").select(e, "*")
-    blocks = spark.createDataFrame([("X", 5)], "block string, seats int").select(e, "*")
-    votes = spark.createDataFrame([("X", "a", 7), ("X", "b", 9)], "block string, party string, votes long").select(e, "*")
-    entries = spark.createDataFrame([("X", "a", 2, 1, "p2", False, None, None, None), ("X", "a", 1, 1, "p1", True, "d1", "n1", 10)],
-                                    "block string, party string, ordinal int, list_rank int, name string, dual boolean, district string, smd_name string, smd_votes long").select(e, "*")
-    smd, tree = documents.publishable(districts, candidates, blocks, votes, entries)
-    assert [c.name for c in smd.first().candidates] == ["n2", "n1"]
-    parties = tree.first().parties
-    assert [p.party for p in parties] == ["b", "a"]
-    assert [x.name for x in parties[1].list] == ["p1", "p2"]
-
-
 def test_manifest_of_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"one")
     (tmp_path / "b.bin").write_bytes(b"two")
