@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import apportion as ap
-from ..plans.votes import geography, regional_votes, table
+from ..plans.simulate import contest_seats
+from ..plans.votes import geography, regional_votes
+from ..session import cut_lineage
+from ..sources.testdata import table
 from .base import CAP_SQL, V_SQL, query
 
 SEATS = 40
@@ -27,10 +30,16 @@ def district_wins(spark, sf):
     )
 
 
+def voted(spark, sf):
+    """The vote table written once: a row per (region, nation) that several steps read,
+    so that the lines are scanned a single time."""
+    return cut_lineage(regional_votes(spark, sf))
+
+
 def regional_lists(spark, sf, seats=SEATS):
     """Votes with capacity and district wins per (region, nation)."""
     return (
-        regional_votes(spark, sf)
+        voted(spark, sf)
         .join(capacities(spark, sf), "party")
         .join(district_wins(spark, sf), "party")
         .withColumn("seats", F.lit(seats))
@@ -199,7 +208,8 @@ GROUP BY 1, 2""",
 def adams_seats(spark, sf):
     per_key = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("population"))
     units = per_key.join(geography(spark, sf), F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.lit("all").alias("contest"), F.col("nation").alias("unit"), "population",
+        # A column rather than a constant, so that joins on the contest stay keyed.
+        F.when(F.col("population") > 0, "all").alias("contest"), F.col("nation").alias("unit"), "population",
         F.lit(ADAMS_SEATS).alias("seats"),
     )
     return ap.adams(units, ["contest"]).drop("contest")
@@ -218,9 +228,7 @@ SELECT delta, t.unit AS contest,
 FROM t, ds""",
 )
 def adams_contest_seats(spark, sf):
-    from ..plans.simulate import contest_seats
-
-    electors = regional_votes(spark, sf).groupBy("contest").agg(F.sum("votes").alias("electors"))
+    electors = voted(spark, sf).groupBy("contest").agg(F.sum("votes").alias("electors"))
     rows = electors.select(
         F.explode(F.array(F.lit(0), F.lit(-45))).alias("delta"), "contest", "electors",
         F.lit(SEATS).alias("printed"),

@@ -12,6 +12,7 @@ from ..operators.scan import numeric_split
 from ..plans import quality as q
 from ..plans.simulate import simulate
 from ..plans import scenarios
+from ..session import cut_lineage
 from ..sources.testdata import SCHEMAS, table
 from .base import query
 from .elections import FILL_SQL, RULES
@@ -28,7 +29,9 @@ def supplier_totals(spark, sf):
         *[F.sum(F.when(F.col("l_returnflag") == f, qty()).otherwise(0)).alias(f"qty_{f.lower()}") for f in "ANR"],
         F.sum(qty()).alias("qty"),
     )
-    return sums.withColumn("total", F.col("qty") + F.when(F.col("l_suppkey") % 17 == 3, 1).otherwise(0)).drop("qty")
+    faulty = sums.withColumn("total", F.col("qty") + F.when(F.col("l_suppkey") % 17 == 3, 1).otherwise(0)).drop("qty")
+    # One row per supplier, read for the subjects and again for the violations.
+    return cut_lineage(faulty)
 
 
 SUPPLIER_SQL = """st AS (
@@ -60,7 +63,9 @@ pt AS (SELECT l_returnflag, SUM(qty) + CASE WHEN l_returnflag = 'N' THEN 2 ELSE
 
 
 def total_row_pairs(spark, sf):
-    members = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(qty()).alias("qty"))
+    members = cut_lineage(
+        table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(qty()).alias("qty"))
+    )
     printed = members.groupBy("l_returnflag").agg(
         (F.sum("qty") + F.when(F.col("l_returnflag") == "N", 2).otherwise(0)).alias("value")
     )

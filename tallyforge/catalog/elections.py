@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import signed_text
 from ..operators import apportion as ap
 from ..operators import lists
 from ..plans import compare, scenarios
 from ..plans.scenarios import Scenario
 from ..plans.simulate import simulate
-from ..plans.votes import regional_votes, segment_cents
-from .apportionment import SEATS, district_wins, regional_lists
+from ..plans.votes import geography, segment_cents
+from ..sources.testdata import table
+from .apportionment import SEATS, district_wins, regional_lists, voted
 from .base import CAP_SQL, SEG_SQL, V_SQL, query
 from .model import BLOCK_SEATS, ENTRY_SQL, election, list_entries, person_districts, person_outcomes
 
@@ -198,7 +200,7 @@ seats AS (SELECT t, s, contest, party, COUNT(*) FILTER (rn <= s) AS seats FROM a
 
 
 def grid_seats(spark, sf):
-    votes = regional_votes(spark, sf)
+    votes = voted(spark, sf)
     swept = scenarios.attach_grid(
         votes, Scenario("modifiedSainteLague"), first_divisor=(10, 30, 1), seat_delta=(-20, 0, 20)
     ).withColumn("contest_seats", F.lit(SEATS) + F.col("pr_seat_delta"))
@@ -295,7 +297,7 @@ two AS (SELECT contest, party, COUNT(*) FILTER (m = 'a' AND rn <= {SEATS}) AS be
 
 
 def two_allocations(spark, sf):
-    votes = regional_votes(spark, sf).withColumn("seats", F.lit(SEATS))
+    votes = voted(spark, sf).withColumn("seats", F.lit(SEATS))
 
     def one(method):
         return ap.apportion(votes, ["contest"], method=method).groupBy("contest", "party").agg(
@@ -329,8 +331,6 @@ def allocation_distance(spark, sf):
   CAST(ROUND_EVEN(after * 100.0 / {SEATS}, 1) AS DOUBLE) AS share_pct FROM two WHERE before + after > 0""",
 )
 def display_values(spark, sf):
-    from ..functions.numbers import signed_text
-
     a, b = two_allocations(spark, sf)
     return compare.side_by_side(a, b, ["contest"]).where("party <> '__TOTAL__'").select(
         "contest", "party", signed_text(F.col("delta")).alias("delta_text"),
@@ -349,9 +349,6 @@ l AS (SELECT CAST(members AS BIGINT) AS members, line, line_no,
 
 
 def nation_seats(spark, sf):
-    from ..plans.votes import geography
-    from ..sources.testdata import table
-
     per_key = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("seats"))
     return per_key.join(geography(spark, sf), F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("nation").alias("party"), "seats"
@@ -391,7 +388,7 @@ def coalition_summary(spark, sf):
 )
 def linkage_equivalence(spark, sf):
     """Compensatory linkage cut at the list seats equals the head start: no rows."""
-    votes = regional_votes(spark, sf).join(district_wins(spark, sf), "party").withColumn("seats", F.lit(SEATS))
+    votes = voted(spark, sf).join(district_wins(spark, sf), "party").withColumn("seats", F.lit(SEATS))
 
     def one(linkage):
         return ap.apportion(

@@ -18,12 +18,17 @@ from ..sources.testdata import table
 BLOCK_SEATS = 120
 
 
+def one_election(present):
+    """The single election as a column, not a constant, so that joins on it stay keyed."""
+    return F.when(present, "e").alias("election")
+
+
 def list_entries(spark, sf):
     cents = F.greatest(F.round(F.col("c_acctbal") * 100).cast("bigint"), F.lit(0))
     return table(spark, sf, "customer").join(
         geography(spark, sf), F.col("c_nationkey") == F.col("n_nationkey")
     ).select(
-        F.lit("e").alias("election"),
+        one_election(F.col("c_custkey") >= 0),
         F.col("region").alias("block"),
         F.col("nation").alias("district"),
         F.col("c_mktsegment").alias("party"),
@@ -54,7 +59,7 @@ def election(spark, sf) -> Election:
     entries = list_entries(spark, sf)
     seg = segment_cents(spark, sf)
     list_votes = seg.groupBy(
-        F.lit("e").alias("election"), F.col("region").alias("block"), F.col("segment").alias("party")
+        one_election(F.col("votes") >= 0), F.col("region").alias("block"), F.col("segment").alias("party")
     ).agg(F.sum("votes").alias("votes"))
     blocks = list_votes.groupBy("election", "block").agg(F.sum("votes").alias("electors")).withColumn(
         "seats", F.lit(BLOCK_SEATS)
