@@ -16,7 +16,7 @@ from ..session import cut_lineage
 from ..sources.testdata import SCHEMAS, table
 from .base import query
 from .elections import FILL_SQL, RULES
-from .model import BLOCK_SEATS, election
+from .model import election
 
 
 def qty():

@@ -18,6 +18,8 @@ def build_session(app: str = "tallyforge", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Written intermediate results go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Call-site capture on every column expression doubles the time to build a plan.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
