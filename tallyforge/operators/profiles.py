@@ -174,15 +174,14 @@ def override_rates(rates: DataFrame, changes: DataFrame, keys: Sequence[str] = (
 
 def profile_problems(arrays: DataFrame, rates: DataFrame) -> DataFrame:
     """Violations: self not first, not a permutation of all voters, matrix not square."""
-    universe = arrays.groupBy().agg(F.sort_array(F.collect_set("voter")).alias("all"))
-    listed = arrays.withColumn("__g", F.lit(1)).join(universe.withColumn("__g", F.lit(1)), "__g")
-    orders = listed.select(
+    universe = arrays.agg(F.sort_array(F.collect_set("voter"))).scalar()
+    orders = arrays.select(
         "voter",
         F.when(F.get("ordering", F.lit(0)) != F.col("voter"), "own group is not first")
-        .when(F.sort_array("ordering") != F.col("all"), "not a permutation of all groups")
+        .when(F.sort_array("ordering") != universe, "not a permutation of all groups")
         .alias("problem"),
     ).where("problem IS NOT NULL")
-    rows = rates.groupBy("voter").agg(F.sort_array(F.collect_list("target")).alias("t")).withColumn("__g", F.lit(1))
-    square = rates.groupBy().agg(F.sort_array(F.collect_set("voter")).alias("all")).withColumn("__g", F.lit(1))
-    matrix = rows.join(square, "__g").where("t <> all").select("voter", F.lit("rate matrix is not square").alias("problem"))
+    square = rates.agg(F.sort_array(F.collect_set("voter"))).scalar()
+    rows = rates.groupBy("voter").agg(F.sort_array(F.collect_list("target")).alias("targets"))
+    matrix = rows.where(F.col("targets") != square).select("voter", F.lit("rate matrix is not square").alias("problem"))
     return orders.unionByName(matrix)

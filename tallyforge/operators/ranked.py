@@ -221,9 +221,9 @@ def flips(result: Runoff, plurality: DataFrame) -> DataFrame:
 def unordered_parties(candidates: DataFrame, orderings: DataFrame, minor_below: float = 1.0) -> DataFrame:
     """Parties without an ordering: votes, share of all votes, minor below a share."""
     votes = candidates.groupBy("party").agg(F.sum("votes").alias("votes"))
-    # One row per party: the total is an aggregate of the parties, joined on a constant.
-    total = votes.groupBy(F.lit(1).alias("__g")).agg(F.sum("votes").alias("__all"))
+    everything = votes.agg(F.sum("votes")).scalar()
     known = orderings.select(F.col("voter").alias("party")).distinct()
-    out = votes.join(known, "party", "left_anti").withColumn("__g", F.lit(1)).join(total, "__g")
-    share = F.when(F.col("__all") > 0, F.col("votes") / F.col("__all") * 100).otherwise(F.lit(0))
-    return out.select("party", "votes", share.alias("share"), (share < minor_below).alias("minor"))
+    share = F.coalesce(F.col("votes") / F.nullif(everything, F.lit(0)) * 100, F.lit(0))
+    return votes.join(known, "party", "left_anti").select(
+        "party", "votes", share.alias("share"), (share < minor_below).alias("minor")
+    )
