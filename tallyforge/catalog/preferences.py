@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import lists, profiles, ranked
 from ..plans.votes import segment_cents
 from .base import SEG_SQL, query
-from .relations import ORDER_SEG, orders_with_segment
+from .relations import ORDER_SEG, order_groups
 
 TARGETS = {
     "1-URGENT": "AUTOMOBILE", "2-HIGH": "BUILDING", "3-MEDIUM": "FURNITURE",
@@ -37,7 +37,7 @@ def rates(spark, sf):
     target = F.lit(None).cast("string")
     for priority, name in TARGETS.items():
         target = F.when(F.col("priority") == priority, name).otherwise(target)
-    raw = orders_with_segment(spark, sf).groupBy(F.col("segment").alias("voter"), target.alias("target")).agg(
+    raw = order_groups(spark, sf).groupBy(F.col("segment").alias("voter"), target.alias("target")).agg(
         (F.sum("cents") % 101).cast("int").alias("rate"))
     return profiles.rounded_rates(raw, 5)
 
