@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import lists
 from ..plans.simulate import Election
 from ..plans.votes import geography, segment_cents
+from ..session import cut_lineage
 from ..sources.testdata import table
 
 BLOCK_SEATS = 120
@@ -58,9 +59,9 @@ def election(spark, sf) -> Election:
     """District candidates are persons: the standing customers."""
     entries = list_entries(spark, sf)
     seg = segment_cents(spark, sf)
-    list_votes = seg.groupBy(
+    list_votes = cut_lineage(seg.groupBy(
         one_election(F.col("votes") >= 0), F.col("region").alias("block"), F.col("segment").alias("party")
-    ).agg(F.sum("votes").alias("votes"))
+    ).agg(F.sum("votes").alias("votes")))
     blocks = list_votes.groupBy("election", "block").agg(F.sum("votes").alias("electors")).withColumn(
         "seats", F.lit(BLOCK_SEATS)
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lists, profiles, ranked
 from ..plans.votes import segment_cents
+from ..session import cut_lineage
 from .base import SEG_SQL, query
 from .relations import ORDER_SEG, order_groups
 
@@ -39,7 +40,8 @@ def rates(spark, sf):
         target = F.when(F.col("priority") == priority, name).otherwise(target)
     raw = order_groups(spark, sf).groupBy(F.col("segment").alias("voter"), target.alias("target")).agg(
         (F.sum("cents") % 101).cast("int").alias("rate"))
-    return profiles.rounded_rates(raw, 5)
+    # A row per (voter, target), read by several steps: the orders are scanned once.
+    return cut_lineage(profiles.rounded_rates(raw, 5))
 
 
 @query("rejection_rates", f"WITH {RATES_SQL} SELECT voter, target, rate FROM rt")
@@ -158,7 +160,8 @@ _EXH = " UNION ALL ".join(f"SELECT nation, w FROM c{r} WHERE target IS NULL" for
 
 def tabulated(spark, sf):
     r = rates(spark, sf)
-    seg = segment_cents(spark, sf).select("region", "nation", F.col("segment").alias("name"), F.col("segment").alias("party"), "votes")
+    seg = cut_lineage(segment_cents(spark, sf)).select(
+        "region", "nation", F.col("segment").alias("name"), F.col("segment").alias("party"), "votes")
     order = profiles.to_rows(profiles.base_orderings(r))
     return seg, order, ranked.runoff(seg, profiles.layers(r), order, ["nation"])
 
