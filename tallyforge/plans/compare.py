@@ -11,7 +11,7 @@ from ..operators.scan import join_null_safe
 
 # Chamber sizes whose stable and absolute majorities are laid down.
 KNOWN_LINES = {465: (244, 261), 475: (249, 266)}
-REFERENCE_CHAMBER = 465
+BASE_CHAMBER = 465
 
 #: Governing parties per election, as printed in the results.
 DEFAULT_COALITIONS = {
@@ -80,7 +80,7 @@ def spread(seats: DataFrame, keys: Sequence[str], value="seats") -> DataFrame:
 def majority_lines(df: DataFrame, members: str) -> DataFrame:
     """Majority, stable and absolute majority lines for each row's number of members.
 
-    Known sizes use the laid-down values; others scale the reference chamber's ratio
+    Known sizes use the laid-down values; others scale the base chamber's ratio
     and are flagged inexact.
     """
     m = F.col(members).cast("bigint")
@@ -96,12 +96,13 @@ def majority_lines(df: DataFrame, members: str) -> DataFrame:
             )
         ]
     )
-    stable0, absolute0 = KNOWN_LINES[REFERENCE_CHAMBER]
+    stable0, absolute0 = KNOWN_LINES[BASE_CHAMBER]
     hit = F.try_element_at(known, m)
 
     def scaled(line):
         # ceil(line * m / chamber) in whole numbers
-        return F.floor((F.lit(line).cast("bigint") * m + (REFERENCE_CHAMBER - 1)) / REFERENCE_CHAMBER).cast("bigint")
+        raised = F.lit(line).cast("bigint") * m + (BASE_CHAMBER - 1)
+        return ((raised - raised % BASE_CHAMBER) / BASE_CHAMBER).cast("bigint")
 
     def line(name, no, needed, exact):
         return F.struct(
