@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tallyforge.session import ensure_checkpoint_dir
 from tallyforge.sources.testdata import table
 
-__all__ = ["BLANKS", "WordHashes", "blank_free", "durable", "mix", "signed", "table", "words", "words_of"]
+__all__ = ["BLANKS", "WordHashes", "blank_free", "durable", "map_texts", "mix", "signed", "table", "words", "words_of"]
 
 #: ASCII white space: the characters that end a word.
 BLANKS = "\x20\t\n\x0b\f\r"
@@ -72,3 +76,39 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+
+
+def map_texts(
+    docs: DataFrame, keep: Sequence[str], text: str, fields: str, make: Callable[[], Callable[[list], list]],
+    many: bool = False, budget: int = 1 << 22,
+) -> DataFrame:
+    """Columns ``fields`` computed from texts in tasks, beside the ``keep`` columns as they are.
+
+    ``make()`` is called once per task and gives a function from a list of texts to a list of tuples, one
+    per text; with ``many``, to one list of tuples per text. Texts come in slices of about ``budget``
+    characters, so memory stays bounded for long ones.
+    """
+    taken = docs.select(*keep, F.col(text).alias("_text"))
+    empty = docs.sparkSession.createDataFrame([], fields).schema
+    schema = StructType(taken.schema.fields[:-1] + empty.fields)
+    types = to_arrow_schema(empty)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+            bounds = np.flatnonzero(np.diff(np.cumsum(size) // budget)) + 1
+            for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                rows = work(texts[a:b].to_pylist())
+                kept = [c[a:b] for c in batch.columns[:-1]]
+                if many:
+                    at = pa.array(np.repeat(np.arange(b - a), [len(r) for r in rows]))
+                    kept = [c.take(at) for c in kept]
+                    rows = [x for r in rows for x in r]
+                made = [pa.array(list(c), f.type) for f, c in zip(types, zip(*rows))] if rows else [pa.array([], f.type) for f in types]
+                yield pa.RecordBatch.from_arrays(kept + made, names=schema.names)
+
+    return taken.mapInArrow(run, schema)

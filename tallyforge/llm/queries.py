@@ -5,14 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import chat, quality_rules, secret_scan, sentencepiece_bpe
 from .common import table
 
+#: Where the vocabulary files of public tokenizers are; the same place on every machine.
+TOKENIZERS = "/opt/tokenizers"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Digests and sizes follow from the turns; each turn costs its escaped text and 14 template characters.
+CHAT_SQL = r"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, ['user', 'assistant'][i + 1], '\### Assistant: </turn> ok' FROM range(2) r(i)),
+e AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+         length(regexp_replace(role, '\\|###|</turn>|: ', '\\\0', 'g'))
+         + length(regexp_replace(text, '\\|###|</turn>|: ', '\\\0', 'g')) + 15 AS size FROM t),
+r AS (
+  SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS upto,
+         row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1 AS final FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY k)) AS loss_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' OR final THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (role = 'assistant' OR final) AS n_examples
+FROM r GROUP BY conv_id"""
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -26,3 +50,25 @@ def query(name: str, sql: str | None = None):
 @query("op7_quality_rules", quality_rules.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), PIECES)
+
+
+@query("op9_secret_scan", secret_scan.sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("repo", F.concat_ws("/", "source", "lang"))
+    return secret_scan.report(docs, owner="source", repository="repo")
+
+
+@query("op10_chat_formatting", CHAT_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.expand(turns))
