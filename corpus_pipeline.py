@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import quality_rules
+from tallyforge.llm import decontaminate, ngram_join, quality_rules, secret_scan, sentencepiece_bpe
 from tallyforge.llm.common import durable, table
+from tallyforge.llm.queries import PIECES
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +16,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(rows).where("kept").select("row.*")
 
 
-STAGES = [("quality rules", quality)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked by five-word shingles at 0.8: the one with the smallest doc_id.
+
+    Documents without doc_id cannot be compared and stay; of rows with the same doc_id and text one stays.
+    """
+    groups = ngram_join.similar_components(docs, n=5, percent=80)
+    known = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return known.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(
+        *docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; owner-specific secrets in their texts are replaced."""
+    return secret_scan.redact(docs, owner="source", repository="source")
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the ids of its text."""
+    return sentencepiece_bpe.encode(docs, PIECES, keep=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("SentencePiece encoding and decoding", encoding),
+]
 
 #: Tokenising by a given vocabulary cannot be expressed in SQL.
 ORACLE_SQL = None
