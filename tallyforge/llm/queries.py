@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, ngram_join, quality_rules, secret_scan, sentencepiece_bpe, suffix_dedup
+from . import (
+    chat,
+    decontaminate,
+    language_id,
+    ngram_join,
+    pii,
+    quality_rules,
+    secret_scan,
+    sentencepiece_bpe,
+    suffix_dedup,
+    token_counts,
+)
 from .common import table
 
 #: Where the vocabulary files of public tokenizers are; the same place on every machine.
 TOKENIZERS = "/opt/tokenizers"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+#: Only the test tables are named by this key; real data needs a secret one.
+PII_KEY = b"surrogates of the shared tables"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,11 +61,29 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.learn(docs.where(~out))
+    return language_id.predict(docs.select("doc_id", out.alias("held_out"), "text"), model, keep=("doc_id", "held_out"))
+
+
 @query("op7_quality_rules", quality_rules.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
+@query("op1_pii_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), RANKS, fields=("source", "text"))
+
+
 @query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
