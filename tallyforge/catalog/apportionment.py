@@ -241,7 +241,7 @@ def adams_contest_seats(spark, sf):
     f"""WITH {V_SQL}, {rank_sql()}
 SELECT contest, party, CAST(k AS INTEGER) AS seat_no, CAST(d AS BIGINT) AS divisor,
        votes // d AS quotient, CASE WHEN rn <= {SEATS} THEN CAST(rn AS INTEGER) END AS seat_rank
-FROM a WHERE k <= 20""",
+FROM a WHERE k <= greatest(20, (SELECT MAX(k) FROM a b WHERE b.contest = a.contest AND rn <= {SEATS}))""",
 )
 def quotients(spark, sf):
     votes = regional_votes(spark, sf).withColumn("seats", F.lit(SEATS))

@@ -54,13 +54,15 @@ SELECT l_returnflag, CAST(r.bin_no AS INTEGER) AS bin_no, COUNT(*) AS lines, CAS
 FROM lineitem LEFT JOIN r ON r.f = l_returnflag AND l_quantity >= lo AND l_quantity < hi GROUP BY 1, 2""",
 )
 def range_bin(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").cast("bigint").alias("qty"))
+    """Lines are counted by flag and quantity first: what is binned does not grow with the table."""
+    counts = table(spark, sf, "lineitem").groupBy("l_returnflag", F.col("l_quantity").cast("bigint").alias("qty")).agg(
+        F.count(F.lit(1)).alias("lines"))
     offset = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 2).otherwise(4)
-    bounds = lines.select("l_returnflag").distinct().select(
+    bounds = counts.select("l_returnflag").distinct().select(
         "l_returnflag", F.explode(F.array(*[F.lit(b) + offset for b in (1, 11, 21, 31, 46)])).alias("bound")
     )
-    return grid.bin_by_bounds(lines, bounds, ["l_returnflag"], F.col("qty")).groupBy("l_returnflag", "bin_no").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("qty").alias("qty")
+    return grid.bin_by_bounds(counts, bounds, ["l_returnflag"], F.col("qty")).groupBy("l_returnflag", "bin_no").agg(
+        F.sum("lines").alias("lines"), F.sum(F.col("qty") * F.col("lines")).alias("qty")
     )
 
 
@@ -112,20 +114,38 @@ def unpivot_groups(spark, sf):
     return long.groupBy("l_returnflag", "category").agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
 
 
+GROUP_SQL = """c AS (SELECT *, SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations)"""
+
+
+def wrapped(spark, sf, part_rows=None):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    merged = reshape.merge_wrapped(
+        rows, ["conv_id"], "turn", scan.numeric_split("turn"), "text", F.col("role") == "user", part_rows=part_rows
+    )
+    return merged.withColumns({"group_no": F.col("group_no").cast("bigint"), "label_md5": F.md5("label")}).drop("label")
+
+
 @query(
     "merge_wrapped",
-    """WITH c AS (SELECT *, SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations),
+    f"""WITH {GROUP_SQL}
+SELECT conv_id, CAST(g AS BIGINT) AS group_no, COUNT(*) AS rows, MIN(turn) AS first_row,
+  md5(STRING_AGG(text, '' ORDER BY turn)) AS label_md5 FROM c GROUP BY 1, 2""",
+)
+def merge_wrapped(spark, sf):
+    """One label per user turn: its text and that of the turns up to the next user turn."""
+    return wrapped(spark, sf)
+
+
+@query(
+    "merge_wrapped_parts",
+    f"""WITH {GROUP_SQL},
 p AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY conv_id, g ORDER BY turn) - 1) // 16 + 1 AS part FROM c)
 SELECT conv_id, CAST(g AS BIGINT) AS group_no, CAST(part AS BIGINT) AS part_no, COUNT(*) AS rows, MIN(turn) AS first_row,
   md5(STRING_AGG(text, '' ORDER BY turn)) AS label_md5 FROM p GROUP BY 1, 2, 3""",
 )
-def merge_wrapped(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    merged = reshape.merge_wrapped(
-        rows, ["conv_id"], "turn", scan.numeric_split("turn"), "text", F.col("role") == "user", part_rows=16
-    )
-    return merged.select(
-        "conv_id", F.col("group_no").cast("bigint").alias("group_no"), "part_no", "rows", "first_row", F.md5("label").alias("label_md5"))
+def merge_wrapped_parts(spark, sf):
+    """The same for groups of any length: consecutive parts of 16 rows, all of them kept."""
+    return wrapped(spark, sf, 16)
 
 
 @query(
@@ -180,16 +200,16 @@ SECTIONS, LABELS = ["a", "b", "c"], ["x", "y"]
 @query(
     "section_positions",
     """WITH e AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, COUNT(*) OVER (PARTITION BY user_id) = 6 AS complete FROM events),
-l AS (SELECT *, ['a', 'b', 'c'][CAST(p // 2 AS INTEGER) + 1] AS section, ['x', 'y'][CAST(p % 2 AS INTEGER) + 1] AS label,
+l AS (SELECT *, ['a', 'b', 'c'][CAST(p // 2 AS INTEGER) + 1] AS section, CASE WHEN p < 6 THEN ['x', 'y'][CAST(p % 2 AS INTEGER) + 1] END AS label,
    CASE WHEN event_type IN ('click', 'view') THEN 'x' ELSE 'y' END AS printed FROM e)
-SELECT event_id, section, label, label = printed AS ok, complete FROM l WHERE p < 6""",
+SELECT event_id, section, label, label IS NOT DISTINCT FROM printed AS ok, complete FROM l""",
 )
 def section_positions(spark, sf):
     rows = events(spark, sf).select(
         "user_id", "event_id", F.when(F.col("event_type").isin("click", "view"), "x").otherwise("y").alias("printed"))
     out = reshape.positional_labels(
         rows, ["user_id"], "event_id", scan.numeric_split("event_id"), SECTIONS, LABELS, "printed")
-    return out.where("section IS NOT NULL").select("event_id", "section", "label", "ok", "complete")
+    return out.select("event_id", "section", "label", "ok", "complete")
 
 
 @query(
@@ -274,8 +294,7 @@ def locate_key_column(spark, sf):
     text = F.when(F.expr("(o_orderkey div 4) % 3 = 0"), "2-HIGH").otherwise(F.col("o_orderpriority"))
     cells = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("doc"), (F.col("o_orderkey") % 4).cast("int").alias("col"), text.alias("txt"))
-    known = spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "name string")
-    return grid.locate_column(cells, known, ["doc"], "col", "txt")
+    return grid.locate_column(cells, ["1-URGENT", "2-HIGH"], ["doc"], "col", "txt")
 
 
 @query(
@@ -357,11 +376,27 @@ def roundtrip_check(spark, sf):
 
 @query(
     "nested_lists",
+    f"""WITH {SEG_SQL} SELECT region, nation, COUNT(*) AS items,
+  STRING_AGG(segment || '=' || votes, ',' ORDER BY votes DESC, segment) AS body FROM seg GROUP BY 1, 2""",
+)
+def nested_lists(spark, sf):
+    """One ordered list per nation: its segments, a closed set, so a list stays short."""
+    from ..plans.votes import segment_cents
+
+    seg = segment_cents(spark, sf).withColumn("down", -F.col("votes"))
+    lists = nest(seg, ["region", "nation"], ["down", "segment"], ["segment", "votes"], "items")
+    body = F.array_join(F.transform("items", lambda x: F.concat(x["segment"], F.lit("="), x["votes"].cast("string"))), ",")
+    return lists.select("region", "nation", F.size("items").cast("bigint").alias("items"), body.alias("body"))
+
+
+@query(
+    "nested_list_parts",
     """WITH r AS (SELECT o_custkey, o_orderkey, o_orderpriority, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p FROM orders)
 SELECT o_custkey, CAST(p // 4 + 1 AS BIGINT) AS part_no, COUNT(*) AS items, STRING_AGG(o_orderkey || '=' || o_orderpriority, ',' ORDER BY p) AS body
 FROM r GROUP BY 1, 2""",
 )
-def nested_lists(spark, sf):
+def nested_list_parts(spark, sf):
+    """Lists of any length, in consecutive parts."""
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
     parts = nest_in_parts(
         orders, ["o_custkey"], ["o_orderkey"], scan.numeric_split("o_orderkey"), ["o_orderkey", "o_orderpriority"], "items", 4)

@@ -31,12 +31,15 @@ BRACKETED = r"^[（(](.+?)[)）]$"
 PAREN_COUNT = r"[（(]([0-9,]+)[)）]"
 
 
-def canonical_category(raw: Column, aliases: dict[str, str] = ALIASES) -> Column:
-    """Spaces and footnote mark removed, aliases resolved."""
+def canonical_category(raw: Column, aliases: dict[str, str] = ALIASES, known: Sequence[str] | None = None) -> Column:
+    """Spaces and footnote mark removed, aliases resolved; a name that is not ``known`` is an error."""
     name = F.regexp_replace(squash(raw), FOOTNOTE, "")
     out = name
     for alias, value in aliases.items():
         out = F.when(name == alias, value).otherwise(out)
+    if known is not None:
+        allowed = sorted({*known, *aliases.values()})
+        out = F.when(out.isNull() | out.isin(allowed), out).otherwise(F.raise_error(F.concat(F.lit("unknown category: "), out)))
     return out
 
 
@@ -132,9 +135,12 @@ def main_and_inner(cell: Column) -> Column:
 
 
 def list_header(lines: Column) -> Column:
-    """Struct(party, votes, seats, male, female) from an array of header lines."""
+    """Struct(party, votes, seats, male, female) from an array of header lines.
+
+    A header without a number of votes or seats is an error.
+    """
     texts = F.transform(lines, squash)
-    stops = ("得票数", "当選人数", "男")
+    stops = ("得票数", "当選人数", "名簿", "男")
 
     def first(prefix):
         return F.get(F.filter(texts, lambda x: x.startswith(prefix)), F.lit(0))
@@ -164,10 +170,14 @@ def list_header(lines: Column) -> Column:
     def tail(prefix):
         return F.substr(first(prefix), F.lit(len(prefix) + 1))
 
+    def needed(prefix, value):
+        problem = F.concat(F.lit(f"list header without {prefix}: "), F.array_join(texts, " "))
+        return F.when(value.isNull(), F.raise_error(problem)).otherwise(value)
+
     return F.struct(
         name.alias("party"),
-        parse_decimal(tail("得票数")).alias("votes"),
-        parse_int(tail("当選人数")).alias("seats"),
+        needed("得票数", parse_decimal(tail("得票数"))).alias("votes"),
+        needed("当選人数", parse_int(tail("当選人数"))).alias("seats"),
         F.when(gender.rlike(people), F.regexp_extract(gender, people, 1).cast("int")).alias("male"),
         F.when(gender.rlike(people), F.regexp_extract(gender, people, 2).cast("int")).alias("female"),
     )

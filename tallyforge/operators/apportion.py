@@ -242,19 +242,23 @@ def quotient_table(
     df: DataFrame,
     contest: Sequence[str],
     awards: DataFrame,
-    max_divisor: int,
+    least_rows: int,
     *,
     party: str = "party",
     votes: str = "votes",
     method: str = DHONDT,
     first_tenths: int = 14,
 ) -> DataFrame:
-    """Every quotient up to ``max_divisor`` seats, with its award rank where it won."""
-    grid = df.select(
+    """Every quotient up to ``least_rows`` seats, or up to the most seats a party of the contest won.
+
+    Quotients that won carry their award rank, so no award is left out.
+    """
+    most = awards.groupBy(*contest).agg(F.max("seat_no").alias("__most"))
+    grid = join_null_safe(df, most, contest, "left").select(
         *contest,
         F.col(party).alias("party"),
         F.col(votes).cast("bigint").alias("votes"),
-        F.explode(F.sequence(F.lit(1), F.lit(max_divisor))).alias("seat_no"),
+        F.explode(F.sequence(F.lit(1), F.greatest(F.lit(least_rows), F.coalesce("__most", F.lit(0))))).alias("seat_no"),
     ).withColumn("divisor", divisor(method, F.col("seat_no"), first_tenths))
     keys = [*contest, "party", "seat_no"]
     return join_null_safe(

@@ -91,9 +91,17 @@ def cell_lines(tokens: DataFrame, keys: Sequence[str], top: str, x: str, text: s
     ).select(*keys, (F.col("line_no") + 1).alias("line_no"), "__x.*")
 
 
-def locate_column(cells: DataFrame, dimension: DataFrame, keys: Sequence[str], column: str, text: str) -> DataFrame:
-    """The column with most cells found in ``dimension``; lowest number on ties."""
-    hits = cells.join(dimension.select(F.col(dimension.columns[0]).alias(text)).distinct(), text, "left_semi")
+def locate_column(
+    cells: DataFrame, dimension: DataFrame | Sequence[str], keys: Sequence[str], column: str, text: str
+) -> DataFrame:
+    """The column with most cells found in ``dimension``; lowest number on ties.
+
+    A fixed list of names is a filter of the scan; a table of names is joined.
+    """
+    if isinstance(dimension, DataFrame):
+        hits = cells.join(dimension.select(F.col(dimension.columns[0]).alias(text)).distinct(), text, "left_semi")
+    else:
+        hits = cells.where(F.col(text).isin(list(dimension)))
     counts = hits.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("hits"))
     best = F.min(F.struct((-F.col("hits")).alias("n"), F.col(column).alias("c")))
     return counts.groupBy(*keys).agg(best.alias("__b")).select(

@@ -18,6 +18,8 @@ from ..session import cut_lineage
 from .scan import join_null_safe
 
 VOTES = "decimal(28,10)"
+#: Sums of the receivers of one bag, below 10^12 votes, and points of a bag; so narrow that a quotient keeps 16 places.
+_SUM, _SHARE = "decimal(22,10)", "decimal(17,16)"
 _SEQ_STEP = 1 << 32
 
 
@@ -125,19 +127,23 @@ def _redistribute(parcels: DataFrame, standing: DataFrame, accepts: DataFrame, k
     everyone = live.groupBy(*keys).agg(F.count(F.lit(1)).alias("__same"))
     even = join_null_safe(live, everyone, keys, "inner").select(
         *keys, F.lit(None).cast("string").alias("target"), F.lit("even").alias("route"), "name", "party",
-        F.lit(0).cast(VOTES).alias("total"), F.lit(0).cast("decimal(38,10)").alias("__base"), "__same",
+        F.lit(1).cast(VOTES).alias("total"), F.col("__same").cast(VOTES).alias("__base"),
     )
+    # Receivers without any votes share evenly.
+    some = F.col("__base") > 0
     receivers = shares.select(
-        *keys, "target", F.lit("layers").alias("route"), "name", F.col("target").alias("party"), "total", "__base", "__same"
+        *keys, "target", F.lit("layers").alias("route"), "name", F.col("target").alias("party"),
+        F.when(some, F.col("total")).otherwise(1).cast(VOTES).alias("total"),
+        F.when(some, F.col("__base")).otherwise(F.col("__same")).cast(VOTES).alias("__base"),
     ).unionByName(even)
-    ratio = F.when(F.col("__base") > 0, F.col("total").cast("double") / F.col("__base").cast("double")).otherwise(
-        F.lit(1.0) / F.col("__same")
-    )
-    part = (
-        F.when(F.col("__same").isNull() | (F.col("__same") == 1), F.col("votes"))
-        .when(F.col("route") == "even", (F.col("votes") / F.col("__same")).cast(VOTES))
-        .otherwise((F.col("votes").cast("double") * ratio).cast(VOTES))
-    )
+    # A receiver gets what lies between two points of the bag. The last point is all of it, so no vote is lost.
+    upto = F.sum("total").over(Window.partitionBy(*keys, "target", "route").orderBy("name")).cast(_SUM)
+    receivers = receivers.select(
+        *keys, "target", "route", "name", "party",
+        ((upto - F.col("total").cast(_SUM)).cast(_SUM) / F.col("__base").cast(_SUM)).cast(_SHARE).alias("__from"),
+        (upto / F.col("__base").cast(_SUM)).cast(_SHARE).alias("__to"))
+    part = F.when(F.col("__to").isNull(), F.col("votes")).otherwise(
+        (F.col("votes") * F.col("__to")).cast(VOTES) - (F.col("votes") * F.col("__from")).cast(VOTES)).cast(VOTES)
     arrived = join_null_safe(moved, receivers, [*keys, "target", "route"], "left").withColumn("votes", part)
     return kept.select(*columns, F.lit("kept").alias("state")).unionByName(
         arrived.select(*columns, F.when(F.col("name").isNull(), "gone").otherwise("moved").alias("state"))

@@ -93,14 +93,15 @@ def positional_labels(
 ) -> DataFrame:
     """Section and label by position, with ``ok`` where the printed label agrees.
 
-    A key must have exactly sections x labels rows; ``complete`` says so.
+    A key must have exactly sections x labels rows; ``complete`` says so. Rows beyond them
+    have neither section nor label.
     """
     n = len(labels)
     ranked = ordered_rank(df, keys, [order], split, "__no")
     counts = df.groupBy(*keys).agg((F.count(F.lit(1)) == n * len(sections)).alias("complete"))
     at = F.col("__no") - 1
     section = F.get(F.array(*[F.lit(s) for s in sections]), F.expr(f"int((__no - 1) div {n})"))
-    label = F.get(F.array(*[F.lit(x) for x in labels]), (at % n).cast("int"))
+    label = F.when(at < n * len(sections), F.get(F.array(*[F.lit(x) for x in labels]), (at % n).cast("int")))
     return join_null_safe(ranked, counts, keys, "inner").select(
         "*", section.alias("section"), label.alias("label"), label.eqNullSafe(F.col(printed)).alias("ok")
     ).drop("__no")

@@ -50,9 +50,8 @@ def measures_by_place(
     The prefecture column is located per page. A block label holds for the rows below
     it until the grand total. With ``blanks_allowed`` off, an empty number is an error.
     """
-    names = cells.sparkSession.createDataFrame([(p,) for p in PREFECTURES], "name string")
     base = locate_column(
-        cells.withColumn("key", squash(F.col("text"))), names, keys, "col", "key"
+        cells.withColumn("key", squash(F.col("text"))), PREFECTURES, keys, "col", "key"
     ).select(*keys, F.col("col").cast("int").alias("base"))
     rows = join_null_safe(rows_of(cells, keys), base, keys, "inner")
     label, before = squash(cell(F.col("base"))), squash(cell(F.col("base") - 1))
@@ -72,7 +71,7 @@ def measures_by_place(
 
 def measures_by_party(
     cells: DataFrame, parties: DataFrame, keys: Sequence[str], measures: Sequence[str], last_header_row: int, offset: int = 1,
-    whole: bool = False, max_rows: int | None = None, from_bottom: bool = True,
+    whole: bool = False, max_rows: int | None = None, from_bottom: bool = True, known: Sequence[str] | None = None,
 ) -> DataFrame:
     """Rows of a table "prefecture, then n numbers per party": prefecture, party, measures.
 
@@ -91,7 +90,7 @@ def measures_by_party(
         *keys, "row", "prefecture", "cells", F.explode("groups").alias("g"))
     parse = parse_int if whole else parse_decimal
     return long.select(
-        *keys, "row", "prefecture", labels.canonical_category(F.col("g.name")).alias("party"),
+        *keys, "row", "prefecture", labels.canonical_category(F.col("g.name"), known=known).alias("party"),
         *[parse(cell(F.col("g.group_no") * n + offset + i)).alias(m) for i, m in enumerate(measures)],
     )
 
@@ -113,7 +112,7 @@ def counts_by_band(cells: DataFrame, keys: Sequence[str], last_header_row: int)
         *keys, "row", "prefecture", "age_band", parse_int(F.col("text")).alias("count"))
 
 
-def vote_totals(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+def vote_totals(cells: DataFrame, keys: Sequence[str], known: Sequence[str] | None = None) -> DataFrame:
     """Rows of a table headed "区分" with one row per period and a bracketed share below.
 
     Result: period, party, votes, share_pct. Names wrapped over several rows, from the
@@ -137,17 +136,19 @@ def vote_totals(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.max(F.when(F.col("period").isNotNull(), F.col("text"))).alias("votes_text"),
         F.max(F.when(share & F.col("text").rlike(r"^[（(]"), F.regexp_replace("text", r"[()（）]", ""))).alias("share_text"))
     return join_null_safe(figures, names, [*by, "col"], "inner").select(
-        *keys, F.col("of_period").alias("period"), labels.canonical_category(F.col("name")).alias("party"),
+        *keys, F.col("of_period").alias("period"), labels.canonical_category(F.col("name"), known=known).alias("party"),
         parse_decimal(F.col("votes_text")).alias("votes"), parse_decimal(F.col("share_text"), to="decimal(9,3)").alias("share_pct"))
 
 
-def candidates(rows: DataFrame, roles: DataFrame, doc: Sequence[str], page: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def candidates(
+    rows: DataFrame, roles: DataFrame, doc: Sequence[str], page: Sequence[str], known: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(districts, candidates) from the rows of the candidate table.
 
     ``rows``: doc, page keys, ``pos`` (reading order inside a document), ``cells``.
     ``roles``: page keys, role, col. A district header opens a district; the rows below
-    are its candidates, numbered from 1. Contradictory marks, an impossible age or a row
-    above the first header are errors.
+    are its candidates, numbered from 1. Contradictory marks, an impossible age, a row
+    above the first header or a party that is not among the ``known`` are errors.
     """
     doc, page = list(doc), list(page)
     joined = squash(F.array_join(F.transform(F.array_sort(F.map_entries("cells")), lambda e: e["value"]), ""))
@@ -180,7 +181,7 @@ def candidates(rows: DataFrame, roles: DataFrame, doc: Sequence[str], page: Sequ
         party.alias("__p"), of("status").alias("status"), of("occupation").alias("occupation"),
         parse_decimal(of("votes")).alias("votes"), mark.alias("__m"),
     ).select(
-        "*", labels.canonical_category(F.col("__p.value")).alias("party"), F.col("__p.certified").alias("party_is_certified"),
+        "*", labels.canonical_category(F.col("__p.value"), known=known).alias("party"), F.col("__p.certified").alias("party_is_certified"),
         F.col("__m.elected").alias("elected"), F.col("__m.dual").alias("dual_candidacy"),
         F.col("__m.rate").alias("sekihai_rate"), F.col("__m.excluded").alias("sekihai_excluded"),
     ).drop("__p", "__m")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DecimalType, IntegralType, StructType
+from pyspark.sql.types import BooleanType, DecimalType, IntegralType, StringType, StructField, StructType
 
 from ..functions.numbers import plain_decimal
 from .schemas import TABLES
@@ -31,18 +33,41 @@ def typed(df: DataFrame, schema: StructType, strict: bool = True) -> DataFrame:
     return df.select(*out, *extra)
 
 
-def read_text_table(spark: SparkSession, path) -> DataFrame:
-    """A headed CSV with every cell as text, its columns as found in the file.
+#: Cells may hold quotes, written twice, and line breaks.
+CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+
+
+def read_text_table(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Headed CSVs with every cell as text, matched by column name; a column that a path lacks is null there.
 
-    Spark keeps no input order, so ``file_ordinal`` records it: the block's offset in
-    its file (in MiB) above the row's position in the task that read it. It orders
-    the rows of one file; no single-task numbering is needed.
+    Each path (a file or a folder of files, patterns allowed) has one header; a file
+    of a folder with another one is an error. Spark keeps no input order, so
+    ``file_ordinal`` records it: the block's offset in its file (in MiB) above the row's
+    position in the task that read it. It orders the rows of one file.
     """
-    df = spark.read.csv(path, header=True, inferSchema=False)
-    block = F.shiftleft(F.expr("_metadata.file_block_start div 1048576"), 33)
-    return df.withColumn(
-        "file_ordinal", block.bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in _resolved(spark, [paths] if isinstance(paths, str) else list(paths)):
+        header = tuple(spark.read.options(**CSV).csv(path).columns)
+        by_header.setdefault(header, []).append(path)
+    parts = []
+    for header, found in by_header.items():
+        schema = StructType([StructField(c, StringType()) for c in header])
+        df = spark.read.options(**CSV).option("enforceSchema", False).schema(schema).csv(found)
+        block = F.shiftleft(F.expr("_metadata.file_block_start div 1048576"), 33)
+        parts.append(df.withColumn(
+            "file_ordinal", block.bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        ))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _resolved(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
+    """The paths that patterns stand for, listed without reading the files: one per CSV file or folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(patterns)).select("path")
+    one = F.regexp_replace("path", r"(\.csv)/.*$", "$1")
+    return sorted(r[0] for r in files.select(one.alias("path")).distinct().collect())
 
 
 def load_tables(spark: SparkSession, folder: str, names=tuple(TABLES), elections=("*",)) -> dict[str, DataFrame]:
@@ -85,4 +110,4 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write as headed CSV, one file per partition; an empty table is refused."""
     if df.isEmpty():
         raise ValueError(f"refusing to write zero rows to {path}")
-    rendered(df).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
+    rendered(df).write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="").csv(path)

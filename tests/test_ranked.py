@@ -92,6 +92,13 @@ def test_runoff_matches_plain_tabulation(spark):
     for (c, no), rows in standing.items():
         assert len(rows) == len(contests[c]) - no + 1
         assert sum(float(r.votes) for r in rows) <= sum(v for _, v in contests[c].values()) + 1e-6
+    # Every round keeps all votes: what stands and what has been exhausted so far add up exactly.
+    gone = {}
+    for r in result.exhausted.collect():
+        gone[r.contest, r.round] = gone.get((r.contest, r.round), 0) + r.votes
+    for (c, no), rows in standing.items():
+        before = sum((v for (k, n), v in gone.items() if k == c and n < no), 0)
+        assert sum(r.votes for r in rows) + before == sum(v for _, v in contests[c].values()), (c, no)
     log = result.log().collect()
     assert all((r.eliminated is None) == (r.round == got[r.contest][1]) for r in log)
 

@@ -139,3 +139,18 @@ def test_sample_does_not_depend_on_partitions(spark):
     b = aggregates.seeded_sample(df.coalesce(1), ["s"], "k", 4, "seed")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert a.count() == 12
+
+
+def test_files_are_matched_by_column_name(spark, tmp_path):
+    for name, lines in (("one", "election_id,a,b\n1,10,20\n"), ("two", "election_id,b,a,c\n2,20,10,\"x \"\"q\"\" y\"\n"), ("three", "election_id,a\n3,\"l1\nl2\"\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "t.csv").write_text(lines)
+    got = tables.read_text_table(spark, f"{tmp_path}/*/t.csv").orderBy("election_id").select("election_id", "a", "b", "c").collect()
+    assert [tuple(r) for r in got] == [("1", "10", "20", None), ("2", "10", "20", 'x "q" y'), ("3", "l1\nl2", None, None)]
+
+
+def test_quotes_survive_a_round_trip(spark, tmp_path):
+    rows = [(1, 'x "q" y'), (2, "a,b"), (3, "l1\nl2"), (4, "")]
+    tables.write_table(spark.createDataFrame(rows, "k long, v string"), str(tmp_path / "t.csv"))
+    got = tables.read_text_table(spark, str(tmp_path / "t.csv")).orderBy("k").select("k", F.coalesce("v", F.lit(""))).collect()
+    assert [tuple(r) for r in got] == [(str(k), v) for k, v in rows]

@@ -141,3 +141,24 @@ def test_expressions_run_on_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {int(r.v) for r in spark.table("nums").collect()} == {-1200, 3}
+
+
+def test_list_header_stops_at_the_roster_line(spark):
+    df = spark.createDataFrame([(["政党等名 赤の", "会", "名簿届出 3人", "得票数 1,234票", "当選人数 2人"],)], "lines array<string>")
+    h = df.select(labels.list_header(F.col("lines")).alias("h")).first().h
+    assert (h.party, int(h.votes), h.seats) == ("赤の会", 1234, 2)
+
+
+@pytest.mark.parametrize("lines", [["政党等名 赤", "当選人数 2人"], ["政党等名 赤", "得票数 12票"]])
+def test_list_header_needs_votes_and_seats(spark, lines):
+    df = spark.createDataFrame([(lines,)], "lines array<string>")
+    with pytest.raises(Exception, match="list header without"):
+        df.select(labels.list_header(F.col("lines")).alias("h")).collect()
+
+
+def test_unknown_category_is_an_error(spark):
+    df = spark.createDataFrame([("赤 ※１",), ("（無所属）",), (None,)], "c string")
+    known = labels.canonical_category(F.col("c"), known=["赤"])
+    assert [r[0] for r in df.select(known).collect()] == ["赤", "無所属", None]
+    with pytest.raises(Exception, match="unknown category: 青"):
+        spark.createDataFrame([("青",)], "c string").select(known).collect()
