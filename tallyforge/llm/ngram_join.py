@@ -3,9 +3,9 @@
 The matrix has a row per document and a column per word n-gram; its product with its transpose holds the
 overlap counts. It is never formed whole. Columns get one global order, rare ones first, and a row's
 *leading* columns are those of which at least one must be shared by any similar row. The product over
-leading columns comes first: its counts, with sizes and positions, bound the overlap, and entries below
-the size-derived bound are dropped. The entries that remain are completed over all columns, in blocks of
-rows, and compared exactly.
+leading columns comes first and only says which entries can reach the least overlap that the sizes of
+both rows ask for; all others are dropped. For the entries that remain, overlap counts are accumulated over
+all columns, in blocks of rows, and compared exactly.
 
 A large group of near copies has a quadratic number of similar pairs. Only components are asked for, so
 each leading column is first multiplied with one row alone, its *hub*; entries inside a component found
@@ -224,37 +224,45 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, text: str
 
     hubs = durable(
         shared.groupBy("col").agg(F.min(F.struct("pos", "cls", "size")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("col", F.col("h.cls").alias("hub"), F.col("h.pos").alias("hub_pos"), F.col("h.size").alias("hub_size")))
-
-    def possible(size_a: Column, pos_a: Column, size_b: Column, pos_b: Column) -> Column:
-        """The bound allows similarity: by sizes, and by what can precede and follow a shared column."""
-        before, after = F.least(pos_a, pos_b), F.least(size_a - pos_a, size_b - pos_b)
-        return (F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent) & (before + after >= _bound(size_a, size_b, percent))
+        .select("col", F.col("h.cls").alias("hub")))
+    # Leading columns that no other row has are lost to any overlap; what is left of a row bounds it.
+    shared = shared.join(hubs, "col")
+    limits = durable(shared.groupBy("cls").agg(
+        (F.ceil(F.max("size") * percent / 100) - 1 + F.count(F.lit(1))).cast("int").alias("limit")))
+    shared = durable(shared.join(limits, "cls"))
+    hub = durable(shared.where("cls = hub").select("col", *[F.col(c).alias(f"hub_{c}") for c in ("pos", "size", "limit")]))
+
+    def possible(a: str, b: str, first: bool = False) -> Column:
+        """The bounds allow similarity of rows whose columns are named so.
+
+        By sizes, by limits, and by what can precede and follow the shared column; with ``first``, nothing
+        shared precedes it. Every pair has a first shared column, so that bound may be asked of all.
+        """
+        size_a, size_b, limit_a, limit_b, pos_a, pos_b = (F.col(x.format(c)) for c in ("size", "limit", "pos") for x in (a, b))
+        least = _bound(size_a, size_b, percent)
+        before, after = F.lit(0) if first else F.least(pos_a, pos_b), F.least(size_a - pos_a, size_b - pos_b)
+        return (F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent) & (
+            F.least(limit_a, limit_b, before + after) >= least)
 
     first = (
-        shared.join(hubs, "col").where(F.col("cls") != F.col("hub"))
-        .where(possible(F.col("size"), F.col("pos"), F.col("hub_size"), F.col("hub_pos")))
+        shared.join(hub, "col").where((F.col("cls") != F.col("hub")) & possible("{}", "hub_{}"))
         .select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct())
     first = durable(first)
     links = durable(_complete(first, reps, docs, n, percent))
     group = components(links)
 
     # Rows outside their hub's component, against all rows of the column in other components.
-    member = shared.join(hubs, "col").join(group.select(F.col("node").alias("cls"), F.col("component").alias("own")), "cls", "left")
+    member = shared.join(group.select(F.col("node").alias("cls"), F.col("component").alias("own")), "cls", "left")
     member = member.join(group.select(F.col("node").alias("hub"), F.col("component").alias("top")), "hub", "left")
     member = durable(member.select(
-        "col", "cls", "size", "pos", F.coalesce("own", "cls").alias("own"), F.coalesce("top", "hub").alias("top")))
-    left = member.where("own != top").select("col", *[F.col(c).alias(f"{c}_a") for c in ("cls", "size", "pos", "own", "top")])
-    right = member.select("col", *[F.col(c).alias(f"{c}_b") for c in ("cls", "size", "pos", "own", "top")])
+        "col", "cls", "size", "pos", "limit", F.coalesce("own", "cls").alias("own"), F.coalesce("top", "hub").alias("top")))
+    left = member.where("own != top").select("col", *[F.col(c).alias(f"{c}_a") for c in ("cls", "size", "pos", "limit", "own", "top")])
+    right = member.select("col", *[F.col(c).alias(f"{c}_b") for c in ("cls", "size", "pos", "limit", "own", "top")])
     entries = left.join(right, "col").where(
         (F.col("own_a") != F.col("own_b")) & ((F.col("own_b") == F.col("top_b")) | (F.col("cls_a") < F.col("cls_b")))
-        & possible(F.col("size_a"), F.col("pos_a"), F.col("size_b"), F.col("pos_b")))
-    second = entries.groupBy(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).agg(
-        F.count(F.lit(1)).alias("overlap"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"))
-    # The leading product counts every shared leading column; behind them at most the rest of one row is shared.
-    rest = F.greatest(*[F.ceil(F.col(c) * percent / 100) - 1 for c in ("size_a", "size_b")])
-    second = second.where(F.col("overlap") + rest >= _bound(F.col("size_a"), F.col("size_b"), percent))
-    second = durable(second.select("a", "b").join(first, ["a", "b"], "left_anti"))
+        & possible("{}_a", "{}_b", first=True))
+    second = entries.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+    second = durable(second.join(first, ["a", "b"], "left_anti"))
     links = links.unionByName(_complete(second, reps, docs, n, percent))
 
     group = components(durable(links))
