@@ -193,8 +193,11 @@ def check_domain(spark, sf):
 
 @query(
     "check_schema",
-    """SELECT * FROM (VALUES ('customer', 'extra', 'c_acctbal', 0), ('customer', 'missing', 'c_phone', 0)) t(table_name, side, column_name, x)
-WHERE x = 0 AND (SELECT COUNT(*) FROM customer) > 0""".replace("SELECT *", "SELECT table_name, side, column_name, (SELECT COUNT(*) FROM customer) AS n"),
+    """WITH found AS (SELECT column_name FROM (DESCRIBE customer)),
+want(column_name) AS (VALUES ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_mktsegment'), ('c_phone'))
+SELECT 'customer' AS table_name, side, column_name, (SELECT COUNT(*) FROM customer) AS n FROM (
+  SELECT 'extra' AS side, column_name FROM found WHERE column_name NOT IN (SELECT column_name FROM want)
+  UNION ALL SELECT 'missing', column_name FROM want WHERE column_name NOT IN (SELECT column_name FROM found))""",
 )
 def check_schema(spark, sf):
     customer = table(spark, sf, "customer")

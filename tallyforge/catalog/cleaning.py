@@ -28,9 +28,15 @@ def clean_text_key(spark, sf):
     )
 
 
-@query("nfkc_key")
+@query(
+    "nfkc_key",
+    f"""SELECT doc_id, md5(translate(regexp_replace(nfc_normalize(text), '{SQL_SPACES}', '', 'g'), '{text.SMALL_KANA}', '{text.FULL_KANA}')) AS key_md5
+FROM documents""",
+)
 def nfkc_key(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(text.name_key(F.col("text"))).alias("key_md5"))
+    """Keys of documents of which every other one is printed in full width: both forms have the key of the plain text."""
+    printed = F.when(F.col("doc_id") % 2 == 0, F.translate("text", text.NARROW, text.WIDE)).otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.name_key(printed)).alias("key_md5"))
 
 
 def printed_prices(spark, sf):

@@ -87,12 +87,20 @@ def profile_matrix(spark, sf):
     return profiles.complete_matrix(rates(spark, sf), DERIVED)
 
 
-@query("profile_check", "SELECT 'x' AS voter, 'x' AS problem WHERE FALSE")
+@query(
+    "profile_check",
+    """SELECT DISTINCT c_mktsegment AS voter, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'own group is not first'
+  WHEN 'BUILDING' THEN 'not a permutation of all groups' ELSE 'rate matrix is not square' END AS problem
+FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY')""",
+)
 def profile_check(spark, sf):
-    """The built profile breaks no rule: no rows."""
+    """The built profile with one fault of each kind put in: these and no others are found."""
     r = rates(spark, sf)
+    ordering = F.when(F.col("voter") == "AUTOMOBILE", F.reverse("ordering")).when(
+        F.col("voter") == "BUILDING", F.slice("ordering", F.lit(1), F.size("ordering") - 1)).otherwise(F.col("ordering"))
+    matrix = profiles.complete_matrix(r, DERIVED).where("NOT (voter = 'MACHINERY' AND target = 'TWIN')")
     return profiles.profile_problems(
-        profiles.build_profile(r, DERIVED, UNPLACED, POSITION), profiles.complete_matrix(r, DERIVED))
+        profiles.build_profile(r, DERIVED, UNPLACED, POSITION).withColumn("ordering", ordering), matrix)
 
 
 OVERRIDE_SQL = f"""{PROFILE_SQL},

@@ -33,11 +33,13 @@ def fold_width(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode NFKC over Arrow batches; plain ASCII passes through."""
-    return text.map(
-        lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore"
-    )
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode NFKC over Arrow batches; only texts with a character outside ASCII travel to Python."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def normalize(text: Column) -> Column:

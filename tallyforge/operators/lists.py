@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .scan import join_null_safe, top_by_group
 
+#: District tables up to this size are broadcast; a row has a few short fields, so that is some ten MB.
+SMALL_ROWS = 200_000
+
 
 def plurality(candidates: DataFrame, keys: Sequence[str], name="name", party="party", votes="votes") -> DataFrame:
     """Winner per district: most votes, then name. One map-side-combined aggregate."""
@@ -49,6 +52,11 @@ def eligible(
     return F.when(dual, can).otherwise(F.lit(True))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast a table of districts if it has no more than SMALL_ROWS rows; a longer one is joined by key."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def mark_entries(entries: DataFrame, outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach the district outcome to each entry and decide win, ratio and eligibility.
 
@@ -56,7 +64,7 @@ def mark_entries(entries: DataFrame, outcomes: DataFrame, keys: Sequence[str]) -
     rule columns share_num, share_den, rate_floor. ``outcomes``: keys, winner,
     winner_votes. A listed person won when the district-side name is the winner's.
     """
-    joined = join_null_safe(entries, outcomes.select(*keys, "winner", "winner_votes"), keys, "left")
+    joined = join_null_safe(entries, small(outcomes.select(*keys, "winner", "winner_votes")), keys, "left")
     dual = F.coalesce(F.col("dual"), F.lit(False))
     won = dual & F.col("winner").isNotNull() & F.col("winner").eqNullSafe(F.col("smd_name"))
     return joined.withColumn("won", won).select(
@@ -80,16 +88,25 @@ def fill_lists(
     """The first ``seats`` eligible entries per (contest, party).
 
     Order: list rank, then ratio (none counts as zero) descending, then file order.
-    ``extra_keys`` are further keys of ``seats`` (scenarios) that share one entry table.
+    ``extra_keys`` are further keys of ``seats`` (scenarios) that share one entry table:
+    entries are ranked once, as far as the largest number of seats, and each scenario
+    takes from the top. A list with fewer eligible entries than seats is an error.
     """
-    pool = join_null_safe(
-        marked.where("eligible"), seats.where("seats > 0").select(*keys, *extra_keys, "seats"), keys, "inner"
-    )
-    return top_by_group(
-        pool, [*extra_keys, *keys],
-        [F.col("list_rank"), F.coalesce("rate", F.lit(0)).desc(), F.col(ordinal)],
-        F.col("seats"), [ordinal], "fill_no",
-    )
+    wanted = seats.where("seats > 0").select(*keys, *extra_keys, "seats")
+    able = marked.where("eligible")
+    most = join_null_safe(
+        wanted.groupBy(*keys).agg(F.max("seats").alias("__most")),
+        able.groupBy(*keys).agg(F.count(F.lit(1)).alias("__able")), keys, "left",
+    ).withColumn("__most", F.when(F.coalesce("__able", F.lit(0)) >= F.col("__most"), F.col("__most")).otherwise(
+        F.raise_error(F.concat(F.lit("a list is too short for its seats: "), F.col("__most").cast("string")))
+    ))
+    # Left: a list without any eligible entry is met, too.
+    pool = join_null_safe(most.drop("__able"), able, keys, "left").where(F.col(ordinal).isNotNull())
+    ranked = top_by_group(
+        pool, keys, [F.col("list_rank"), F.coalesce("rate", F.lit(0)).desc(), F.col(ordinal)],
+        F.col("__most"), [ordinal], "fill_no",
+    ).drop("__most")
+    return join_null_safe(ranked, wanted, keys, "inner").where("fill_no <= seats")
 
 
 def shortfall(filled: DataFrame, seats: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -97,14 +97,17 @@ def simulate(
         F.count(F.lit(1)).alias("smd")
     )
 
-    # Eligibility depends on four rule fields only.
-    rules = attach(data.blocks.select("election").distinct()).select("election", *RULE_KEYS).distinct()
+    # Eligibility depends on four rule fields only; their combinations are listed by the caller, and
+    # every entry is repeated for each of them in its own row, without a join.
+    rules = attach(data.blocks.sparkSession.range(1)).select(*RULE_KEYS).distinct().collect()
+    types = {f.name: f.dataType for f in attach(data.blocks).schema.fields}
+    listed_rules = F.array(*[F.struct(*[F.lit(r[k]).cast(types[k]).alias(k) for k in RULE_KEYS]) for r in rules])
     entries = join_null_safe(
-        data.entries, data.districts.select("election", "district", "valid_votes"), place, "left"
+        data.entries, lists.small(data.districts.select("election", "district", "valid_votes")), place, "left"
     )
     marked = lists.mark_entries(
-        entries.join(rules, "election"), outcome.select("smd_voting", *place, "winner", "winner_votes"),
-        ["smd_voting", *place],
+        entries.select("*", F.explode(listed_rules).alias("__r")).select("*", "__r.*").drop("__r"),
+        outcome.select("smd_voting", *place, "winner", "winner_votes"), ["smd_voting", *place],
     )
     capacity = lists.capacities(marked, [*RULE_KEYS, "election", "block", "party"])
 

@@ -6,6 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import lists
 from tallyforge.operators import apportion as ap
 
 
@@ -170,3 +171,14 @@ def test_wide_contest_explodes_few_rows(spark):
         (-Fraction(i % 97 + 1, k), -(i % 97 + 1), str(i), k) for i in range(5000) for k in range(1, 60)
     )[:3000]
     assert [(r.party, r.seat_no) for r in got.orderBy("award_no").collect()] == [(w[2], w[3]) for w in want]
+
+
+def test_a_list_too_short_is_an_error(spark):
+    marked = spark.createDataFrame(
+        [("x", i, 1, None, i != 2) for i in range(4)] + [("y", 9, 1, None, False)], "party string, ordinal int, list_rank int, rate double, eligible boolean")
+    seats = spark.createDataFrame([("s1", "x", 3), ("s2", "x", 1), ("s3", "y", 0)], "scenario string, party string, seats int")
+    got = lists.fill_lists(marked, seats, ["party"], ["scenario"]).collect()
+    assert sorted((r.scenario, r.ordinal, r.fill_no) for r in got) == [("s1", 0, 1), ("s1", 1, 2), ("s1", 3, 3), ("s2", 0, 1)]
+    for short in (("s1", "x", 4), ("s3", "y", 1)):
+        with pytest.raises(Exception, match="too short"):
+            lists.fill_lists(marked, spark.createDataFrame([short], "scenario string, party string, seats int"), ["party"], ["scenario"]).collect()
