@@ -97,11 +97,12 @@ def fill_lists(
     most = join_null_safe(
         wanted.groupBy(*keys).agg(F.max("seats").alias("__most")),
         able.groupBy(*keys).agg(F.count(F.lit(1)).alias("__able")), keys, "left",
-    ).withColumn("__most", F.when(F.coalesce("__able", F.lit(0)) >= F.col("__most"), F.col("__most")).otherwise(
-        F.raise_error(F.concat(F.lit("a list is too short for its seats: "), F.col("__most").cast("string")))
-    ))
-    # Left: a list without any eligible entry is met, too.
-    pool = join_null_safe(most.drop("__able"), able, keys, "left").where(F.col(ordinal).isNotNull())
+    )
+    # Left and checked afterwards: a list without any eligible entry is met, too.
+    enough = F.coalesce("__able", F.lit(0)) >= F.col("__most")
+    short = F.raise_error(F.concat(F.lit("a list is too short for its seats: "), F.col("__most").cast("string")))
+    pool = join_null_safe(most, able, keys, "left").where(
+        F.when(enough, F.col(ordinal).isNotNull()).otherwise(short.cast("boolean"))).drop("__able")
     ranked = top_by_group(
         pool, keys, [F.col("list_rank"), F.coalesce("rate", F.lit(0)).desc(), F.col(ordinal)],
         F.col("__most"), [ordinal], "fill_no",
