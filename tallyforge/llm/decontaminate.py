@@ -22,9 +22,11 @@ from .common import WordHashes, map_texts, mix, words_of
 
 #: Words that an edit may touch, of a hundred of the item's.
 EDIT_PERCENT = 10
-#: Chance to find a window at the largest distance allowed, and what one repetition finds at least (measured).
+#: Chance to find a window at the largest distance allowed, and what one more repetition finds of those that the
+#: others miss. Single repetitions find 0.47 to 0.70 of such windows; they miss partly the same ones, hence less.
 TARGET_RECALL, PER_REPETITION = 0.99, 0.2
-SAMPLES = 4
+#: Samples of a repetition, and the steps of the walk that they are taken from.
+SAMPLES, STEPS = 4, 20
 #: Items in memory at once; a larger benchmark is searched in blocks of so many.
 BLOCK_ITEMS = 50_000
 HIT = "item_id long, start_word long, end_word long, distance long"
@@ -46,23 +48,28 @@ def _moves(word: np.ndarray, step: int, seed: int) -> np.ndarray:
 
 
 class Walk:
-    """Walks and sampled steps of one item size; the samples lie where the window still has words."""
+    """The walk and the sampled steps of one repetition.
+
+    Steps are sampled from the first STEPS, which read the first words of a window: items of STEPS words and
+    more share a walk whatever their size, a shorter item ends within it and is walked by its own size.
+    """
 
     def __init__(self, size: int, seed: int):
-        rng = np.random.default_rng([size, seed])
-        self.size, self.seed = size, seed
-        self.steps = np.sort(rng.choice(max(2 * size - 2, 1), min(SAMPLES, max(2 * size - 2, 1)), replace=False))
+        rng = np.random.default_rng([min(size, STEPS), seed])
+        span = min(STEPS, max(2 * size - 2, 1))
+        self.size, self.seed = min(size, STEPS), seed
+        self.steps = np.sort(rng.choice(span, min(SAMPLES, span), replace=False))
 
     def keys(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Hash of the sampled words for each window that begins at a start; past its end, a filler."""
+        """Hash of the sampled words for each window that begins at a start; past its size, a filler."""
         at = np.zeros(len(starts), np.int64)
         key = np.full(len(starts), self.seed + 1, np.uint64)
         wanted = set(self.steps.tolist())
-        last = int(self.steps[-1])
         with np.errstate(over="ignore"):
-            for step in range(last + 1):
-                inside = at < self.size
-                word = np.where(inside, flat[starts + np.minimum(at, self.size - 1)], np.uint64(0))
+            for step in range(int(self.steps[-1]) + 1):
+                word = flat[starts + at]
+                if self.size < STEPS:
+                    word = np.where(at < self.size, word, np.uint64(0))
                 if step in wanted:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + word)
                 at += _moves(word, step, self.seed)
@@ -85,19 +92,21 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, i
 
 
 class Index:
-    """LSH tables over a block of items."""
+    """LSH tables over a block of items: one set for items of STEPS words and more, one for each smaller size."""
 
     def __init__(self, items: list[tuple[int, str]], repeats: int):
         known = WordHashes()
         self.items = [(i, known.of(w, len(w))) for i, t in items if (w := words_of(t))]
-        self.by_size: dict[int, list[int]] = defaultdict(list)
-        for k, (_, w) in enumerate(self.items):
-            self.by_size[len(w)].append(k)
+        self.sizes = sorted({len(w) for _, w in self.items})
         self.vocabulary = np.unique(np.concatenate([w for _, w in self.items])) if self.items else np.zeros(0, np.uint64)
+        classes: dict[int, list[int]] = defaultdict(list)
+        for k, (_, w) in enumerate(self.items):
+            classes[min(len(w), STEPS)].append(k)
         self.tables = {}
-        for size, members in self.by_size.items():
-            flat = np.concatenate([self.items[k][1] for k in members])
-            starts = np.arange(len(members)) * size
+        for size, members in classes.items():
+            filler = np.zeros(STEPS, np.uint64)
+            flat = np.concatenate([x for k in members for x in (self.items[k][1], filler)])
+            starts = np.cumsum([0, *[len(self.items[k][1]) + STEPS for k in members[:-1]]])
             tables = []
             for r in range(repeats):
                 walk = Walk(size, r)
@@ -112,8 +121,8 @@ class Index:
         Cut into runs of the smallest item size, a window near an item has a run with few words of no item;
         one that starts close enough behind each place is looked for once for all sizes.
         """
-        least, longest = min(self.tables), max(self.tables)
-        few = max(allowed(n) // max((n - allowed(n)) // least, 1) for n in self.tables)
+        least, longest = self.sizes[0], self.sizes[-1]
+        few = max(allowed(n) // max((n - allowed(n)) // least, 1) for n in self.sizes)
         at = np.arange(count)
         dense = foreign[np.minimum(at + least, count)] - foreign[:-1] <= few
         ahead = np.concatenate([[0], np.cumsum(dense)])
@@ -129,18 +138,18 @@ class Index:
             return []
         place = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
         foreign = np.concatenate([[0], np.cumsum(self.vocabulary[place] != flat)])
-        padded = np.concatenate([flat, np.zeros(max(self.tables), np.uint64)])
+        padded = np.concatenate([flat, np.zeros(STEPS, np.uint64)])
         places = self._near(foreign, len(flat))
         room = ends[owner[places]] - places
-        for size, tables in self.tables.items():
-            most = allowed(size)
-            # A window near an item holds at most ``most`` words of no item and is at most that much shorter.
+        # A window near an item holds at most ``allowed`` words of no item and is at most that much shorter.
+        fits = {c: np.zeros(len(places), bool) for c in self.tables}
+        for size in self.sizes:
             upto = places + np.minimum(size, room)
-            starts = places[(room >= size - most) & (foreign[upto] - foreign[places] <= most)]
-            if not len(starts):
-                continue
+            fits[min(size, STEPS)] |= (room >= size - allowed(size)) & (foreign[upto] - foreign[places] <= allowed(size))
+        for c, tables in self.tables.items():
+            starts = places[fits[c]]
             pairs = []
-            for walk, keys, members in tables:
+            for walk, keys, members in tables if len(starts) else ():
                 # A short window at the end of a text reads on, as any window with words lost does.
                 found = walk.keys(padded, starts)
                 lo, hi = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
@@ -149,15 +158,14 @@ class Index:
                     count = (hi - lo)[some]
                     at = np.repeat(lo[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
                     pairs.append(np.stack([np.repeat(starts[some], count), members[at]]))
-            if not pairs:
-                continue
-            for start, k in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist():
-                doc = int(owner[start])
-                item_id, item = self.items[k]
+            for start, k in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist() if pairs else ():
+                doc, (item_id, item) = int(owner[start]), self.items[k]
+                size, most = len(item), allowed(len(item))
                 best = hits.get((doc, item_id))
-                if best and best[2] == 0:
+                end = int(ends[doc])
+                if best and best[2] == 0 or foreign[min(start + size, end)] - foreign[start] > most:
                     continue
-                d, length = edit_distance(item, flat[start : min(int(ends[doc]), start + size + most)], most)
+                d, length = edit_distance(item, flat[start : min(end, start + size + most)], most)
                 if d <= most and (best is None or (d, start) < (best[2], best[0])):
                     hits[doc, item_id] = (start, start + length, d)
         begins = np.concatenate([[0], ends[:-1]])
