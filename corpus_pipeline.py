@@ -19,12 +19,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked by five-word shingles at 0.8: the one with the smallest doc_id.
 
-    Documents without doc_id cannot be compared and stay; of rows with the same doc_id and text one stays.
+    Documents without doc_id cannot be compared and stay. Rows with the same doc_id stay or go together;
+    of those with the same text, too, the one with the smallest other columns stays.
     """
-    groups = ngram_join.similar_components(docs, n=5, percent=80)
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return known.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(
-        *docs.columns).unionByName(docs.where("doc_id is null"))
+    groups = ngram_join.similar_components(docs, n=5, percent=80).where("doc_id is not null")
+    first = durable(groups.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("first").select("doc_id", "n"))
+    single = docs.join(first.where("n = 1"), "doc_id", "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    several = docs.join(first.where("n > 1"), "doc_id", "left_semi").groupBy("doc_id", "text").agg(
+        F.min(F.struct(*others)).alias("o")).select("doc_id", "text", "o.*")
+    return single.unionByName(several.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,13 +143,11 @@ def class_of(columns: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(columns.tobytes())).view(np.int64))
 
 
-def _complete(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _complete(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Exact overlap counts of the entries ``(a, b)`` over all columns; those of similar rows stay."""
     sides = pairs.select(F.explode(F.array(
         F.struct(F.col("a").alias("cls"), "a", "b"), F.struct(F.col("b").alias("cls"), "a", "b"))).alias("s")).select("s.*")
-    wanted = sides.join(reps.select("cls", "doc_id"), "cls")
-    texts = wanted.join(docs.select("doc_id", "text"), "doc_id").select("a", "b", "cls", "text")
-    together = texts.repartition("a", "b").sortWithinPartitions("a", "b", "cls")
+    together = sides.join(texts, "cls").select("a", "b", "cls", "text").repartition("a", "b").sortWithinPartitions("a", "b", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -230,6 +228,9 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, text: str
     limits = durable(shared.groupBy("cls").agg(
         (F.ceil(F.max("size") * percent / 100) - 1 + F.count(F.lit(1))).cast("int").alias("limit")))
     shared = durable(shared.join(limits, "cls"))
+    # Texts of the rows that share a leading column: all that exact counts can be asked for.
+    texts = shared.select("cls").distinct().join(reps.select("cls", "doc_id"), "cls").join(docs, "doc_id")
+    texts = durable(texts.select("cls", "text"))
     hub = durable(shared.where("cls = hub").select("col", *[F.col(c).alias(f"hub_{c}") for c in ("pos", "size", "limit")]))
 
     def possible(a: str, b: str, first: bool = False) -> Column:
@@ -248,7 +249,7 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, text: str
         shared.join(hub, "col").where((F.col("cls") != F.col("hub")) & possible("{}", "hub_{}"))
         .select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct())
     first = durable(first)
-    links = durable(_complete(first, reps, docs, n, percent))
+    links = durable(_complete(first, texts, n, percent))
     group = components(links)
 
     # Rows outside their hub's component, against all rows of the column in other components.
@@ -263,7 +264,7 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, text: str
         & possible("{}_a", "{}_b", first=True))
     second = entries.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
     second = durable(second.join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(_complete(second, reps, docs, n, percent))
+    links = links.unionByName(_complete(second, texts, n, percent))
 
     group = components(durable(links))
     classes = reps.join(group.select(F.col("node").alias("cls"), "component"), "cls", "left").select(

@@ -65,7 +65,7 @@ def test_against_brute_force(spark, tmp_path):
     kept = [r for r in docs if test_quality_rules.brute(r[1])[-1] == 0]
     named = [r for r in kept if r[0] is not None]
     least = {d: c for d, _, c in test_ngram_join.brute([r[:2] for r in named], 5, 80)}
-    kept = list({r[0]: r for r in named if least[r[0]] == r[0]}.values()) + [r for r in kept if r[0] is None]
+    kept = list({r[0]: r for r in sorted(named, key=str, reverse=True) if least[r[0]] == r[0]}.values()) + [r for r in kept if r[0] is None]
     leaked = {d for d, _ in test_decontaminate.brute([r[:2] for r in kept], items)}
     kept = [r for r in kept if r[0] not in leaked]
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
