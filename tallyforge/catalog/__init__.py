@@ -2,6 +2,6 @@
 SQL can state it. Modules register themselves on import."""
 
 from .base import QUERIES, SQL
-from . import apportionment, checks, cleaning, elections, preferences, relations, shaping
+from . import apportionment, check_families, checks, cleaning, elections, preferences, relations, shaping
 
-__all__ = ["QUERIES", "SQL", "apportionment", "checks", "cleaning", "elections", "preferences", "relations", "shaping"]
+__all__ = ["QUERIES", "SQL", "apportionment", "check_families", "checks", "cleaning", "elections", "preferences", "relations", "shaping"]
