@@ -31,20 +31,43 @@ i1 AS (SELECT *, CASE WHEN us - LAG(us) OVER (PARTITION BY user_id ORDER BY us,
 isl AS (SELECT *, SUM(s) OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM i1)"""
 
 
-@query(
-    "gap_cluster",
-    f"""WITH {ISLAND_SQL} SELECT user_id, CAST(n AS BIGINT) AS cluster_no, COUNT(*) AS size,
-  CAST(MAX(us) - MIN(us) AS BIGINT) AS extent, CAST((SUM(us - 1704067200000000) // COUNT(*)) AS BIGINT) AS center FROM isl GROUP BY 1, 2""",
-)
-def gap_cluster(spark, sf):
+#: Keys of so many rows are cut into splits in the ``…_split`` queries, so that those paths are compared, too.
+FEW_ROWS = 8
+GAP_SQL = f"""WITH {ISLAND_SQL} SELECT user_id, CAST(n AS BIGINT) AS cluster_no, COUNT(*) AS size,
+  CAST(MAX(us) - MIN(us) AS BIGINT) AS extent, CAST((SUM(us - 1704067200000000) // COUNT(*)) AS BIGINT) AS center FROM isl GROUP BY 1, 2"""
+
+
+@query("gap_cluster", GAP_SQL)
+def gap_cluster(spark, sf, hot_rows=scan.HOT_ROWS):
     rows = events(spark, sf).select("user_id", "event_id", (F.col("at") - 1704067200000000).alias("at"))
-    islands = scan.islands(rows, ["user_id"], ["at", "event_id"], F.floor(F.col("at") / DAY), "at", GAP, "cluster_no")
+    islands = scan.islands(rows, ["user_id"], ["at", "event_id"], F.floor(F.col("at") / DAY), "at", GAP, "cluster_no", hot_rows)
     return islands.groupBy("user_id", F.col("cluster_no").cast("bigint").alias("cluster_no")).agg(
         F.count(F.lit(1)).alias("size"), (F.max("at") - F.min("at")).alias("extent"),
         F.expr("sum(at) div count(1)").alias("center"),
     )
 
 
+@query("gap_cluster_split", GAP_SQL)
+def gap_cluster_split(spark, sf):
+    return gap_cluster(spark, sf, FEW_ROWS)
+
+
+@query(
+    "ordered_windows_split",
+    """SELECT event_id, ROW_NUMBER() OVER w AS place, LAG(event_type) OVER w AS before,
+  CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) OVER w AS BIGINT) AS so_far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
+)
+def ordered_windows_split(spark, sf):
+    """Rank, lag and running sum of users whose events are cut into splits of a few."""
+    rows = events(spark, sf).select("user_id", "event_id", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    split = F.expr("event_id div 50")
+    args = (["user_id"], ["event_id"], split)
+    rows = scan.ordered_rank(rows, *args, "place", FEW_ROWS)
+    rows = scan.ordered_lag(rows, *args, "event_type", "before", FEW_ROWS)
+    rows = scan.ordered_running_sum(rows, *args, "cents", "so_far", FEW_ROWS)
+    return rows.select("event_id", F.col("place").cast("bigint").alias("place"), "before", "so_far")
+
+
 @query(
     "range_bin",
     """WITH b AS (SELECT l_returnflag AS f, CAST(UNNEST([1, 11, 21, 31, 46]) AS BIGINT) + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END AS lo
@@ -81,22 +104,27 @@ def subdivide_columns(spark, sf):
     return cut.select("f", F.round(F.col("bound") * 1000).cast("bigint").alias("bound"))
 
 
-@query(
-    "carry_forward",
-    """WITH e AS (SELECT *, SUM(CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END)
+CARRY_SQL = """WITH e AS (SELECT *, SUM(CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END)
     OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events)
 SELECT event_id, CASE WHEN g = 0 THEN NULL ELSE FIRST_VALUE(CASE WHEN event_type = 'purchase' THEN 'p' || event_id END)
-    OVER (PARTITION BY user_id, g ORDER BY event_id) END AS label FROM e""",
-)
-def carry_forward(spark, sf):
+    OVER (PARTITION BY user_id, g ORDER BY event_id) END AS label FROM e"""
+
+
+@query("carry_forward", CARRY_SQL)
+def carry_forward(spark, sf, split=None, hot_rows=scan.HOT_ROWS):
     """A label opens at each purchase and is cleared by an error."""
     rows = events(spark, sf).select("user_id", "event_id", "event_type")
     label = F.when(F.col("event_type") == "purchase", F.concat(F.lit("p"), F.col("event_id").cast("string")))
     return scan.carry_forward(
-        rows, ["user_id"], ["event_id"], scan.numeric_split("event_id"), label, "label", F.col("event_type") == "error"
+        rows, ["user_id"], ["event_id"], scan.numeric_split("event_id") if split is None else split, label, "label", F.col("event_type") == "error", hot_rows
     ).select("event_id", "label")
 
 
+@query("carry_forward_split", CARRY_SQL)
+def carry_forward_split(spark, sf):
+    return carry_forward(spark, sf, F.expr("event_id div 50"), FEW_ROWS)
+
+
 @query(
     "unpivot_groups",
     """SELECT l_returnflag, category, CAST(SUM(lo) AS BIGINT) AS lo, CAST(SUM(hi) AS BIGINT) AS hi FROM (
