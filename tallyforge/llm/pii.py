@@ -13,7 +13,9 @@ import hashlib
 import hmac
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +40,8 @@ _ENTITY = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w))"
     rf"|(?P<person>\b(?:{'|'.join(_GENDER)})\b\.? (?P<names>{_NAME}(?: {_NAME})?))"
 )
+#: A word, hyphens included, and its parts.
+_LETTERS, _LETTER_RUN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*"), re.compile(r"[^\W\d_]+")
 #: A text without any of these holds no entity.
 MAY_HOLD = r"@|\d{3}|\d\.\d|" + "|".join(_GENDER)
 ENTITY = "start int, end int, kind string, value string, canonical string"
@@ -59,15 +63,19 @@ def detect(text: str | None) -> list[tuple[int, int, str, str, str]]:
             continue
         gender = _GENDER[re.match(r"\w+", m[0])[0]]
         parts = [(p.start() + m.start("names"), p[0]) for p in re.finditer(r"\S+", m["names"])]
+        parts = list(takewhile(lambda p: not p[1][0].islower(), parts))
         for k, (at, name) in enumerate(parts):
             kind = "surname" if k == len(parts) - 1 else f"given_{gender}"
             known.setdefault(name, kind)
             found.append((at, at + len(name), known[name], name, canonical(kind, name)))
     if known:
-        taken = sorted((a, b) for a, b, *_ in found)
-        for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + r")\b", text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                found.append((m.start(), m.end(), known[m[0]], m[0], canonical(known[m[0]], m[0])))
+        ends = [(b, a) for a, b, *_ in found]  # ascending, as the spans do not overlap
+        for m in _LETTERS.finditer(text):
+            parts = [m] if m[0] in known else _LETTER_RUN.finditer(text, *m.span())
+            for p in parts:
+                i = bisect_right(ends, (p.start(), len(text)))
+                if p[0] in known and (i == len(ends) or ends[i][1] >= p.end()):
+                    found.append((p.start(), p.end(), known[p[0]], p[0], canonical(known[p[0]], p[0])))
     return sorted(found)
 
 

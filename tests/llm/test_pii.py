@@ -11,6 +11,9 @@ def test_detects_kinds():
     kinds = [k for _, _, k, *_ in pii.detect(text)]
     assert kinds == ["email", "phone", "phone", "ip", "card", "iban", "ssn", "given_f", "surname", "given_m", "surname", "surname", "given_f"]
     assert all(text[a:b] == v for a, b, _, v, _ in pii.detect(text))
+    again = "Frau Eva Roth-Klein traf Roth-Klein und Eva-Maria; Roth nicht. Madame été."
+    assert [(v, k) for _, _, k, v, _ in pii.detect(again)] == [
+        ("Eva", "given_f"), ("Roth-Klein", "surname"), ("Roth-Klein", "surname"), ("Eva", "given_f")]
     assert pii.detect(None) == pii.detect("") == pii.detect("The price is 12.50, order 12345") == []
 
 
