@@ -122,6 +122,19 @@ def marks(result: Column, dual: Column, rate: Column) -> Column:
     return F.struct(checked.alias("elected"), is_dual.alias("dual"), excluded.alias("excluded"), value.alias("rate"))
 
 
+def list_marks(result: Column, rate: Column) -> Column:
+    """Struct(result, dual, excluded, rate) of a list entry's district columns; an unknown mark is an error.
+
+    Any district result makes a dual candidacy; an excluded one has a cross for its ratio.
+    """
+    r, s = squash(result), squash(rate)
+    excluded = s.isin(*EXCLUDED_MARKS)
+    checked = F.when(r.isin("", *RESULT_MARKS), r).otherwise(F.raise_error(F.concat(F.lit("district result "), r)))
+    return F.struct(
+        checked.alias("result"), (checked != "").alias("dual"), excluded.alias("excluded"),
+        F.when(~excluded, parse_decimal(s, to="decimal(9,3)")).alias("rate"))
+
+
 def main_and_inner(cell: Column) -> Column:
     """Struct(main, inner) of a cell with a value line and a bracketed count."""
     lines = F.filter(

@@ -185,3 +185,34 @@ def candidates(
         F.col("__m.elected").alias("elected"), F.col("__m.dual").alias("dual_candidacy"),
         F.col("__m.rate").alias("sekihai_rate"), F.col("__m.excluded").alias("sekihai_excluded"),
     ).drop("__p", "__m")
+
+
+def list_entries(rows: DataFrame, headers: DataFrame, keys: Sequence[str], known: Sequence[str] | None = None) -> DataFrame:
+    """Typed entries of printed party lists, numbered in reading order.
+
+    ``rows``: keys (one list, e.g. doc, block, group), ``pos``, ``cells`` with the seven columns rank, name (three),
+    order of election, district result and ratio. ``headers``: keys and ``lines``, the list's header as printed. Rows
+    without rank are no entries; an entry without a header, without a name, with an unknown party or mark is an error.
+    """
+    keys = list(keys)
+    head = headers.select(*keys, labels.list_header(F.col("lines")).alias("header"))
+    name = squash(F.concat(cell(1), cell(2), cell(3)))
+    marked = rows.select(*keys, "pos", "cells", squash(cell(0)).alias("rank"), name.alias("name")).where("rank <> '' OR name <> ''")
+    placed = join_null_safe(marked, head, keys, "left")
+
+    def need(ok, value, problem):
+        return F.when(ok, value).otherwise(F.raise_error(F.concat(F.lit(problem), F.coalesce("name", F.lit("")))))
+
+    party = labels.canonical_category(F.col("header.party"), known=known)
+    typed = placed.select(
+        *keys, "pos", need(F.col("header").isNotNull(), party, "list entry without a party header: ").alias("party"),
+        parse_int(F.col("rank")).alias("list_rank"), "rank", "name", "cells")
+    entries = typed.where("rank <> '' AND party IS NOT NULL").select(
+        *keys, "pos", "party", F.col("list_rank").cast("int").alias("list_rank"),
+        need(F.col("name") != "", F.col("name"), "list entry without a name").alias("name"),
+        parse_int(cell(4)).cast("int").alias("elected_order"), labels.list_marks(cell(5), cell(6)).alias("__m"))
+    numbered = ordered_rank(entries, keys, ["pos"], numeric_split("pos"), "ordinal")
+    return numbered.select(
+        *keys, F.col("ordinal").cast("int").alias("ordinal"), "party", "list_rank", "name", "elected_order",
+        F.col("elected_order").isNotNull().alias("elected_pr"), F.col("__m.result").alias("smd_result"),
+        F.col("__m.rate").alias("sekihai_rate"), F.col("__m.excluded").alias("sekihai_excluded"), F.col("__m.dual").alias("dual_candidacy"))

@@ -121,3 +121,31 @@ def test_missing_role_is_reported(spark):
     header = cells(spark, [HEAD[:-1] + ["当落"]]).withColumn("label", F.regexp_replace("text", " ", ""))
     _, problems = column_roles(header, ["page"], "col", "label", extract.COLUMN_ROLES, extract.PREFIX_ROLES, extract.REQUIRED_ROLES)
     assert {(r.role, r.problem) for r in problems.collect()} == {("sekihai", "missing"), ("result", "duplicate")}
+
+
+LISTED = [["1", "甲", "", "乙", "2", "当", "100.0"], ["1", "丙", "丁", "", "", "落", "×"], ["", "", "", "", "", "", ""], ["3", "戊", "", "", "1", "", ""]]
+HEADER = ["政党等名 公明", "党", "名簿届出 3人", "得票数 1,000票", "当選人数 2人"]
+
+
+def listed(spark, rows, header=HEADER, group=0, known=("公明党",)):
+    df = spark.createDataFrame([("d", 0, i, {k: c for k, c in enumerate(r)}) for i, r in enumerate(rows)], "doc string, grp int, pos int, cells map<int,string>")
+    head = spark.createDataFrame([("d", group, header)], "doc string, grp int, lines array<string>")
+    return extract.list_entries(df, head, ["doc", "grp"], known)
+
+
+def test_list_entries(spark):
+    got = listed(spark, LISTED).orderBy("ordinal").collect()
+    assert [tuple(r)[2:] for r in got] == [
+        (1, "公明党", 1, "甲乙", 2, True, "当", Decimal("100.000"), False, True),
+        (2, "公明党", 1, "丙丁", None, False, "落", None, True, True),
+        (3, "公明党", 3, "戊", 1, True, "", None, False, False)]
+
+
+@pytest.mark.parametrize("change,message", [
+    (dict(rows=[["1", "", "", "", "", "", ""]]), "without a name"), (dict(rows=[["1", "甲", "", "", "", "可", ""]]), "district result"),
+    (dict(rows=LISTED, group=1), "without a party header"), (dict(rows=LISTED, known=["別"]), "unknown category"),
+    (dict(rows=[["一", "甲", "", "", "", "", ""]]), "not a number"),
+])
+def test_bad_list_entries_stop_the_job(spark, change, message):
+    with pytest.raises(Exception, match=message):
+        listed(spark, **change).collect()
