@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, ngram_join, quality_rules, secret_scan, sentencepiece_bpe
-from tallyforge.llm.common import durable, table
+from tallyforge.llm.common import bounded, durable, table
 from tallyforge.llm.queries import PIECES
 
 
@@ -23,13 +23,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of those with the same text, too, the one with the smallest other columns stays.
     """
     groups = ngram_join.similar_components(docs, n=5, percent=80).where("doc_id is not null")
-    first = durable(groups.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("first").select("doc_id", "n"))
-    single = docs.join(first.where("n = 1"), "doc_id", "left_semi")
+    ids = groups.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+    # All ids but those of a single row that stays: few beside the documents.
+    special = durable(ids.where("n > 1 OR NOT first"))
+    known = docs.where("doc_id is not null")
+    single = known.join(bounded(special.select("doc_id")), "doc_id", "left_anti")
+    again = bounded(special.where("first").select("doc_id"))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    several = docs.join(first.where("n > 1"), "doc_id", "left_semi").groupBy("doc_id", "text").agg(
+    several = known.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(
         F.min(F.struct(*others)).alias("o")).select("doc_id", "text", "o.*")
-    return single.unionByName(several.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
+    return single.select(*docs.columns).unionByName(several.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

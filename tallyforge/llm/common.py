@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 from tallyforge.session import ensure_checkpoint_dir
 from tallyforge.sources.testdata import table
 
-__all__ = ["BLANKS", "WordHashes", "blank_free", "durable", "map_texts", "mix", "signed", "table", "words", "words_of"]
+__all__ = ["BLANKS", "WordHashes", "blank_free", "bounded", "durable", "map_texts", "mix", "signed", "table", "words", "words_of"]
 
 #: ASCII white space: the characters that end a word.
 BLANKS = "\x20\t\n\x0b\f\r"
@@ -35,6 +35,11 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """A written table of a few short columns, to be broadcast if it has at most ``rows`` rows; else joined by key."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array (null text: no words)."""
     single = F.translate(F.coalesce(text, F.lit("")), BLANKS[1:], " " * 5)

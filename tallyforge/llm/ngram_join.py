@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, durable, map_texts, mix, signed, words_of
+from .common import WordHashes, bounded, durable, map_texts, mix, signed, words_of
 from .components import components
 
 #: Counters of the column sketch and the tables they travel in; a fixed 4 MB, whatever the input.
@@ -229,8 +229,8 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, text: str
         (F.ceil(F.max("size") * percent / 100) - 1 + F.count(F.lit(1))).cast("int").alias("limit")))
     shared = durable(shared.join(limits, "cls"))
     # Texts of the rows that share a leading column: all that exact counts can be asked for.
-    texts = shared.select("cls").distinct().join(reps.select("cls", "doc_id"), "cls").join(docs, "doc_id")
-    texts = durable(texts.select("cls", "text"))
+    wanted = durable(shared.select("cls").distinct().join(reps.select("cls", "doc_id"), "cls"))
+    texts = durable(docs.join(bounded(wanted), "doc_id").select("cls", "text"))
     hub = durable(shared.where("cls = hub").select("col", *[F.col(c).alias(f"hub_{c}") for c in ("pos", "size", "limit")]))
 
     def possible(a: str, b: str, first: bool = False) -> Column:
