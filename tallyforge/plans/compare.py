@@ -13,7 +13,7 @@ from ..operators.scan import join_null_safe
 KNOWN_LINES = {465: (244, 261), 475: (249, 266)}
 BASE_CHAMBER = 465
 
-#: Governing parties per election, as printed in the results.
+# Governing parties per election, as printed in the results.
 DEFAULT_COALITIONS = {
     "r08-02-08": ("自由民主党", "日本維新の会"),
     "r06-10-27": ("自由民主党", "公明党"),
