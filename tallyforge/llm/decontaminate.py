@@ -6,6 +6,10 @@ word says. Both sequences use the same random functions, so a small edit distanc
 distance with good probability. Each repetition has its own walk and samples a few positions of what it
 writes; an item and a window of its size that agree in all samples of a repetition are candidates. The
 number of repetitions follows from the target recall. Candidates are verified by exact edit distance.
+
+A walk of STEPS steps reads about half as many words. Items of STEPS words and more are walked from several
+anchors, spread so that these walks read the whole item: wherever its edits lie, the walk of some anchor
+meets few of them. All anchors have the same walks, so a text is walked once for all of them.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ EDIT_PERCENT = 10
 TARGET_RECALL, PER_REPETITION = 0.99, 0.2
 #: Samples of a repetition, and the steps of the walk that they are taken from.
 SAMPLES, STEPS = 4, 20
+#: Words between anchors at most, and words of the item behind its last anchor: what a walk reads on average, and with some room.
+ANCHOR_GAP, ANCHOR_ROOM = STEPS // 2, STEPS // 2 + 2
 #: Items in memory at once; a larger benchmark is searched in blocks of so many.
 BLOCK_ITEMS = 50_000
 HIT = "item_id long, start_word long, end_word long, distance long"
@@ -40,6 +46,15 @@ def allowed(size: int) -> int:
     return size * EDIT_PERCENT // 100
 
 
+def anchors(size: int) -> list[int]:
+    """Words of an item at which walks begin: the first one only if the item ends within a walk."""
+    if size < STEPS:
+        return [0]
+    last = size - ANCHOR_ROOM
+    parts = -(-last // ANCHOR_GAP)
+    return [last * i // parts for i in range(parts + 1)]
+
+
 def _moves(word: np.ndarray, step: int, seed: int) -> np.ndarray:
     """The random bit of a word at a step of a repetition."""
     with np.errstate(over="ignore"):
@@ -50,8 +65,8 @@ def _moves(word: np.ndarray, step: int, seed: int) -> np.ndarray:
 class Walk:
     """The walk and the sampled steps of one repetition.
 
-    Steps are sampled from the first STEPS, which read the first words of a window: items of STEPS words and
-    more share a walk whatever their size, a shorter item ends within it and is walked by its own size.
+    Steps are sampled from the first STEPS, which read the first words behind an anchor: items of STEPS words
+    and more share a walk whatever their size, a shorter item ends within it and is walked by its own size.
     """
 
     def __init__(self, size: int, seed: int):
@@ -76,19 +91,29 @@ class Walk:
         return key
 
 
-def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
-    """Least edit distance of the item to a prefix of ``text``, and that prefix's length; the distance is capped at ``most`` + 1."""
-    n, m = len(item), min(len(text), len(item) + most)
-    row = np.arange(m + 1)
-    steps = np.arange(m + 1)
-    for i in range(n):
-        change = row[:-1] + (text[:m] != item[i])
-        new = np.minimum(np.append(row[0] + 1, change), np.append(row[0] + 1, row[1:] + 1))
+def nearest(item: np.ndarray, text: np.ndarray, most: int, starts: int) -> tuple[int, int, int]:
+    """``(distance, start, end)`` of the span of ``text`` nearest to the item, of those that begin at one of the first ``starts`` places.
+
+    Of several the first, and of these the shortest; the distance is capped at ``most`` + 1.
+    """
+    at = np.arange(len(text) + 1)
+    # Distance and start in one number, so that the least one has the first start.
+    row = np.minimum(at, starts - 1) + (np.maximum(at - starts + 1, 0) << 32)
+    steps, one = at << 32, 1 << 32
+    for word in item:
+        new = row + one
+        np.minimum(new[1:], row[:-1] + ((text != word).astype(np.int64) << 32), out=new[1:])
         row = np.minimum.accumulate(new - steps) + steps  # insertions run along the row
-        if row.min() > most:
-            return most + 1, 0
+        if row.min() >> 32 > most:
+            return most + 1, 0, 0
     end = int(row.argmin())
-    return int(row[end]), end
+    return int(row[end]) >> 32, int(row[end]) & (one - 1), end
+
+
+def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
+    """Least edit distance of the item to a prefix of ``text``, and that prefix's length; the distance is capped at ``most`` + 1."""
+    d, _, end = nearest(item, text[: len(item) + most], most, 1)
+    return d, end
 
 
 class Index:
@@ -106,14 +131,19 @@ class Index:
         for size, members in classes.items():
             filler = np.zeros(STEPS, np.uint64)
             flat = np.concatenate([x for k in members for x in (self.items[k][1], filler)])
-            starts = np.cumsum([0, *[len(self.items[k][1]) + STEPS for k in members[:-1]]])
+            begins = np.cumsum([0, *[len(self.items[k][1]) + STEPS for k in members[:-1]]])
+            spread = [anchors(len(self.items[k][1])) for k in members]
+            item = np.repeat(np.array(members, np.int32), [len(x) for x in spread])
+            offset = np.concatenate(spread).astype(np.int32)
+            starts = np.repeat(begins, [len(x) for x in spread]) + offset
             tables = []
             for r in range(repeats):
                 walk = Walk(size, r)
                 keys = walk.keys(flat, starts)
                 order = np.argsort(keys, kind="stable")
-                tables.append((walk, keys[order], np.array(members)[order]))
+                tables.append((walk, keys[order], item[order], offset[order]))
             self.tables[size] = tables
+        self.lengths = np.array([len(w) for _, w in self.items], np.int64)
 
     def _near(self, foreign: np.ndarray, count: int) -> np.ndarray:
         """Places where a window can begin.
@@ -128,6 +158,35 @@ class Index:
         ahead = np.concatenate([[0], np.cumsum(dense)])
         return np.flatnonzero(ahead[np.minimum(at + longest, count)] > ahead[:-1])
 
+    def _verify(self, pairs: np.ndarray, flat, owner, begins, ends, foreign, hits: dict) -> None:
+        """Adds the hits near candidates, given in order as item times text length plus supposed begin.
+
+        Edits before an anchor shift the begin by so many words; begins that are close to each other are verified together.
+        """
+        item, begin = np.divmod(pairs, len(flat))
+        most = self.lengths[item] * EDIT_PERCENT // 100
+        doc = owner[begin]
+        # Words that every span in question holds.
+        inner = np.minimum(begin + most, ends[doc])
+        outer = np.maximum(np.minimum(begin + self.lengths[item] - 2 * most, ends[doc]), inner)
+        some = foreign[outer] - foreign[inner] <= most
+        rows = list(zip(item[some].tolist(), doc[some].tolist(), begin[some].tolist()))
+        i = 0
+        while i < len(rows):
+            k, d, first = rows[i]
+            item_id, words = self.items[k]
+            edits = allowed(len(words))
+            while i < len(rows) and rows[i][:2] == (k, d) and rows[i][2] <= first + 2 * edits:
+                last = rows[i][2]
+                i += 1
+            best = hits.get((d, item_id))
+            a, b = max(first - edits, int(begins[d])), min(last + edits + 1, int(ends[d]))
+            if best and best[2] == 0 and best[0] <= a:
+                continue
+            distance, start, end = nearest(words, flat[a : min(b + len(words) + edits, int(ends[d]))], edits, b - a)
+            if distance <= edits and (best is None or (distance, a + start) < (best[2], best[0])):
+                hits[d, item_id] = (a + start, a + end, distance)
+
     def find(self, flat: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """Verified hits ``(owner, item, start, end, distance)`` in the words of several texts, one behind the other.
 
@@ -141,15 +200,25 @@ class Index:
         padded = np.concatenate([flat, np.zeros(STEPS, np.uint64)])
         places = self._near(foreign, len(flat))
         room = ends[owner[places]] - places
+        begins = np.concatenate([[0], ends[:-1]])
         # A window near an item holds at most ``allowed`` words of no item and is at most that much shorter.
         fits = {c: np.zeros(len(places), bool) for c in self.tables}
+        reach = np.zeros(len(places), np.int64)
         for size in self.sizes:
             upto = places + np.minimum(size, room)
-            fits[min(size, STEPS)] |= (room >= size - allowed(size)) & (foreign[upto] - foreign[places] <= allowed(size))
+            fit = (room >= size - allowed(size)) & (foreign[upto] - foreign[places] <= allowed(size))
+            fits[min(size, STEPS)] |= fit
+            if size >= STEPS:
+                np.maximum(reach, fit * (anchors(size)[-1] + allowed(size)), out=reach)
         for c, tables in self.tables.items():
             starts = places[fits[c]]
+            if c == STEPS and len(starts):
+                # Anchors of a window that begins at a place lie behind it.
+                last = np.full(len(flat), -1)
+                last[starts] = starts + np.minimum(reach, room - 1)[fits[c]]
+                starts = np.flatnonzero(np.maximum.accumulate(last) >= np.arange(len(flat)))
             pairs = []
-            for walk, keys, members in tables if len(starts) else ():
+            for walk, keys, members, offsets in tables if len(starts) else ():
                 # A short window at the end of a text reads on, as any window with words lost does.
                 found = walk.keys(padded, starts)
                 lo, hi = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
@@ -157,18 +226,11 @@ class Index:
                 if len(some):
                     count = (hi - lo)[some]
                     at = np.repeat(lo[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                    pairs.append(np.stack([np.repeat(starts[some], count), members[at]]))
-            for start, k in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist() if pairs else ():
-                doc, (item_id, item) = int(owner[start]), self.items[k]
-                size, most = len(item), allowed(len(item))
-                best = hits.get((doc, item_id))
-                end = int(ends[doc])
-                if best and best[2] == 0 or foreign[min(start + size, end)] - foreign[start] > most:
-                    continue
-                d, length = edit_distance(item, flat[start : min(end, start + size + most)], most)
-                if d <= most and (best is None or (d, start) < (best[2], best[0])):
-                    hits[doc, item_id] = (start, start + length, d)
-        begins = np.concatenate([[0], ends[:-1]])
+                    start = np.repeat(starts[some], count)
+                    begin = np.maximum(start - offsets[at], begins[owner[start]])
+                    pairs.append(np.unique(members[at].astype(np.int64) * len(flat) + begin))
+            if pairs:
+                self._verify(np.unique(np.concatenate(pairs)), flat, owner, begins, ends, foreign, hits)
         return [(doc, item, a - int(begins[doc]), b - int(begins[doc]), d) for (doc, item), (a, b, d) in sorted(hits.items())]
 
 

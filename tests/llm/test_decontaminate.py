@@ -90,3 +90,42 @@ def test_distance_to_a_prefix():
         want = min(distance(a, b[:n]) for n in range(len(b) + 1))
         got, end = dc.edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), len(a))
         assert got == want and distance(a, b[:end]) == got
+
+
+def clustered(rng, words, edits, kind, where):
+    """All edits next to each other, at the head, in the middle or at the end."""
+    at = {"head": 0, "middle": (len(words) - edits) // 2, "end": len(words) - edits}[where]
+    new = [f"z{rng.randrange(10**9)}" for _ in range(edits)]
+    if kind == "insert":
+        at = {"head": 1, "middle": len(words) // 2, "end": len(words) - 1}[where]
+        return words[:at] + new + words[at:]
+    return words[:at] + (new if kind == "change" else []) + words[at + edits :]
+
+
+def test_edits_in_one_place():
+    rng = random.Random(8)
+    cases = [(size, kind, where) for size in (20, 21, 25, 32, 40, 59, 100, 200) for kind in ("change", "delete", "insert")
+             for where in ("head", "middle", "end") for _ in range(12)]
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(size))) for i, (size, *_) in enumerate(cases)]
+    known, flat, sizes = dc.WordHashes(), [], []
+    for (_, q), (size, kind, where) in zip(items, cases):
+        body = [f"w{rng.randrange(500)}" for _ in range(60)]
+        body[30:30] = clustered(rng, q.split(), dc.allowed(size), kind, where)
+        flat += words_of(" ".join(body))
+        sizes.append(len(body))
+    hits = dc.Index(items, dc.repetitions()).find(known.of(flat, len(flat)), np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes))
+    found = {doc for doc, item, *_ in hits if doc == item}
+    missed = {}
+    for i, case in enumerate(cases):
+        missed[case] = missed.get(case, 0) + (i not in found)
+    assert sum(missed.values()) <= 0.02 * len(cases) and max(missed.values()) <= 2, missed
+
+
+def test_nearest_span():
+    rng = random.Random(2)
+    for _ in range(200):
+        a = [rng.randrange(4) for _ in range(rng.randrange(1, 10))]
+        b = [rng.randrange(4) for _ in range(rng.randrange(1, 20))]
+        starts = rng.randrange(1, len(b) + 1)
+        want = min((distance(a, b[s:e]), s, e) for s in range(starts) for e in range(s, len(b) + 1))
+        assert dc.nearest(np.array(a, np.uint64), np.array(b, np.uint64), len(a), starts) == want
