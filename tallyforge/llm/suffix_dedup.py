@@ -102,7 +102,7 @@ def _repeated(suffixes: DataFrame) -> DataFrame:
 
         held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32))  # rows of the last run, all of one document
         open_key, first_key = None, None  # a last run known to have several documents; the first run's key
-        low = high = None  # documents of the first run, then of the last one
+        low = high = None  # first and last document of the last run, however many batches it has
 
         def mark(key, *docs) -> None:
             d = np.array(docs, np.int64)
@@ -115,6 +115,8 @@ def _repeated(suffixes: DataFrame) -> DataFrame:
             if first_key is None:
                 first_key = key[0]
                 mark(key[0], doc[0])
+            if open_key is not None and open_key == first_key != key[0]:
+                mark(first_key, high)  # the first run ended with the batch before
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             end = np.append(begin[1:], len(key))
             several = doc[begin] != doc[end - 1]
@@ -130,7 +132,9 @@ def _repeated(suffixes: DataFrame) -> DataFrame:
             lone &= key == first_key
             put(key[lone], doc[lone], pos[lone], 1)
             tail = slice(begin[-1], None)
-            low, high = doc[begin[-1]], doc[-1]
+            if open_key is None or key[-1] != open_key:
+                low = doc[begin[-1]]
+            high = doc[-1]
             if several[-1]:
                 open_key, held = key[-1], tuple(x[:0] for x in (key, doc, pos))
             else:

@@ -70,6 +70,27 @@ def test_runs_over_partition_edges(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
 
 
+def test_runs_over_small_batches(spark):
+    rng = random.Random(4)
+    rows = sorted({(rng.randrange(4) if k % 3 else 0, p, k) for k in range(25) for p in range(12)} | {(d, p, 50) for d, n in ((1, 1), (2, 1), (3, 90)) for p in range(n)}
+                  | {(d, p, 51) for d, n in ((1, 45), (2, 1)) for p in range(n)})
+    df = spark.createDataFrame(rows, "doc_id long, pos int, key long")
+    want = sorted(r for r in rows if len({x[0] for x in rows if x[2] == r[2]}) > 1)
+    adaptive, partitions, records = (
+        "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {c: spark.conf.get(c) for c in (adaptive, partitions, records)}
+    try:
+        spark.conf.set(adaptive, "false")
+        for size in ("2", "3"):
+            for n in ("5", "40", "90"):
+                spark.conf.set(records, size)
+                spark.conf.set(partitions, n)
+                assert sorted(map(tuple, sd._repeated(df).collect())) == want
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def test_empty(spark):
     assert found(spark.createDataFrame([], "doc_id long, text string")) == {}
 
