@@ -42,8 +42,14 @@ _ENTITY = re.compile(
 )
 #: A word, hyphens included, and its parts.
 _LETTERS, _LETTER_RUN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*"), re.compile(r"[^\W\d_]+")
+#: Digits as Python's \d has them, for Java: its \d is ASCII only, and Java 17 does not know the last three blocks.
+_DIGIT = r"[\p{Nd}\x{11F50}-\x{11F59}\x{16AC0}-\x{16AC9}\x{1E4F0}-\x{1E4F9}]"
 #: A text without any of these holds no entity.
-MAY_HOLD = r"@|\d{3}|\d\.\d|" + "|".join(_GENDER)
+MAY_HOLD = rf"@|{_DIGIT}{{3}}|{_DIGIT}\.{_DIGIT}|[A-Z]{{2}}{_DIGIT}{{2}}|" + "|".join(_GENDER)
+#: After so many attempts, and again after as many more, surrogates become a character longer: short forms may be used up.
+PATIENCE = 16
+#: Characters that a form without letters and digits gets, as nothing in it can be drawn.
+BARE = 8
 ENTITY = "start int, end int, kind string, value string, canonical string"
 
 
@@ -84,12 +90,25 @@ def canonical(kind: str, value: str) -> str:
     if kind == "email":
         return value.lower()
     if kind in ("card", "phone", "ssn", "iban"):
-        return re.sub(r"[ ().-]", "", value)
+        return ascii_digits(re.sub(r"[ ().-]", "", value))
     if kind == "ip":
         return ".".join(str(int(x)) for x in value.split("."))
     return unicodedata.normalize("NFC", value).casefold()
 
 
+def ascii_digits(value: str) -> str:
+    """Digits of all scripts as 0 to 9; the rest as it is."""
+    return value if value.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in value)
+
+
+def digits_like(c: str, digits: str) -> str:
+    """The 0 to 9 in ``digits`` in the script of the digit ``c``; as they are if ``c`` is none."""
+    if c.isascii() or not c.isdecimal():
+        return digits
+    zero = ord(c) - unicodedata.decimal(c)
+    return "".join(chr(zero + int(x)) if x in "0123456789" else x for x in digits)
+
+
 class Draw:
     """Numbers from a keyed hash of an entity and the attempt."""
 
@@ -104,9 +123,9 @@ class Draw:
         return value % n
 
     def like(self, c: str) -> str:
-        """A character of the same class: digit, or letter of the same script; all else stays."""
-        if c.isascii() and c.isdigit():
-            return str(self.below(10))
+        """A character of the same class: digit or letter of the same script; all else stays."""
+        if c.isdecimal():
+            return digits_like(c, str(self.below(10)))
         if not c.isalpha():
             return c
         script = unicodedata.name(c, "LATIN").split()[0]
@@ -118,8 +137,24 @@ class Draw:
 
 
 def surrogate(key: bytes, kind: str, name: str, attempt: int) -> str:
-    """Canonical surrogate of a canonical entity."""
+    """Canonical surrogate of a canonical entity.
+
+    It has the entity's form, and more characters where that form leaves no other draw or too few: at the end,
+    in an e-mail before the ``@``. So there is always an attempt that gives a free one.
+    """
     d = Draw(key, kind, name, attempt)
+    made = drawn(d, kind, name)
+    drawable = name.rpartition(".")[0] if kind == "email" else name
+    more = attempt // PATIENCE + (0 if any(c.isalpha() or c.isdecimal() for c in drawable) else BARE)
+    if not more:
+        return made
+    extra = "".join(d.like("0" if kind in ("ip", "card", "phone", "ssn", "iban") else "a") for _ in range(more))
+    local, sign, domain = made.rpartition("@") if kind == "email" else (made, "", "")
+    return local + extra + sign + domain
+
+
+def drawn(d: Draw, kind: str, name: str) -> str:
+    """The entity's form with its characters drawn anew."""
     if kind == "email":
         local, _, domain = name.rpartition("@")
         host, _, top = domain.rpartition(".")
@@ -169,7 +204,9 @@ def dress(kind: str, value: str, replacement: str) -> str:
     """The canonical surrogate in the spelling of the mention: its separators, and its case."""
     if kind in ("card", "phone", "ssn", "iban"):
         given = iter(replacement)
-        return "".join(c if c in " ().-" else next(given) for c in value)
+        return "".join(c if c in " ().-" else digits_like(c, next(given)) for c in value) + digits_like(value[-1], "".join(given))
+    if kind == "ip":
+        return digits_like(value[0], replacement)
     if kind == "email" and len(value) == len(replacement):
         return "".join(r.upper() if v.isupper() else r for v, r in zip(value, replacement))
     if kind.startswith(("given", "surname")):

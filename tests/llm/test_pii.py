@@ -53,3 +53,28 @@ def test_collisions_are_drawn_again(spark):
     rows = spark.createDataFrame(names, "canonical string").selectExpr("'ssn' as kind", "canonical")
     got = {r.canonical: r.surrogate for r in pii.surrogates(rows, KEY).collect()}
     assert len(got) == len(set(got.values())) == 40 and not set(got) & set(got.values())
+
+
+def test_digits_of_other_scripts(spark):
+    wide = lambda zero, t: "".join(chr(ord(zero) + int(c)) if c.isdigit() else c for c in t)
+    given = ["090-1234-5678", "123-45-6789", "10.1.2.30", "4111 1111 1111 1111", "+819012345678"]
+    rows = [(i * 10 + k, f"x {wide(zero, v)} y") for k, zero in enumerate("0\uff10\u0660\u0966\U0001e4f0") for i, v in enumerate(given)]
+    rows += [(100, "GB" + wide("\uff10", "82") + " WEST ABCD EFGH"), (101, "mail " + wide("\uff10", "123") + "@-.com")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    for d, t in rows:
+        made = got[d].text
+        assert got[d].n_entities == 1 and made != t
+        if d < 100:
+            assert pii.ascii_digits(made) == got[d // 10 * 10].text  # one entity in whatever digits
+            digits = [c for c in made if c.isdecimal()]
+            zeros = {ord(c) - int(c) for c in digits}
+            assert zeros == {ord("0\uff10\u0660\u0966\U0001e4f0"[d % 10])}
+    assert pii.surrogate(KEY, "phone", wide("\uff10", "09012345678"), 0) != wide("\uff10", "09012345678")
+
+
+def test_forms_without_another_draw(spark):
+    used_up = [f"{i}@-.com" for i in range(10)]
+    texts = ["-@-.com", "_@-.com", "Mr \u00bd\u00b2 left", *used_up]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+    assert all(re.fullmatch(r"[-_\w]+@-\.com", t) for i, t in enumerate(got) if i != 2) and re.fullmatch(r"Mr \S+ left", got[2])
