@@ -12,6 +12,7 @@ from . import (
     decontaminate,
     language_id,
     ngram_join,
+    periodic_runs,
     pii,
     quality_rules,
     secret_scan,
@@ -19,7 +20,7 @@ from . import (
     suffix_dedup,
     token_counts,
 )
-from .common import table
+from .common import table, words
 
 #: Where the vocabulary files of public tokenizers are; the same place on every machine.
 TOKENIZERS = "/opt/tokenizers"
@@ -119,3 +120,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(chat.expand(turns))
+
+
+def recurring(docs: DataFrame) -> DataFrame:
+    """The documents; in one of ten, by id, the words from a point on repeat with a period that the id gives.
+
+    A null doc_id changes nothing.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    w, g = F.col("_words"), F.expr("_hash div 10")
+    start = F.col("_start")
+    period = 1 + F.expr("(_n - _start) div (3 + (_hash div 10) % 8)")
+    moved = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.get(
+        w, F.when(i < start, i).otherwise(start + (i - start) % period).cast("int")))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    rows = docs.select("doc_id", "text", h.alias("_hash"), F.when(chosen, words(F.col("text"))).alias("_words"))
+    rows = rows.withColumn("_n", F.size("_words").cast("long")).withColumn("_start", F.when(F.col("_n") > 0, g % F.col("_n")))
+    return rows.select("doc_id", F.when(F.col("_n") > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(recurring(table(spark, sf_dir, "documents")))
