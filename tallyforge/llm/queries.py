@@ -19,6 +19,8 @@ from . import (
     sentencepiece_bpe,
     suffix_dedup,
     token_counts,
+    url_filter,
+    whitening,
 )
 from .common import table, words
 
@@ -142,3 +144,20 @@ def recurring(docs: DataFrame) -> DataFrame:
 @query("op11_periodic_runs")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(recurring(table(spark, sf_dir, "documents")))
+
+
+#: The rules for the shared table of pages.
+RULES = tuple(url_filter.Rule(*r) for r in (
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")))
+
+
+@query("op12_url_filter")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+    return found.select("row.page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
