@@ -81,8 +81,8 @@ def secular_roots(d: np.ndarray, z2: np.ndarray, rho: float) -> tuple[np.ndarray
     upper = np.append(d[1:], d[-1] + rho * z2.sum())
     gap = upper - d
     apart = d[None, :] - d[:, None]
-    lower_side = np.tri(n, dtype=bool)
     weight = rho * z2
+    lower_weight = np.tri(n) * weight
     middle = 1 + (weight / (apart - gap[:, None] / 2)).sum(1)
     # The last interval ends at no pole, so its root is sought from its own.
     base = np.arange(n) + ((middle < 0) & (np.arange(n) < n - 1))
@@ -95,11 +95,10 @@ def secular_roots(d: np.ndarray, z2: np.ndarray, rho: float) -> tuple[np.ndarray
     left_pole, right_pole = here, there
     for _ in range(80):
         with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-            away = from_base - t[:, None]
-            term = weight / away
-            slope = term / away
-            psi, dpsi = np.where(lower_side, term, 0).sum(1), np.where(lower_side, slope, 0).sum(1)
-            phi, dphi = term.sum(1) - psi, slope.sum(1) - dpsi
+            inverse = np.reciprocal(from_base - t[:, None])
+            square = inverse * inverse
+            psi, dpsi = np.einsum("ij,ij->i", inverse, lower_weight), np.einsum("ij,ij->i", square, lower_weight)
+            phi, dphi = inverse @ weight - psi, square @ weight - dpsi
             f = 1 + psi + phi
             done = np.abs(f) <= 16 * EPS * (1 + np.abs(psi) + np.abs(phi)) * n
             low, high = np.where(f < 0, t, low), np.where(f > 0, t, high)
