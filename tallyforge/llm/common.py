@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -17,11 +18,12 @@ from pyspark.sql.types import StructType
 from tallyforge.session import ensure_checkpoint_dir
 from tallyforge.sources.testdata import table
 
-__all__ = ["BLANKS", "WordHashes", "blank_free", "bounded", "durable", "map_texts", "mix", "signed", "table", "words", "words_of"]
+__all__ = ["BLANKS", "Tables", "WordHashes", "blank_free", "bounded", "drop", "durable", "map_texts", "mix", "signed", "table", "words", "words_of"]
 
 #: ASCII white space: the characters that end a word.
 BLANKS = "\x20\t\n\x0b\f\r"
 _MAX_CACHED = 1 << 20
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -32,7 +34,35 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table_] = path
+    return table_
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of durable tables; whatever was made of them must be written by now."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Tables:
+    """Durable tables that go when the block ends."""
+
+    def __init__(self) -> None:
+        self.written: list[DataFrame] = []
+
+    def durable(self, df: DataFrame) -> DataFrame:
+        self.written.append(durable(df))
+        return self.written[-1]
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        drop(*self.written)
+        self.written.clear()
 
 
 def bounded(df: DataFrame, rows: int = 1 << 20) -> DataFrame:

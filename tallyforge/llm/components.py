@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import drop, durable
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,9 +22,12 @@ def components(links: DataFrame) -> DataFrame:
         choice = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
         next_ = choice.select(F.col("a").alias("to"), F.col("to").alias("further"))
         step = durable(choice.join(next_, "to", "left").select("a", F.coalesce("further", "to").alias("to")))
-        labels = durable(labels.join(step.select(F.col("a").alias("component"), "to"), "component", "left").select(
+        named = durable(labels.join(step.select(F.col("a").alias("component"), "to"), "component", "left").select(
             "node", F.coalesce("to", "component").alias("component")))
         at_a = edges.join(step, "a").select(F.col("to").alias("x"), "b")
         moved = at_a.join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").where("x != y")
-        edges = durable(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        shrunk = durable(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        drop(choice, step, labels, edges)
+        edges, labels = shrunk, named
+    drop(edges)
     return labels

@@ -19,10 +19,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded, durable, map_texts, mix, signed, words_of
+from .common import Tables, WordHashes, bounded, durable, map_texts, mix, signed, words_of
 from .components import components
 
 #: Counters of the column sketch and the tables they travel in; a fixed 4 MB, whatever the input.
@@ -143,10 +143,15 @@ def class_of(columns: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(columns.tobytes())).view(np.int64))
 
 
-def _complete(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Exact overlap counts of the entries ``(a, b)`` over all columns; those of similar rows stay."""
+def _complete(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """Exact overlap counts ``a, b, overlap`` of the entries ``(a, b)`` over all columns; those of similar rows stay.
+
+    Only texts that an entry asks for are read; each goes to the tasks of its entries.
+    """
     sides = pairs.select(F.explode(F.array(
         F.struct(F.col("a").alias("cls"), "a", "b"), F.struct(F.col("b").alias("cls"), "a", "b"))).alias("s")).select("s.*")
+    wanted = durable(sides.select("cls").distinct().join(reps.select("cls", "doc_id"), "cls"))
+    texts = docs.join(bounded(wanted), "doc_id").select("cls", "text")
     together = sides.join(texts, "cls").select("a", "b", "cls", "text").repartition("a", "b").sortWithinPartitions("a", "b", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +171,7 @@ def _complete(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
             sizes = np.array([len(x[2]) + len(x[3]) for x in block])
             good = np.flatnonzero(100 * overlap >= percent * (sizes - overlap))
             return pa.RecordBatch.from_arrays(
-                [pa.array([block[i][0] for i in good], pa.int64()), pa.array([block[i][1] for i in good], pa.int64())], ["a", "b"])
+                [pa.array([block[i][c] for i in good], pa.int64()) for c in (0, 1)] + [pa.array(overlap[good], pa.int64())], ["a", "b", "overlap"])
 
         size = 0
         for batch in batches:
@@ -193,85 +198,134 @@ def _complete(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
         if block:
             yield product()
 
-    return together.mapInArrow(run, "a long, b long")
+    return together.mapInArrow(run, "a long, b long, overlap long")
+
 
+def _possible(percent: int, a: str, b: str, first: bool = False, both: bool = True) -> Column:
+    """The bounds allow similarity of rows whose columns are named by ``a`` and ``b``; the limit of ``b`` counts if ``both``.
+
+    By sizes, by limits, and by what can precede and follow the shared column; with ``first``, nothing
+    shared precedes it. Every pair has a first shared column, so that bound may be asked of all.
+    """
+    size_a, size_b, pos_a, pos_b = (F.col(x.format(c)) for c in ("size", "pos") for x in (a, b))
+    limits = [F.col(x.format("limit")) for x in ((a, b) if both else (a,))]
+    least = _bound(size_a, size_b, percent)
+    before, after = F.lit(0) if first else F.least(pos_a, pos_b), F.least(size_a - pos_a, size_b - pos_b)
+    return (F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent) & (
+        F.least(*limits, before + after) >= least)
+
+
+def _prepared(docs: DataFrame, n: int, percent: int, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with size and class; one row per class; the leading columns that two classes or more have.
+
+    The last has ``col, cls, size, pos``, the column's hub with ``hub_size`` and ``hub_pos``, and ``limit``: leading
+    columns that no other row has are lost to any overlap, and what is left of a row bounds it. Count and hub
+    come from one pass over the rows of a column; frequent columns are dealt out by a salt for it, and their
+    parts, few rows, are put together by a second one.
+    """
+    levels = docs.sparkSession.sparkContext.broadcast(sketch(docs, n))
+    rows = tables.durable(rows_of(docs, n, percent, levels))
+    reps = tables.durable(
+        rows.where("doc_id is not null and cls is not null").groupBy("cls")
+        .agg(F.min(F.struct("doc_id", "size", "lead", "level")).alias("r")).select("cls", "r.*"))
 
-def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text") -> DataFrame:
+    salted = F.col("c.level") > SALT_LEVEL
+    dealt = F.call_function("shiftleft", F.lit(1), (F.col("c.level") - SALT_LEVEL).cast("int"))
+    each = reps.select("cls", "size", F.posexplode(F.arrays_zip("lead", "level")).alias("pos", "c")).select(
+        F.col("c.lead").alias("col"), "cls", "size", "pos", salted.alias("salted"),
+        F.when(salted, F.pmod("cls", dealt)).otherwise(F.lit(0)).cast("int").alias("salt"))
+    part = Window.partitionBy("col", "salt")
+    counted = each.select(
+        "col", "cls", "size", "pos", "salted", F.count(F.lit(1)).over(part).alias("n"),
+        F.min(F.struct("pos", "cls", "size")).over(part).alias("h"))
+    met = tables.durable(counted.where("n > 1 or salted"))
+    # Every part of a salted column reports its count on each of its rows, so distinct parts are summed.
+    parts = met.where("salted").select("col", "n", "h").distinct()
+    whole = tables.durable(parts.groupBy("col").agg(F.sum("n").alias("n"), F.min("h").alias("h")).where("n > 1"))
+    plain = met.where("not salted").select("col", "cls", "size", "pos", "h")
+    frequent = met.where("salted").select("col", "cls", "size", "pos").join(bounded(whole.select("col", "h")), "col")
+    hubs = [F.col(f"h.{c}").alias(name) for c, name in (("cls", "hub"), ("size", "hub_size"), ("pos", "hub_pos"))]
+    shared = plain.unionByName(frequent).select("col", "cls", "size", "pos", *hubs)
+    kept = F.count(F.lit(1)).over(Window.partitionBy("cls"))
+    shared = tables.durable(shared.withColumn("limit", (F.ceil(F.col("size") * percent / 100) - 1 + kept).cast("int")))
+    return rows, reps, shared
+
+
+def _ordered(a: str, b: str, *more: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), *more]
+
+
+def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", tables: Tables | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
     Rows are linked if the Jaccard of their n-gram sets is at least ``percent`` / 100; ``component_id`` is the
     smallest doc_id that links lead to, the row's own included. Null, empty and blank texts have size 0
     and their own id. A null doc_id takes part in no link and has a null component. Rows with the same
     doc_id are linked by their texts alone. Other columns are ignored; an empty table gives no rows.
+    The tables that the result reads belong to ``tables`` if given.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    levels = spark.sparkContext.broadcast(sketch(docs, n))
-    rows = durable(rows_of(docs, n, percent, levels))
-    reps = durable(
-        rows.where("doc_id is not null and cls is not null").groupBy("cls")
-        .agg(F.min(F.struct("doc_id", "size", "lead", "level")).alias("r")).select("cls", "r.*"))
-
-    # Leading columns that two rows or more have. Frequent ones are dealt out by a salt before they are counted.
-    each = reps.select("cls", "size", F.posexplode(F.arrays_zip("lead", "level")).alias("pos", "c")).select(
-        "cls", "size", "pos", F.col("c.lead").alias("col"),
-        F.when(F.col("c.level") > SALT_LEVEL, F.pmod("cls", F.call_function("shiftleft", F.lit(1), (F.col("c.level") - SALT_LEVEL).cast("int")))).otherwise(F.lit(0)).cast("int").alias("salt"),
-        (F.col("c.level") > SALT_LEVEL).alias("salted"))
-    counted = each.selectExpr("*", "count(*) over (partition by col, salt) as n_here")
-    shared = durable(counted.where("n_here > 1 or salted").drop("n_here", "salt", "salted"))
-
-    hubs = durable(
-        shared.groupBy("col").agg(F.min(F.struct("pos", "cls", "size")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("col", F.col("h.cls").alias("hub")))
-    # Leading columns that no other row has are lost to any overlap; what is left of a row bounds it.
-    shared = shared.join(hubs, "col")
-    limits = durable(shared.groupBy("cls").agg(
-        (F.ceil(F.max("size") * percent / 100) - 1 + F.count(F.lit(1))).cast("int").alias("limit")))
-    shared = durable(shared.join(limits, "cls"))
-    # Texts of the rows that share a leading column: all that exact counts can be asked for.
-    wanted = durable(shared.select("cls").distinct().join(reps.select("cls", "doc_id"), "cls"))
-    texts = durable(docs.join(bounded(wanted), "doc_id").select("cls", "text"))
-    hub = durable(shared.where("cls = hub").select("col", *[F.col(c).alias(f"hub_{c}") for c in ("pos", "size", "limit")]))
-
-    def possible(a: str, b: str, first: bool = False) -> Column:
-        """The bounds allow similarity of rows whose columns are named so.
-
-        By sizes, by limits, and by what can precede and follow the shared column; with ``first``, nothing
-        shared precedes it. Every pair has a first shared column, so that bound may be asked of all.
-        """
-        size_a, size_b, limit_a, limit_b, pos_a, pos_b = (F.col(x.format(c)) for c in ("size", "limit", "pos") for x in (a, b))
-        least = _bound(size_a, size_b, percent)
-        before, after = F.lit(0) if first else F.least(pos_a, pos_b), F.least(size_a - pos_a, size_b - pos_b)
-        return (F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent) & (
-            F.least(limit_a, limit_b, before + after) >= least)
-
-    first = (
-        shared.join(hub, "col").where((F.col("cls") != F.col("hub")) & possible("{}", "hub_{}"))
-        .select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct())
-    first = durable(first)
-    links = durable(_complete(first, texts, n, percent))
-    group = components(links)
-
-    # Rows outside their hub's component, against all rows of the column in other components.
-    member = shared.join(group.select(F.col("node").alias("cls"), F.col("component").alias("own")), "cls", "left")
-    member = member.join(group.select(F.col("node").alias("hub"), F.col("component").alias("top")), "hub", "left")
-    member = durable(member.select(
-        "col", "cls", "size", "pos", "limit", F.coalesce("own", "cls").alias("own"), F.coalesce("top", "hub").alias("top")))
-    left = member.where("own != top").select("col", *[F.col(c).alias(f"{c}_a") for c in ("cls", "size", "pos", "limit", "own", "top")])
-    right = member.select("col", *[F.col(c).alias(f"{c}_b") for c in ("cls", "size", "pos", "limit", "own", "top")])
-    entries = left.join(right, "col").where(
-        (F.col("own_a") != F.col("own_b")) & ((F.col("own_b") == F.col("top_b")) | (F.col("cls_a") < F.col("cls_b")))
-        & possible("{}_a", "{}_b", first=True))
-    second = entries.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
-    second = durable(second.join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(_complete(second, texts, n, percent))
-
-    group = components(durable(links))
-    classes = reps.join(group.select(F.col("node").alias("cls"), "component"), "cls", "left").select(
-        "cls", F.col("doc_id").alias("rep"), F.coalesce("component", "cls").alias("component"))
-    classes = durable(classes)
-    least = durable(classes.groupBy("component").agg(F.min("rep").alias("component_id")))
-    named = durable(classes.join(least, "component").select("cls", "component_id"))
-    return rows.join(named, "cls", "left").select(
-        "doc_id", F.col("size").cast("long").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    result, used = tables or Tables(), Tables()
+    with used:
+        rows, reps, shared = _prepared(docs, n, percent, used)
+        # Every row of a column against the hub. The hub's own limit is asked of the few entries that are left.
+        near = _possible(percent, "{}", "hub_{}", both=False)
+        entry = F.struct(F.col("cls").alias("row"), "hub", _bound(F.col("size"), F.col("hub_size"), percent).alias("least"))
+        found = shared.where((F.col("cls") != F.col("hub")) & near).select(entry.alias("e")).distinct().select("e.*")
+        limits = shared.groupBy("cls").agg(F.first("limit").alias("limit")).withColumnRenamed("cls", "hub")
+        first = used.durable(found.join(limits, "hub").where("limit >= least").select(*_ordered("row", "hub")).distinct())
+        links = used.durable(_complete(first, docs, reps, n, percent).select("a", "b"))
+        group = components(links)
+        used.written.append(group)
+
+        # Rows outside their hub's component, against all rows of the column in other components.
+        own, top = group.select(F.col("node").alias("cls"), F.col("component").alias("own")), group.select(
+            F.col("node").alias("hub"), F.col("component").alias("top"))
+        apart = shared.select("cls", "hub").distinct().join(own, "cls", "left").join(top, "hub", "left").select(
+            "cls", "hub", F.coalesce("own", "cls").alias("own"), F.coalesce("top", "hub").alias("top")).where("own != top")
+        apart = used.durable(apart)
+        sides = ("col", "cls", "size", "pos", "limit", "own", "top")
+        left = used.durable(shared.join(bounded(apart), ["cls", "hub"]).select(*sides))
+        open_ = used.durable(left.select("col").distinct())
+        right = shared.join(bounded(open_), "col").join(own, "cls", "left").join(top, "hub", "left").select(
+            *sides[:5], F.coalesce("own", "cls").alias("own"), F.coalesce("top", "hub").alias("top"))
+        entries = left.select("col", *[F.col(c).alias(f"{c}_a") for c in sides[1:]]).join(
+            right.select("col", *[F.col(c).alias(f"{c}_b") for c in sides[1:]]), "col").where(
+            (F.col("own_a") != F.col("own_b")) & ((F.col("own_b") == F.col("top_b")) | (F.col("cls_a") < F.col("cls_b")))
+            & _possible(percent, "{}_a", "{}_b", first=True))
+        second = used.durable(entries.select(*_ordered("cls_a", "cls_b")).distinct().join(first, ["a", "b"], "left_anti"))
+        more = used.durable(_complete(second, docs, reps, n, percent).select("a", "b"))
+
+        group = components(links.unionByName(more))
+        used.written.append(group)
+        classes = used.durable(reps.join(group.withColumnRenamed("node", "cls"), "cls", "left").select(
+            "cls", F.col("doc_id").alias("rep"), F.coalesce("component", "cls").alias("component")))
+        least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+        # A class on its own is named by its document.
+        named = used.durable(classes.join(least, "component").select("cls", "component_id"))
+        return result.durable(rows.join(named, "cls", "left").select(
+            "doc_id", F.col("size").cast("long").alias("n_shingles"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
+
+
+def similar_pairs(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
+    """All links: ``a, b, size_a, size_b, overlap`` of classes, and ``doc_id, cls`` of every row with words.
+
+    A class is the rows with one set of n-grams; copies are not expanded into pairs, and no link between different
+    sets is left out, so a group of n near copies that are all similar has n * (n - 1) / 2 rows. The rules for
+    texts and ids are those of ``similar_components``; a null doc_id is in no class.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    result, used = tables or Tables(), Tables()
+    with used:
+        rows, reps, shared = _prepared(docs, n, percent, used)
+        sides = ("cls", "size", "pos", "limit")
+        left, right = (shared.select("col", *[F.col(c).alias(f"{c}_{x}") for c in sides]) for x in "ab")
+        entries = left.join(right, "col").where((F.col("cls_a") < F.col("cls_b")) & _possible(percent, "{}_a", "{}_b", first=True))
+        pairs = used.durable(entries.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct())
+        links = used.durable(_complete(pairs, docs, reps, n, percent))
+        size = reps.select("cls", F.col("size").cast("long").alias("size"))
+        for x in "ab":
+            links = links.join(size.select(F.col("cls").alias(x), F.col("size").alias(f"size_{x}")), x)
+        members = result.durable(rows.where("doc_id is not null and cls is not null").select("doc_id", "cls"))
+        return result.durable(links.select("a", "b", "size_a", "size_b", "overlap")), members

@@ -90,3 +90,23 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7)]
     found = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert {found[i] for i in range(51)} == {0} and {found[i] for i in (100, 200, 300)} == {100}
+
+
+def test_all_links(spark):
+    rows = near_copies(40, 9) + [(300, "A b C"), (301, "a B c"), (302, None), (303, "x y"), (None, "a b c"), (0, near_copies(1, 9)[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links, members = nj.similar_pairs(df.withColumn("cls", df.text))
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.cls, set()).add(r.doc_id)
+    text = {d: t for d, t in rows if d is not None}
+    assert {frozenset(d) for d in of.values() if len(d) > 1} >= {frozenset({300, 301})}
+    mine = {frozenset((min(of[r.a]), min(of[r.b]))): (r.size_a + r.size_b, r.overlap) for r in links.collect()}
+    want = {}
+    ids = sorted(min(d) for d in of.values())
+    for i in ids:
+        for j in ids:
+            a, b = shingles(text[i]), shingles(text[j])
+            if i < j and 100 * len(a & b) >= 85 * len(a | b):
+                want[frozenset((i, j))] = (len(a) + len(b), len(a & b))
+    assert mine == want and len(want) > 20
