@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, ngram_join, quality_rules, secret_scan, sentencepiece_bpe
-from tallyforge.llm.common import bounded, durable, table
+from tallyforge.llm.common import Tables, bounded, drop, durable, table
 from tallyforge.llm.queries import PIECES
 
 
@@ -22,11 +22,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without doc_id cannot be compared and stay. Rows with the same doc_id stay or go together;
     of those with the same text, too, the one with the smallest other columns stays.
     """
-    groups = ngram_join.similar_components(docs, n=5, percent=80).where("doc_id is not null")
-    ids = groups.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
-    # All ids but those of a single row that stays: few beside the documents.
-    special = durable(ids.where("n > 1 OR NOT first"))
+    with Tables() as used:
+        groups = ngram_join.similar_components(docs, n=5, percent=80, tables=used).where("doc_id is not null")
+        ids = groups.groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+        # All ids but those of a single row that stays: few beside the documents.
+        special = durable(ids.where("n > 1 OR NOT first"))
     known = docs.where("doc_id is not null")
     single = known.join(bounded(special.select("doc_id")), "doc_id", "left_anti")
     again = bounded(special.where("first").select("doc_id"))
@@ -65,8 +66,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = durable(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        kept = durable(stage(spark, docs, sf_dir))
+        if i:
+            drop(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
