@@ -109,8 +109,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_secret_scan", secret_scan.sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("repo", F.concat_ws("/", "source", "lang"))
-    return secret_scan.report(docs, owner="source", repository="repo")
+    return secret_scan.report(table(spark, sf_dir, "documents"), owner="source", repository=F.concat_ws("/", "source", "lang"))
 
 
 @query("op10_chat_formatting", CHAT_SQL)

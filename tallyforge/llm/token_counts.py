@@ -20,6 +20,9 @@ from .common import map_texts
 
 #: Fixed value: how the vocabulary's text is split before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: white space as the pattern sees it. Runs of it from this length on are cut out before the pattern,
+#: whose lookahead would go back over a run one character at a time.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1024,}")
 #: A field ends with this; it belongs to the section before it. A section of a field is a line with its end.
 FIELD_END = "\n"
 _SECTION = re.compile(r"[^\n]*\n|[^\n]+")
@@ -28,7 +31,7 @@ ROWS = "field string, section int, start_char int, end_char int, n_tokens int, n
 
 @lru_cache(maxsize=2)
 def load(path: str):
-    """Encoder of a rank file, and the byte lengths of its tokens."""
+    """Encoders of a rank file, with the pattern and without, and the byte lengths of its tokens."""
     import tiktoken
 
     with open(path, "rb") as f:
@@ -36,15 +39,28 @@ def load(path: str):
     lengths = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, i in ranks.items():
         lengths[i] = len(token)
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
+    split, whole = (tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+                    for name, pattern in (("ranks", PATTERN), ("whole", "(?s).+")))
+    return split, whole, lengths
+
+
+def encode(text: str, path: str) -> np.ndarray:
+    """Token ids. Of a run of white space all but the last character is one part, all of it at the end of the text."""
+    split, whole, _ = load(path)
+    parts, at = [], 0
+    for run in _BLANKS.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        parts += [split.encode_ordinary(text[at : run.start()]), whole.encode_ordinary(text[run.start() : stop])]
+        at = stop
+    parts.append(split.encode_ordinary(text[at:]))
+    return np.concatenate([np.array(p, np.int32) for p in parts])
 
 
 def token_spans(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     """First and past-last character of every token; a token of part of a character spans all of it."""
-    encoder, lengths = load(path)
-    ids = np.array(encoder.encode_ordinary(text), np.int64)
-    end = np.cumsum(lengths[ids])
-    begin = end - lengths[ids]
+    size = load(path)[2][encode(text, path)]
+    end = np.cumsum(size)
+    begin = end - size
     if text.isascii():
         return begin, end
     raw = np.frombuffer(text.encode(), np.uint8)

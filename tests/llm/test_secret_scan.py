@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tallyforge.llm import secret_scan as ss
 
@@ -28,6 +29,7 @@ def rows():
             (105, None, "b"), (106, "", None), (107, f"x {own} y", "c"), (108, f"{own}{'q' * 30000}", "c"), (109, "token=" * 400, "d"),
             (110, f"shared {own[::-1]}", "e"), (111, f"shared {own[::-1]}", "f"), (None, "token = abcdefgh", "b"), (100, 'password = "hunter22"', "a"),
             (112, "ſecret=abcdefgh toKen=abcdefgh", "g")]
+    out += [(120 + i, f"of two {own[1:]}{i % 2}1", f"h{i}") for i in range(2)] + [(130 + i, f"of three {own[2:]}22", f"i{i}") for i in range(3)]
     return out
 
 
@@ -39,19 +41,47 @@ def test_base_spans(spark):
     got = ss.report(frame(spark)).collect()
     assert sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == sorted((str(d), *brute(t)) for d, t, _ in rows())
     spans = {r.doc_id: r for r in got}
-    assert spans[107].spans == "opaque:2:22" and spans[110].spans == spans[111].spans == ""
+    assert spans[107].spans == "opaque:2:22" and spans[110].spans == spans[111].spans == "opaque:7:27"
+    assert spans[130].spans == spans[132].spans == "" and spans[0].most_owners == 5
     assert spans[0].n_copied == 1 and spans[0].n_owned == 0 and spans[100].n_owned == 1
     assert ss.report(frame(spark).limit(0)).count() == 0
 
 
+def spread():
+    """The rows by language, a value in many repositories of one owner, and one in few."""
+    out = [(*r, None if i % 5 == 4 else f"l{i % 4}") for i, r in enumerate(rows())]
+    return out + [(200 + i, f"token: {HEX[:16]}{'wide' if i % 2 else 'slim'}", "one", f"l{i if i % 2 else i % 4}") for i in range(16)]
+
+
+def test_many_repositories_of_one_owner(spark):
+    df = spark.createDataFrame(spread(), "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in ss.report(df, repository=F.concat_ws("/", "source", "lang")).collect()}
+    assert got[201].n_copied == 1 and got[201].most_repos == 8 and got[201].most_owners == 1
+    assert got[200].n_owned == 1 and got[200].most_repos == 2
+
+
+def test_very_many_matches(spark):
+    n = 200_000
+    values = " ".join(f"{HEX[:20]}{i:08x}" for i in range(n)) + " token=" + HEX
+    df = spark.createDataFrame([(1, values, "a", len(values)), (2, "é" * 5000 + " token=abcdefg1 " + "x y" * 3000 + " AKIA" + "Z" * 9000, "a", 0)],
+                               "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r for r in ss.report(df).collect()}
+    for r in df.collect():
+        assert (got[r.doc_id].n_assign, got[r.doc_id].n_access, got[r.doc_id].n_hex, got[r.doc_id].base_sha256) == brute(r.text)
+    clean = {r.doc_id: r for r in ss.redact(df).collect()}
+    assert clean[1].text == "[SECRET] " * n + "token=[SECRET]" and clean[1].n_chars == len(clean[1].text)
+    assert clean[2].text == "é" * 5000 + " token=[SECRET] " + "x y" * 3000 + " [SECRET]"
+
+
 def test_sql_agrees(spark):
     con = duckdb.connect()
-    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
-    con.executemany("insert into documents values (?, ?, ?)", rows())
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar, lang varchar)")
+    con.executemany("insert into documents values (?, ?, ?, ?)", spread())
     rel = con.execute(ss.sql())
     names = [d[0] for d in rel.description]
     want = sorted(map(str, rel.fetchall()))
-    assert sorted(str(tuple(r)) for r in ss.report(frame(spark)).select(*names).collect()) == want
+    assert sorted(str(tuple(r)) for r in ss.report(
+        spark.createDataFrame(spread(), "doc_id long, text string, source string, lang string"), repository=F.concat_ws("/", "source", "lang")).select(*names).collect()) == want
 
 
 def test_redaction(spark):
@@ -62,4 +92,5 @@ def test_redaction(spark):
     assert got[100].text == 'password = "[SECRET]"' and got[100].n_chars == len(got[100].text)
     assert got[3].text == f"docs say {EXAMPLE} here" and got[105].text is None and got[106].text == ""
     assert got[103].text == f"é😀 api_key: '[SECRET]' apikey=[SECRET]\n[SECRET]g"
-    assert got[107].text == "x [SECRET] y" and got[110].text == rows()[30][1]
+    assert got[107].text == "x [SECRET] y" and got[110].text == "shared [SECRET]"
+    assert got[130].text == rows()[-3][1]

@@ -48,3 +48,20 @@ def test_rule():
     counts, crossing = tc.attribute(begin, end, np.array([0, 4, 8, 12, 13]))
     # 2-6 is halved: the first; 6-9 has two of three before 8; 10-20 has most behind 13.
     assert counts.tolist() == [2, 1, 1, 0, 1] and crossing.tolist() == [1, 1, 0, 0, 1]
+
+
+@pytest.mark.parametrize("around", [("a", "b"), ("a", ""), ("", "b"), ("a\n", "\u3000b"), ("", "")])
+def test_long_blank_runs(around):
+    for blank in (" ", "\n", " \t", "\xa0"):
+        text = around[0] + blank * 3000 + around[1]
+        assert tc.encode(text, RANKS).tolist() == tc.load(RANKS)[0].encode_ordinary(text)
+    text = (around[0] + " " * 2000 + around[1] + "\x1c" * 2000) * 3
+    assert tc.encode(text, RANKS).tolist() == tc.load(RANKS)[0].encode_ordinary(text)
+
+
+def test_very_long_runs(spark):
+    n = 10_000_000
+    df = spark.createDataFrame([(c,) for c in " a7"], "c string").repartition(3, "c").selectExpr("ascii(c) as doc_id", f"repeat(c, {n}) as text")
+    got = {r.doc_id: r for r in tc.token_counts(df, RANKS).collect()}
+    assert {r.end_char for r in got.values()} == {n} and len(got) == 3
+    assert got[ord(" ")].n_tokens == len(tc.load(RANKS)[1].encode_ordinary(" " * 1000)) * n // 1000
