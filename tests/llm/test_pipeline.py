@@ -86,5 +86,5 @@ def test_stages_keep_the_columns(spark, tmp_path):
 
 def test_registered():
     names = {n.split("_")[0] for n in QUERIES}
-    assert {f"op{i}" for i in range(1, 11)} <= names and set(SQL) <= set(QUERIES)
+    assert {f"op{i}" for i in range(1, 14)} <= names and set(SQL) <= set(QUERIES)
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
