@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; owner-specific secrets in their texts are replaced."""
-    return secret_scan.redact(docs, owner="source", repository="source")
+    return secret_scan.redact(docs, owner="source", repository=F.concat_ws("/", "source", "lang"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
