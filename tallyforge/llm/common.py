@@ -22,7 +22,7 @@ __all__ = ["BLANKS", "Tables", "WordHashes", "blank_free", "bounded", "drop", "d
 
 #: ASCII white space: the characters that end a word.
 BLANKS = "\x20\t\n\x0b\f\r"
-_MAX_CACHED = 1 << 20
+_MAX_CACHED = 1 << 18
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -115,7 +115,7 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 def map_texts(
     docs: DataFrame, keep: Sequence[str], text: str, fields: str, make: Callable[[], Callable[[list], list]],
-    many: bool = False, budget: int = 1 << 22,
+    many: bool = False, budget: int = 1 << 20,
 ) -> DataFrame:
     """Columns ``fields`` computed from texts in tasks, beside the ``keep`` columns as they are.
 

@@ -28,7 +28,7 @@ from .common import map_texts
 SPACE = "▁"
 #: Words of more symbols than this are merged with a heap: rounds over them would cost n * rounds.
 HEAP_FROM = 512
-_CACHED_WORDS = 1 << 19
+_CACHED_WORDS = 1 << 17
 _NONE = np.int64(1 << 40)
 
 
