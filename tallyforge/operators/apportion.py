@@ -5,10 +5,12 @@ a time to the best head quotient equals ranking all quotients of a contest by
 (quotient desc, votes desc, party, seat number) and keeping the first S. Contests
 and scenarios are ordinary key columns, so one job serves any number of both.
 
-Three things keep the job small at scale:
+Four things keep the job small at scale:
 
 * only quotients that can still win are exploded (`_ceiling`): at most
   S + parties (+ head starts) rows per contest instead of S x parties;
+* where capacities bind, that bound does not hold: the price at which the contest closes
+  is searched instead (`closing_limits`), by an aggregate over a ladder of prices;
 * a contest with more parties than seats is first cut, inside salted parts, to the
   parties that can win, so what is ranked together grows with the seats alone;
 * quotients are compared exactly with two 64-bit integers (`with_quotient`), no
@@ -91,6 +93,50 @@ def _ceiling(method, votes, head, total_votes, parties, heads, seats) -> Column:
     return (F.floor(F.when(method == DHONDT, dh).otherwise(odd)) + 1 - head).cast("bigint")
 
 
+#: Steps of the ladder of prices; over a range of 10^12 a step is a factor of 1.3.
+PRICES = 105
+#: Room for the rounding of doubles, in counts that must not be too high and in limits that must not be too low.
+_SLACK = 1e-12
+
+
+def _seats_at(price: Column, method: Column, first: Column, votes: Column, head: Column, room: Column, slack: float) -> Column:
+    """Seats of a party whose quotients are at least ``price``: none before its head start, at most its room."""
+    ratio = votes / price * (1 + slack)
+    plain = F.floor(F.when(method == DHONDT, ratio).when(method == SAINTE_LAGUE, (ratio + 1) / 2).otherwise((ratio / 10 + 1) / 2))
+    # The first divisor of the modified family may be larger than that of a plain first seat.
+    plain = F.when((method == MODIFIED) & (plain < 2), F.when(ratio >= first, 1).otherwise(0)).otherwise(plain)
+    return F.least(room, F.greatest(plain - head, F.lit(0))).cast("bigint")
+
+
+def closing_limits(wide: DataFrame, contest: Sequence[str], method: Column, first: Column) -> DataFrame:
+    """Add ``__limit``: seats up to which a party's quotients can win when parties hold ``__room`` seats at most.
+
+    Seats at a price are the sum over parties of the least of room and quotients that reach it. The prices of
+    a ladder, from the highest quotient to the lowest that any room allows, are tried together; the
+    highest price that fills the contest bounds every party. So a contest yields its seats, times a step
+    of the ladder, and a row per party, however large the capacities are.
+    """
+    votes, head, room = F.col("votes").cast("double"), F.col("__head"), F.col("__room")
+    last = divisor(F.col("__method"), head + room, F.col("__tenths")).cast("double")
+    ends = wide.where("votes > 0").groupBy(*contest).agg(
+        F.max(votes / divisor(F.col("__method"), head + 1, F.col("__tenths"))).alias("__high"),
+        (F.min(votes / last) * (1 - 1e-9)).alias("__low"))
+    ranged = join_null_safe(wide, ends, contest, "left")
+
+    # Steps of equal ratio from the highest price to the lowest.
+    price = F.col("__high") * F.pow(F.col("__low") / F.col("__high"), F.col("__step") / F.lit(PRICES - 1))
+    tried = ranged.where("votes > 0").withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(PRICES - 1))))
+    filled = tried.groupBy(*contest, "__step").agg(
+        F.max("__target").alias("__wanted"), F.sum(_seats_at(price, method, first, votes, head, room, -_SLACK)).alias("__filled"))
+    closed = filled.where("__filled >= __wanted").groupBy(*contest).agg(F.min("__step").alias("__step"))
+    priced = join_null_safe(ranged, closed, contest, "left")
+    limit = _seats_at(price, method, first, votes, head, room, _SLACK) + 1
+    # Without such a price all parties with votes fill their room, and those without come into play.
+    return priced.withColumn(
+        "__limit", F.when(F.col("__step").isNull(), room).when(F.col("votes") == 0, 0).otherwise(F.least(room, limit)).cast("bigint")
+    ).drop("__high", "__low", "__step")
+
+
 def apportion(
     df: DataFrame,
     contest: Sequence[str],
@@ -174,10 +220,12 @@ def apportion(
         F.col("__method"), F.col("votes").cast("double"), F.col("__head"), F.col("__total").cast("double"),
         F.col("__parties"), F.col("__heads"), F.col("__target"),
     )
-    wide = wide.withColumn(
-        "__limit",
-        F.when(bounded | (F.col("__total") == 0), F.col("__room")).otherwise(F.least(F.col("__room"), ceiling)),
-    )
+    ceiling = F.when(F.col("__total") == 0, F.col("__room")).otherwise(F.least(F.col("__room"), ceiling))
+    if capacity is None or isinstance(exhaustion, str) and exhaustion == VACANT:
+        wide = wide.withColumn("__limit", ceiling)
+    else:
+        wide = closing_limits(wide, contest, F.col("__method"), F.col("__tenths")).withColumn(
+            "__limit", F.when(bounded, F.col("__limit")).otherwise(ceiling))
     steps = wide.where(F.col("__limit") > 0).select(
         "*", F.explode(F.expr("sequence(1L, __limit)")).alias("seat_no")
     )

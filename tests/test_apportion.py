@@ -182,3 +182,33 @@ def test_a_list_too_short_is_an_error(spark):
     for short in (("s1", "x", 4), ("s3", "y", 1)):
         with pytest.raises(Exception, match="too short"):
             lists.fill_lists(marked, spark.createDataFrame([short], "scenario string, party string, seats int"), ["party"], ["scenario"]).collect()
+
+
+def test_closing_price_bounds_the_rows_of_capped_contests(spark):
+    """10,000 parties, 10,000 seats: a few parties with most votes and little room push the price far down."""
+    rng = random.Random(5)
+    rows = [("c", p, rng.randint(10**8, 10**9) if p < 40 else rng.randint(0, 5000), rng.randint(0, 30) if p < 40 else rng.randint(0, 12_000))
+            for p in range(10_000)]
+    df = spark.createDataFrame(rows, "contest string, party int, votes long, __room long").selectExpr(
+        "*", "10000L as __target", "0L as __head").where("__room > 0")
+    heap, want = [], {}
+    for _, p, v, room in rows:
+        if room and v:
+            heap.append((-v / 1, -v, p, 1, room))
+    import heapq
+
+    heapq.heapify(heap)
+    for _ in range(10_000):
+        _, v, p, k, room = heapq.heappop(heap)
+        want[p] = k
+        if k < room:
+            heapq.heappush(heap, (v / (k + 1), v, p, k + 1, room))
+    for method in ap.METHODS:
+        limits = ap.closing_limits(
+            df.withColumn("__method", F.lit(method)).withColumn("__tenths", F.lit(14)), ["contest"], F.lit(method), F.lit(14))
+        total = limits.agg(F.sum("__limit")).first()[0]
+        assert 10_000 <= total <= 1.4 * 10_000 + 2 * 10_000
+    capped = df.withColumnRenamed("__room", "cap").withColumn("seats", F.lit(10_000))
+    awards = ap.apportion(capped, ["contest"], capacity="cap").groupBy("party").agg(F.max("seat_no").alias("n"), F.count(F.lit(1)).alias("m"))
+    got = {r.party: (r.n, r.m) for r in awards.collect()}
+    assert got == {p: (k, k) for p, k in want.items()}
