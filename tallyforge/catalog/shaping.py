@@ -276,7 +276,21 @@ def token_lines(spark, sf):
     return out.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-@query("cell_lines")
+@query(
+    "cell_lines",
+    f"""WITH RECURSIVE t AS (
+  SELECT event_id // {PAGE} AS page, event_id % 16 AS cell, event_id AS x, value AS top, substr(event_type, 1, 1) AS c FROM events),
+d AS (SELECT DISTINCT page, cell, top FROM t),
+n AS (SELECT a.page, a.cell, a.top, MIN(b.top) AS beyond
+  FROM d a LEFT JOIN d b ON a.page = b.page AND a.cell = b.cell AND b.top > a.top + 3.0 GROUP BY 1, 2, 3),
+s AS (
+  SELECT page, cell, 1 AS line_no, MIN(top) AS top FROM t GROUP BY 1, 2
+  UNION ALL
+  SELECT s.page, s.cell, s.line_no + 1, n.beyond FROM s JOIN n ON s.page = n.page AND s.cell = n.cell AND s.top = n.top
+  WHERE n.beyond IS NOT NULL)
+SELECT t.page, t.cell, s.line_no, s.top, string_agg(t.c, '' ORDER BY t.x, t.top, t.c) AS text
+FROM t ASOF JOIN s ON t.page = s.page AND t.cell = s.cell AND t.top >= s.top GROUP BY 1, 2, 3, 4""",
+)
 def cell_lines(spark, sf):
     """Lines inside the cells of a page; a cell is a few of the page's tokens."""
     tokens = table(spark, sf, "events").select(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .scan import islands, join_null_safe, ordered_lag
 
 
@@ -58,37 +59,48 @@ def token_lines(
     )
 
 
-def cell_lines(tokens: DataFrame, keys: Sequence[str], top: str, x: str, text: str, tol: float) -> DataFrame:
-    """Lines inside one cell: a token joins the line whose *first* top is within ``tol``.
+def _line_starts(tops: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows ``keys, __idx`` that start a line, of rows with ``__idx`` (from 1) and ``__jump`` (the first one out of reach).
 
-    The rule looks back at the first token of the running line, so it is folded over
-    the cell's sorted tokens; a cell is a few characters.
+    Pointer jumping: after round r the starts are marked up to the 2 ** r-th, and each row points as many
+    lines ahead, so the rounds grow with the log of the longest chain of lines.
     """
-    item = F.struct(F.col(top).cast("double").alias("top"), F.col(x).cast("double").alias("x"), F.col(text).alias("t"))
-    start = F.array().cast("array<struct<top:double,parts:array<struct<x:double,t:string>>>>")
-
-    def step(lines, c):
-        last = F.try_element_at(lines, F.lit(-1))
-        part = F.struct(c["x"].alias("x"), c["t"].alias("t"))
-        joins = last.isNotNull() & (F.abs(c["top"] - last["top"]) <= tol)
-        grown = F.concat(
-            F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))),
-            F.array(F.struct(last["top"].alias("top"), F.concat(last["parts"], F.array(part)).alias("parts"))),
-        )
-        return F.when(joins, grown).otherwise(
-            F.concat(lines, F.array(F.struct(c["top"].alias("top"), F.array(part).alias("parts"))))
-        )
+    state = cut_lineage(tops.select(*keys, "__idx", "__jump", (F.col("__idx") == 1).alias("__start")))
+    while not state.where("__start and __jump is not null").isEmpty():
+        ahead = state.select(*keys, F.col("__idx").alias("__jump"), F.col("__jump").alias("__far"))
+        met = state.where("__start and __jump is not null").select(*keys, F.col("__jump").alias("__idx"), F.lit(True).alias("__met"))
+        # Rows without a jump stay without one.
+        further = join_null_safe(state, ahead.where("__far is not null"), [*keys, "__jump"], "left")
+        marked = join_null_safe(further, met, [*keys, "__idx"], "left")
+        state = cut_lineage(marked.select(
+            *keys, "__idx", F.col("__far").alias("__jump"), (F.col("__start") | F.coalesce("__met", F.lit(False))).alias("__start")))
+    return state.where("__start").select(*keys, "__idx")
 
-    def text_of(line):
-        return F.array_join(F.transform(F.array_sort(line["parts"], lambda a, b: (
-            F.when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0))), lambda p: p["t"]), "")
 
-    folded = tokens.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__c")).withColumn(
-        "__l", F.aggregate("__c", start, step)
-    )
-    return folded.select(
-        *keys, F.posexplode(F.transform("__l", lambda line: F.struct(line["top"].alias("top"), text_of(line).alias("text")))).alias("line_no", "__x")
-    ).select(*keys, (F.col("line_no") + 1).alias("line_no"), "__x.*")
+def cell_lines(tokens: DataFrame, keys: Sequence[str], top: str, x: str, text: str, tol: float) -> DataFrame:
+    """Lines inside one cell: a token joins the line whose *first* top is at most ``tol`` above its own.
+
+    Every top points to the first one beyond the reach of a line that starts there; the starts are those
+    met from the first top on, whatever the size of the cell. Tokens without a top are a line of their
+    own, the first. Text is in the order of x, then top, then text.
+    """
+    keys = list(keys)
+    tops = tokens.select(*keys, F.col(top).cast("double").alias("top")).distinct()
+    order = Window.partitionBy(*keys).orderBy("top")
+    by = ", ".join(f"`{k}`" for k in keys)
+    within = F.expr(f"count(1) over (partition by {by} order by top range between unbounded preceding and {float(tol)!r}D following)")
+    placed = tops.withColumn("__idx", F.row_number().over(order).cast("long")).withColumn("__next", within + 1)
+    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    placed = cut_lineage(placed.withColumn("__jump", F.when(F.col("__next") <= size, F.col("__next"))).drop("__next"))
+    starts = _line_starts(placed, keys).withColumn("__one", F.lit(1))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    lines = join_null_safe(placed, starts, [*keys, "__idx"], "left").select(
+        *keys, "top", F.sum(F.coalesce("__one", F.lit(0))).over(upto).cast("int").alias("line_no"))
+    parts = join_null_safe(tokens.select(*keys, F.col(top).cast("double").alias("top"), F.col(x).alias("__x"), F.col(text).alias("__t")),
+                           lines, [*keys, "top"], "inner")
+    item = F.struct(F.col("__x"), F.col("top"), F.col("__t"))
+    return parts.groupBy(*keys, "line_no").agg(
+        F.min("top").alias("top"), F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda p: p["__t"]), "").alias("text"))
 
 
 def locate_column(

@@ -20,7 +20,7 @@ def test_registry():
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names
     assert len(names) > 90
-    assert {n for n in names - set(entry.oracle_sql()) if not n.startswith("op") and n != "pipeline"} == {"cell_lines"}
+    assert {n for n in names - set(entry.oracle_sql()) if not n.startswith("op") and n != "pipeline"} == set()
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="shared tables are not here")

@@ -1,6 +1,7 @@
 """Sources and sinks: typed cells, round trips, nested documents, manifests, schemas."""
 
 import hashlib
+import random
 from decimal import Decimal
 
 import pytest
@@ -112,6 +113,24 @@ def test_header_span_grows_until_all_known(spark):
     assert grid.header_span(cells, known.limit(1), ["page"], "row", "col", "text", 2).isEmpty()
 
 
+def test_cells_of_any_size(spark):
+    """Long chains of lines, one of them in a cell without a name, against a walk from the top."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", None]), float(rng.randrange(3000)) / 4, rng.randrange(50), rng.choice("xyz")) for _ in range(3000)]
+    rows += [("b", None, 1, "n"), ("b", None, 0, "m"), ("b", 5.0, 1, "o"), ("c", 1.0, 0, None)]
+    want = {}
+    for cell in {r[0] for r in rows}:
+        line, first = 0, object()
+        lines = {}
+        for _, top, x, t in sorted((r for r in rows if r[0] == cell), key=lambda r: (r[1] is not None, r[1] or 0)):
+            if line == 0 or (first is None) != (top is None) or top is not None and top > first + 3.0:
+                line, first = line + 1, top
+            lines.setdefault((line, first), []).append((x, top, t))
+        want |= {(cell, *k): "".join(t for *_, t in sorted(v, key=lambda p: (p[0], p[1] or 0, p[2] or "")) if t) for k, v in lines.items()}
+    got = grid.cell_lines(spark.createDataFrame(rows, "cell string, top double, x int, t string"), ["cell"], "top", "x", "t", 3.0)
+    assert {(r.cell, r.line_no, r.top): r.text for r in got.collect()} == want and len(want) > 300
+
+
 def test_cell_lines_look_back_to_the_first(spark):
     tokens = spark.createDataFrame(
         [(1, 0.0, 5.0, "b"), (1, 2.0, 1.0, "a"), (1, 3.5, 2.0, "c"), (1, 9.0, 1.0, "d")], "cell int, top double, x double, t string")
