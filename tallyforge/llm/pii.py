@@ -18,10 +18,10 @@ from collections.abc import Iterator
 from itertools import takewhile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts
+from .common import drop, durable, map_texts
 
 #: Titles that come before a name, by gender.
 TITLES = {
@@ -29,8 +29,15 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа"),
     "n": ("Dr", "Prof"),
 }
-_GENDER = {t: g for g, titles in TITLES.items() for t in titles}
-_NAME = r"[^\W\d_a-zа-я][^\W\d_]+(?:-[^\W\d_a-zа-я][^\W\d_]+)?"
+_GENDER = {t: g for g, titles in TITLES.items() for t in titles} | {"MR": "m", "MRS": "f", "mr": "m", "mrs": "f"}
+#: Words in lower case inside a name.
+PARTICLES = ("al", "bin", "da", "de", "del", "den", "der", "di", "dos", "du", "el", "la", "le", "ter", "van", "von", "zu")
+_TITLE = rf"(?:{'|'.join(_GENDER)})\b\.?"
+_UPPER = r"[^\W\d_a-zа-я]"
+_NAME = rf"{_UPPER}[^\W\d_]*(?:['’-][^\W\d_]+)*\b"
+#: A word of a name or an initial, with the particles before it.
+_PART = rf"(?:(?:{'|'.join(PARTICLES)}) )*(?:{_UPPER}\.(?=[ ]?{_UPPER}| (?:{'|'.join(PARTICLES)}) )|{_NAME})"
+_WORD = re.compile(rf"{_UPPER}\.|[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ENTITY = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)(?!\w))"
@@ -38,10 +45,10 @@ _ENTITY = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,4})?)(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w))"
-    rf"|(?P<person>\b(?:{'|'.join(_GENDER)})\b\.? (?P<names>{_NAME}(?: {_NAME})?))"
+    rf"|(?P<person>\b{_TITLE}(?: {_TITLE})* (?P<names>{_PART}(?: ?{_PART})*)|\bmrs?\b\.? (?P<low>[^\W\d_]{{2,}}(?:['’-][^\W\d_]+)*))"
 )
 #: A word, hyphens included, and its parts.
-_LETTERS, _LETTER_RUN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*"), re.compile(r"[^\W\d_]+")
+_LETTERS, _LETTER_RUN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*"), re.compile(r"[^\W\d_]+(?:['’][^\W\d_]{2,})*")
 #: Digits as Python's \d has them, for Java: its \d is ASCII only, and Java 17 does not know the last three blocks.
 _DIGIT = r"[\p{Nd}\x{11F50}-\x{11F59}\x{16AC0}-\x{16AC9}\x{1E4F0}-\x{1E4F9}]"
 #: A text without any of these holds no entity.
@@ -56,27 +63,35 @@ ENTITY = "start int, end int, kind string, value string, canonical string"
 def detect(text: str | None) -> list[tuple[int, int, str, str, str]]:
     """Mentions ``(start, end, kind, value, canonical)``, leftmost first, not overlapping.
 
-    Names that a title has introduced are also found without it in the same text.
+    A title, or several, introduces a name: capitalised words, initials and the particles between them, up to the
+    last capitalised word; behind ``mr`` and ``mrs`` in lower case, one word. The last word is the surname. Names
+    that a title has introduced are also found without it in the same text.
     """
     found: list[tuple[int, int, str, str, str]] = []
     known: dict[str, str] = {}
     if not text:
         return found
     for m in _ENTITY.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "names" else "person"
+        kind = "person" if m["person"] else m.lastgroup
         if kind != "person":
             found.append((m.start(), m.end(), kind, m[0], canonical(kind, m[0])))
             continue
         gender = _GENDER[re.match(r"\w+", m[0])[0]]
-        parts = [(p.start() + m.start("names"), p[0]) for p in re.finditer(r"\S+", m["names"])]
-        parts = list(takewhile(lambda p: not p[1][0].islower(), parts))
+        group = "names" if m["names"] else "low"
+        parts = [(p.start(), re.sub(r"(?<=..)['’]s\Z", "", p[0])) for p in _WORD.finditer(text, *m.span(group)) if p[0] not in PARTICLES]
+        if m["names"]:
+            parts = list(takewhile(lambda p: not p[1][0].islower(), parts))
         for k, (at, name) in enumerate(parts):
+            if name.endswith("."):
+                found.append((at, at + 1, "initial", name[0], canonical("initial", name[0])))
+                continue
             kind = "surname" if k == len(parts) - 1 else f"given_{gender}"
             known.setdefault(name, kind)
             found.append((at, at + len(name), known[name], name, canonical(kind, name)))
     if known:
         ends = [(b, a) for a, b, *_ in found]  # ascending, as the spans do not overlap
         for m in _LETTERS.finditer(text):
+            # A hyphened word, or its parts; an ending behind an apostrophe is none of the name.
             parts = [m] if m[0] in known else _LETTER_RUN.finditer(text, *m.span())
             for p in parts:
                 i = bisect_right(ends, (p.start(), len(text)))
@@ -174,6 +189,8 @@ def drawn(d: Draw, kind: str, name: str) -> str:
         return name[:keep] + "".join(map(d.like, name[keep:]))
     if kind in ("given_m", "given_f", "given_n", "surname"):
         return person_name(d, kind, name)
+    if kind == "initial" and name.isascii():
+        return chr(97 + (ord(name) - 97 + 1 + d.below(25)) % 26)
     return "".join(map(d.like, name))
 
 
@@ -209,16 +226,17 @@ def dress(kind: str, value: str, replacement: str) -> str:
         return digits_like(value[0], replacement)
     if kind == "email" and len(value) == len(replacement):
         return "".join(r.upper() if v.isupper() else r for v, r in zip(value, replacement))
-    if kind.startswith(("given", "surname")):
+    if kind.startswith(("given", "surname", "initial")):
         return replacement.upper() if value.isupper() else replacement[:1].upper() + replacement[1:]
     return replacement
 
 
 def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
-    """``kind, canonical, surrogate`` of the different entities, one-to-one and none a real entity.
+    """``family, kind, canonical, surrogate`` of the different entities, one-to-one and none a real entity of any kind.
 
-    Collisions are counted by keyed aggregation. The entity with the fewest attempts, then the smallest
-    canonical form, keeps a contested surrogate; the others draw again. Every round writes a table.
+    Collisions are counted by keyed aggregation over all kinds. The entity with the fewest attempts, then the
+    smallest kind and canonical form, keeps a contested surrogate; the others draw again. Every round writes
+    a table, which goes with the next. Initials are letters, not entities: they may meet.
     """
     spark = entities.sparkSession
     schema = "kind string, canonical string, attempt int, surrogate string"
@@ -231,18 +249,29 @@ def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
 
         return rows.select("kind", "canonical", "attempt").mapInArrow(run, schema)
 
-    names = durable(entities.select("kind", "canonical").distinct())
+    # A name has one surrogate, be it a given name here and a surname there.
+    kinds = entities.select("kind", "canonical").distinct().withColumn("family", family(F.col("kind")))
+    names = durable(kinds.groupBy("family", "canonical").agg(F.min("kind").alias("kind")))
+    real = durable(names.select(F.col("canonical").alias("surrogate"), F.lit(True).alias("real")).distinct())
     table = durable(draw(names.withColumn("attempt", F.lit(0))))
     while True:
-        best = table.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("first"), F.count(F.lit(1)).alias("n"))
-        real = names.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
-        judged = table.join(best, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        good = F.col("real").isNull() & (F.col("first.canonical") == F.col("canonical"))
+        best = table.where("kind <> 'initial'").groupBy("surrogate").agg(F.min(F.struct("attempt", "kind", "canonical")).alias("first"))
+        judged = table.join(best, "surrogate", "left").join(real, "surrogate", "left")
+        good = F.col("real").isNull() & (F.col("first.canonical") == F.col("canonical")) & (F.col("first.kind") == F.col("kind"))
+        good = (F.col("kind") == "initial") | good
         judged = durable(judged.select("kind", "canonical", "attempt", "surrogate", good.alias("good")))
+        drop(table)
         if judged.where("not good").isEmpty():
-            return table.select("kind", "canonical", "surrogate")
+            drop(names, real)
+            return judged.select(family(F.col("kind")).alias("family"), "kind", "canonical", "surrogate")
         again = judged.where("not good").withColumn("attempt", F.col("attempt") + 1)
         table = durable(judged.where("good").drop("good").unionByName(draw(again)))
+        drop(judged)
+
+
+def family(kind: Column) -> Column:
+    """The kinds of names are one family."""
+    return F.when(kind.startswith("given") | (kind == "surname"), "name").otherwise(kind)
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -257,7 +286,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", keep: tuple[st
     some = rows.where(maybe)
     mentions = durable(map_texts(some, ["rid"], "text", ENTITY, lambda: lambda texts: [detect(t) for t in texts], many=True).distinct())
     chosen = durable(surrogates(mentions, key))
-    spans = mentions.join(chosen, ["kind", "canonical"]).groupBy("rid").agg(
+    named = mentions.withColumn("family", family(F.col("kind")))
+    spans = named.join(chosen.drop("kind"), ["family", "canonical"]).groupBy("rid").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "kind", "value", "surrogate"))).alias("spans"))
     joined = some.join(spans, "rid", "left").select("row", "text", "spans")
 

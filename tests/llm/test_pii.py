@@ -78,3 +78,47 @@ def test_forms_without_another_draw(spark):
     got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
     assert len(set(got)) == len(texts) and not set(got) & set(texts)
     assert all(re.fullmatch(r"[-_\w]+@-\.com", t) for i, t in enumerate(got) if i != 2) and re.fullmatch(r"Mr \S+ left", got[2])
+
+
+def test_names_of_any_number_of_words():
+    for text, want in [
+        ("Frau Dr Anna Schmidt kam.", ["Anna", "Schmidt"]), ("Herr Prof. Karl Otto sah", ["Karl", "Otto"]), ("then Mr J. Smith left", ["J", "Smith"]),
+        ("Ms Mary O'Neill's car; O'Neill's", ["Mary", "O'Neill", "O'Neill"]), ("Herr von Braun und Braun", ["Braun", "Braun"]),
+        ("so Mr John Fitzgerald Kennedy spoke", ["John", "Fitzgerald", "Kennedy"]), ("hello mr smith, smith", ["smith", "smith"]),
+        ("MR SMITH", ["SMITH"]), ("Señora Maria de la Cruz vino", ["Maria", "Cruz"]), ("Mr A. B. van der Berg.", ["A", "B", "Berg"]),
+        ("Mr Smith. However", ["Smith"]), ("Dr. Jean-Luc Picard", ["Jean-Luc", "Picard"])]:
+        found = pii.detect(text)
+        assert [v for *_, v, _ in found] == want, (text, found)
+        assert all(text[a:b] == v for a, b, _, v, _ in found)
+        assert [k for _, _, k, _, _ in found if k != "initial"][-1] == "surname"
+
+
+def test_distinct_over_all_kinds(spark):
+    """Given names and surnames by the thousand: no surrogate twice, none of them real; a name has one."""
+    rows = [(k, f"{a}{b}{c}{d}") for k in ("given_m", "surname") for a in "bdk" for b in "aeiou" for c in "lmnprst" for d in "aeiou"]
+    df = spark.createDataFrame([(k, n + ("x" if k == "surname" else "")) for k, n in rows] + [("surname", "bala"), ("initial", "j")], "kind string, canonical string")
+    got = [r for r in pii.surrogates(df, KEY).collect() if r.kind != "initial"]
+    made = [r.surrogate for r in got]
+    assert len(got) == len(rows) == len(set(made)) and not set(made) & {r.canonical for r in got}
+
+
+def test_corpus_by_brute_force(spark):
+    """Detect, replace, and compare: one surrogate per name in all documents, none in clear, none shared."""
+    rows = [(i, f"Herr {a} {b} rief {b} an. Frau {b} {c}, {a}!") for i, (a, b, c) in enumerate(
+        (x, y, z) for x in ("Karl", "Otto", "Berg") for y in ("Berg", "Olsen", "von Braun") for z in ("Roth-Klein", "O'Neill", "Karl"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(df, KEY).collect()}
+    mapping = {}
+    for i, text in rows:
+        spans, out, at, shift = pii.detect(text), got[i], 0, 0
+        for a, b, _, v, _ in spans:
+            rest = text[b:]
+            nxt = min((s[0] for s in spans if s[0] >= b), default=len(text))
+            between = text[b:nxt]
+            start = a + shift
+            end = out.index(between, start + 1) if between else len(out)
+            mapping.setdefault(v.casefold(), set()).add(out[start:end].casefold())
+            shift += (end - start) - (b - a)
+    assert all(len(s) == 1 for s in mapping.values()), mapping
+    flat = [next(iter(s)) for s in mapping.values()]
+    assert len(flat) == len(set(flat)) and not set(flat) & set(mapping)
