@@ -52,7 +52,8 @@ _LETTERS, _LETTER_RUN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*"), re.compil
 #: Digits as Python's \d has them, for Java: its \d is ASCII only, and Java 17 does not know the last three blocks.
 _DIGIT = r"[\p{Nd}\x{11F50}-\x{11F59}\x{16AC0}-\x{16AC9}\x{1E4F0}-\x{1E4F9}]"
 #: A text without any of these holds no entity.
-MAY_HOLD = rf"@|{_DIGIT}{{3}}|{_DIGIT}\.{_DIGIT}|[A-Z]{{2}}{_DIGIT}{{2}}|" + "|".join(_GENDER)
+MAY_HOLD = rf"@|{_DIGIT}{{3}}|{_DIGIT}\.{_DIGIT}|[A-Z]{{2}}{_DIGIT}{{2}}|" + "|".join(
+    t for t in _GENDER if not any(t != u and t.startswith(u) for u in _GENDER))
 #: After so many attempts, and again after as many more, surrogates become a character longer: short forms may be used up.
 PATIENCE = 16
 #: Characters that a form without letters and digits gets, as nothing in it can be drawn.
@@ -283,7 +284,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", keep: tuple[st
     rows = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text"))
     rows = rows.withColumn("rid", F.concat_ws("-", F.xxhash64("row", "text"), F.xxhash64("text", "row", F.lit(1))))
     maybe = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
-    some = rows.where(maybe)
+    some = durable(rows.where(maybe))
     mentions = durable(map_texts(some, ["rid"], "text", ENTITY, lambda: lambda texts: [detect(t) for t in texts], many=True).distinct())
     chosen = durable(surrogates(mentions, key))
     named = mentions.withColumn("family", family(F.col("kind")))
