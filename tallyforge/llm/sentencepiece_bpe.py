@@ -6,6 +6,10 @@ All different words of a batch lie in flat symbol arrays. Each round finds the b
 word (a segmented minimum), merges all its occurrences from the left at once and compacts the arrays,
 until no pair is left. Merging all at once equals merging one by one unless the merged piece could grow
 into a better-ranked one while the same pair waits further right; there, only the leftmost is merged.
+
+A long word is first cut where no piece holds the two characters side by side. What is still long has its
+minimum taken over a window around every pair instead of the whole word: no piece reaches beyond it, so
+the best pair of each window can be merged in the same round, and rounds do not grow with the length.
 """
 
 from __future__ import annotations
@@ -26,12 +30,25 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .common import map_texts
 
 SPACE = "▁"
-#: Words of more symbols than this are merged with a heap: rounds over them would cost n * rounds.
-HEAP_FROM = 512
+#: Parts of more symbols than this take their minima over windows: rounds per word would grow with its length.
+LONG = 512
+#: Rounds after which a part that still has pairs is finished pair by pair (texts made to need one round per pair).
+ROUNDS = 4096
 _CACHED_WORDS = 1 << 17
 _NONE = np.int64(1 << 40)
 
 
+def _least(values: np.ndarray, left: int, right: int) -> np.ndarray:
+    """Minimum of every value and its neighbours, so many to the left and to the right."""
+    out = np.concatenate([np.full(left, _NONE), values, np.full(right, _NONE)])
+    have, size = 1, left + right + 1
+    while have < size:
+        step = min(have, size - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
+
+
 class Model:
     """Piece tables of a SentencePiece BPE model with byte fallback, and the codec built on them."""
 
@@ -83,6 +100,10 @@ class Model:
         self.made = np.array(made, np.int64)[order]
         self.heap_pairs = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys, self.ranks, self.made)}
         #: Pieces that can grow into a piece of an equal or better rank.
+        self.longest = max(map(len, ids), default=1)
+        joined = {ord(a) * 0x110000 + ord(b) for piece in ids for a, b in zip(piece, piece[1:])}
+        #: Neighbouring characters of any piece.
+        self.neighbours = np.array(sorted(joined), np.int64)
         self.grows = np.zeros(n, bool)
         for i, r in rank.items():
             self.grows[i] = best_growth.get(i, 1 << 40) <= r
@@ -107,7 +128,7 @@ class Model:
         key[(left < 0) | (right < 0)] = -1
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
-        hit = self.keys[at] == key
+        hit = (self.keys[at] == key) & (key >= 0)
         return np.where(hit, self.ranks[at], _NONE), np.where(hit, self.made[at], -1)
 
     def _rounds(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +172,50 @@ class Model:
         order = np.argsort(word, kind="stable")
         return symbols[order], word[order]
 
+    def _windows(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same merges with the minimum over a window of twice the longest piece to both sides.
+
+        A pair that is best in its window is merged before anything that could touch it: whatever comes
+        to touch it would be made of pairs of the window, none of which is better. Among equal pairs
+        the left one goes first; one that waits, or that grows once merged, holds back those right of it as
+        long as they follow within a window of each other.
+        """
+        reach = 2 * self.longest + 2
+        rank, made = self._look_up(symbols, np.append(np.where(word[1:] == word[:-1], symbols[1:], -1), -1))
+        for _ in range(ROUNDS):
+            hit = (rank == _least(rank, reach, reach)) & (rank < _NONE)
+            at = np.flatnonzero(hit)
+            if not len(at):
+                return symbols, word
+            waits = _least(np.where(hit, _NONE, rank), reach, 0)[at] == rank[at]
+            run = np.flatnonzero(np.append(True, np.diff(at) != 1))
+            place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+            at, waits = at[place % 2 == 0], waits[place % 2 == 0]
+            new, r = made[at], rank[at]
+            before = np.where((at > 0) & (word[at - 1] == word[at]), symbols[at - 1], -1)
+            there = np.minimum(at + 2, len(word) - 1)
+            after = np.where((at + 2 < len(word)) & (word[there] == word[at]), symbols[there], -1)
+            merged = np.where(np.append(False, np.diff(at) == 2), np.append(-1, new[:-1]), -1)
+            grown = (self._look_up(before, new)[0] <= r) | (self._look_up(new, after)[0] <= r) | (self._look_up(merged, new)[0] <= r)
+            held = np.cumsum(waits | grown) - (waits | grown)
+            group = np.flatnonzero(np.append(True, np.diff(at) > reach))
+            held -= np.repeat(held[group], np.diff(np.append(group, len(at))))
+            at = at[(held == 0) & ~waits]
+            symbols[at] = made[at]
+            stay = np.ones(len(symbols), bool)
+            stay[at + 1] = False
+            symbols, word, rank, made = symbols[stay], word[stay], rank[stay], made[stay]
+            at = at - np.arange(len(at))
+            at = np.concatenate([at[at > 0] - 1, at])
+            there = np.minimum(at + 1, len(word) - 1)
+            right = np.where((at + 1 < len(word)) & (word[there] == word[at]), symbols[there], -1)
+            rank[at], made[at] = self._look_up(symbols[at], right)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        parts = [np.array(self._heap(p.tolist()), np.int64) for p in np.split(symbols, first[1:])]
+        return np.concatenate(parts), np.repeat(word[first], [len(p) for p in parts])
+
     def _heap(self, symbols: list[int]) -> list[int]:
-        """The same merges for one long word, best pair first, leftmost on ties."""
+        """The same merges for one word, pair by pair: best pair first, leftmost on ties."""
         n, pairs = self.n, self.heap_pairs
         after, before = list(range(1, len(symbols))) + [-1], list(range(-1, len(symbols) - 1))
         heap: list[tuple[int, int, int, int]] = []
@@ -186,15 +249,24 @@ class Model:
 
     def encode_words(self, found: list[str]) -> None:
         """Add the ids of words as cut by :func:`cut` to the remembered ones."""
-        for w in (w for w in found if len(w) > HEAP_FROM):
-            codes = self.symbol_of[np.frombuffer(w.encode("utf-32-le"), np.uint32)]
-            self._remember([w], np.array(self._heap(codes.tolist()), np.int64), [0])
-        short = [w for w in found if len(w) <= HEAP_FROM]
-        if short:
-            symbols = self.symbol_of[np.frombuffer("".join(short).encode("utf-32-le"), np.uint32)]
-            word = np.repeat(np.arange(len(short)), np.fromiter(map(len, short), np.int64, len(short)))
-            symbols, word = self._rounds(symbols, word)
-            self._remember(short, symbols, np.searchsorted(word, np.arange(len(short))))
+        if not found:
+            return
+        codes = np.frombuffer("".join(found).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        word = np.repeat(np.arange(len(found)), size)
+        starts = np.append(True, word[1:] != word[:-1])
+        inside = np.flatnonzero(~starts & (size > LONG)[word])
+        starts[inside[~np.isin(codes[inside - 1] * 0x110000 + codes[inside], self.neighbours)]] = True
+        part, owner = np.cumsum(starts) - 1, word[starts]
+        wide = (np.bincount(part) > LONG)[part]
+        symbols = self.symbol_of[codes]
+        merged, of = self._rounds(symbols[~wide], part[~wide])
+        if wide.any():
+            more, of_more = self._windows(symbols[wide], part[wide])
+            of = np.concatenate([of, of_more])
+            order = np.argsort(of, kind="stable")
+            merged, of = np.concatenate([merged, more])[order], of[order]
+        self._remember(found, merged, np.searchsorted(owner[of], np.arange(len(found))))
 
     def _remember(self, found: list[str], symbols: np.ndarray, begins) -> None:
         ends = [*begins[1:], len(symbols)]

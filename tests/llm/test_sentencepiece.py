@@ -47,6 +47,46 @@ def test_rounds_equal_the_heap():
         assert merged.tolist() == model._heap(symbols)
 
 
+def long_words():
+    rng = random.Random(3)
+    draw = lambda some, n: "".join(rng.choice(some) for _ in range(n))
+    words = ["ation", "er", "the", "ing", "abc", "tion", "ss", "in", "ter", "on"]
+    yield from ("a" * 100_000, "ab" * 20_001, "abc" * 7_000, "=-" * 5_000, "e" * 5_000 + "s" * 5_001)
+    yield draw("abcdefghijklmnopqrstuvwxyz", 100_000)
+    yield draw("0123456789abcdef", 100_000)
+    yield draw("日本語中国한글ゼñß", 20_000)
+    for n in (513, 700, 2_000):
+        for some in ("ab", "aetions", "abcdefghijklmnopqrstuvwxyz", "ABCDEFabcdef+/0189", "=- x".replace(" ", ""), words):
+            yield from (draw(some, n) for _ in range(6))
+
+
+def test_long_words_equal_the_library(library, monkeypatch):
+    model, given = sp.Model(PIECES), list(long_words())
+    monkeypatch.setattr(model, "_heap", None)  # all of them by arrays
+    for t, (_, n, ids) in zip(given, model.encode(given)):
+        assert ids.tolist() == library.encode(t, add_eos=True), t[:60]
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_words_that_need_more_rounds(library, monkeypatch, rounds):
+    monkeypatch.setattr(sp, "ROUNDS", rounds)
+    given = [t for t in long_words() if len(t) < 10_000]
+    for t, (_, n, ids) in zip(given, sp.Model(PIECES).encode(given)):
+        assert ids.tolist() == library.encode(t, add_eos=True), t[:60]
+
+
+def test_windows_equal_the_heap_on_short_words():
+    import numpy as np
+
+    model, rng = sp.load(PIECES), random.Random(5)
+    for _ in range(300):
+        some = rng.choice(["ations", "ab", "er", "abcdefghijklmnopqrstuvwxyz"])
+        ws = ["".join(rng.choice(some) for _ in range(rng.randrange(1, 300))) for _ in range(5)]
+        symbols = [[int(model.symbol_of[ord(c)]) for c in w] for w in ws]
+        merged, word = model._windows(np.array(sum(symbols, [])), np.repeat(np.arange(5), [len(w) for w in ws]))
+        assert [merged[word == i].tolist() for i in range(5)] == [model._heap(s) for s in symbols]
+
+
 def test_tables(spark, library):
     rows = [(1, "Hello  wörld\n"), (1, "Hello  wörld\n"), (2, None), (3, ""), (None, "x " * 50_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "text as ids", "1 as n_tokens")
