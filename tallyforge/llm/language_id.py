@@ -20,7 +20,7 @@ from .common import map_texts
 
 #: Hashed n-gram features; the longest n-gram.
 FEATURES, ORDER = 1 << 14, 3
-#: Characters handled at once; n-grams do not look over such a cut in a longer text, a loss of two per cut.
+#: Characters handled at once; a longer text hands its last symbols on, so that no n-gram is lost or added.
 PIECE = 1 << 20
 UNDETERMINED = "und"
 
@@ -50,21 +50,16 @@ def codewords(count: int, bits: int = 31, seed: int = 7) -> np.ndarray:
     return best
 
 
-def features(text: str) -> np.ndarray:
-    """Hashed n-grams of the letters of a text in lower case; all else is one space between words."""
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[code]
-    keep = letter | np.append(False, letter[:-1])
-    sign = np.where(letter, code, np.uint32(32))[keep].astype(np.uint64)
-    if not letter.any():
-        return np.zeros(0, np.int64)
-    sign = np.concatenate([[np.uint64(32)], sign, [np.uint64(32)]])
+def features(before: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Hashed n-grams that end in ``symbols``; those ``before`` only start some."""
+    both = np.concatenate([before, symbols])
     out = []
     with np.errstate(over="ignore"):
         for n in range(1, ORDER + 1):
-            h = np.full(max(len(sign) - n + 1, 0), n, np.uint64)
+            part = both[max(len(before) - n + 1, 0) :]
+            h = np.full(max(len(part) - n + 1, 0), n, np.uint64)
             for i in range(n):
-                h = (h ^ sign[i : len(sign) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ part[i : len(h) + i]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
             out.append((h >> np.uint64(50)).astype(np.int64))
     return np.concatenate(out)
@@ -80,8 +75,22 @@ def _letters() -> np.ndarray:
 
 
 def pieces(text: str | None) -> Iterator[np.ndarray]:
-    for a in range(0, len(text or ""), PIECE):
-        yield features(text[a : a + PIECE])
+    """Features of a text: n-grams of its letters in lower case, all else is one space between words."""
+    low, blank = (text or "").lower(), np.full(1, 32, np.uint64)
+    seen, after_letter, before = False, False, blank[:0]
+    for a in range(0, len(low), PIECE):
+        code = np.frombuffer(low[a : a + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[code]
+        keep = letter | np.append(after_letter, letter[:-1])
+        after_letter = letter[-1]
+        symbols = np.where(letter, code, np.uint32(32))[keep].astype(np.uint64)
+        if not seen and letter.any():
+            seen, symbols = True, np.concatenate([blank, symbols])
+        if seen and a + PIECE >= len(low):
+            symbols = np.concatenate([symbols, blank])
+        if len(symbols):
+            yield features(before, symbols)
+            before = np.concatenate([before, symbols])[1 - ORDER :]
 
 
 def held_out(doc_id: Column) -> Column:

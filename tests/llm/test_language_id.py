@@ -56,3 +56,50 @@ def test_a_wrong_bit_is_corrected():
         margins = codes[k].astype(float)
         margins[2] *= -1
         assert li.decode(model, margins)[0] == "abcd"[k]
+
+
+def brute_features(text):
+    """Counts of hashed n-grams by a plain loop over the whole text."""
+    low = text.lower()
+    symbols = [32]
+    for i, c in enumerate(low):
+        if c.isalpha():
+            symbols.append(ord(c))
+        elif i and low[i - 1].isalpha():
+            symbols.append(32)
+    symbols.append(32)
+    counts = np.zeros(li.FEATURES, np.int64)
+    if not any(c.isalpha() for c in low):
+        return counts
+    for n in range(1, li.ORDER + 1):
+        for i in range(len(symbols) - n + 1):
+            h = n
+            for s in symbols[i : i + n]:
+                h = (h ^ s) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 29
+            counts[h >> 50] += 1
+    return counts
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 1 << 20])
+def test_cuts_change_nothing(monkeypatch, piece):
+    monkeypatch.setattr(li, "PIECE", piece)
+    rng = random.Random(piece)
+    given = ["", "a", " ", "12", "a.", ".a", "1 2 a", "ΣΑΣ ΣΑΣ.", "İx", "日本 語", "a" * 9 + "1" * 9 + "b"]
+    given += ["".join(rng.choice("aB 1.éΣ") for _ in range(rng.randrange(40))) for _ in range(60)]
+    for t in given:
+        got = sum((np.bincount(f, minlength=li.FEATURES) for f in li.pieces(t)), np.zeros(li.FEATURES, np.int64))
+        assert (got == brute_features(t)).all(), repr(t)
+
+
+def test_predictions_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, text(rng, lang := rng.choice("aa bb cc dd".split())), lang) for i in range(60)]
+    rows += [(100, text(rng, "bb", 200_000), "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.learn(df)
+    got = {r.doc_id: r for r in li.predict(df, model).collect()}
+    for d, t, _ in rows:
+        counts = brute_features(t)
+        name, score, gap = li.decode(model, counts @ model.weights.astype(float) / counts.sum())
+        assert got[d].lang_pred == name and got[d].score == pytest.approx(score, abs=1e-5) and got[d].ambiguous == (gap < 0.05)
