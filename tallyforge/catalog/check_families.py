@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import lists
@@ -124,6 +127,44 @@ def check_configured_totals(spark, sf):
     return rows.select("k", "n", (F.col("n") >= least).alias("ok"))
 
 
+@query(
+    "check_expected_totals",
+    """WITH c AS (
+  SELECT 'orders' AS measure, NULLIF(l_orderkey % 10, 9) AS block, COUNT(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1, 2
+  UNION ALL SELECT 'parts', NULLIF(l_partkey % 10, 9), COUNT(DISTINCT l_partkey) FROM lineitem GROUP BY 1, 2
+  UNION ALL SELECT 'suppliers', NULLIF(l_suppkey % 10, 9), COUNT(DISTINCT l_suppkey) FROM lineitem GROUP BY 1, 2),
+e AS (
+  SELECT 'orders' AS measure, NULLIF(o_orderkey % 10, 9) AS block, COUNT(*) + MAX(CASE WHEN o_orderkey % 10 = 3 THEN 1 ELSE 0 END) AS n
+  FROM orders GROUP BY 1, 2
+  UNION ALL SELECT 'parts', NULLIF(p_partkey % 10, 9), COUNT(*) FROM part WHERE p_partkey % 10 <> 5 GROUP BY 1, 2
+  UNION ALL SELECT 'suppliers', NULLIF(s_suppkey % 10, 9), COUNT(*) FROM supplier WHERE s_suppkey % 10 <> 4 GROUP BY 1, 2
+  UNION ALL SELECT 'regions', NULL, COUNT(*) FROM region)
+SELECT COALESCE(c.measure, e.measure) AS measure, COALESCE(c.block, e.block) AS block, c.n AS computed, e.n AS expected,
+  e.measure IS NOT NULL AS asked, CASE WHEN e.measure IS NULL THEN c.measure = 'suppliers' ELSE c.n IS NOT DISTINCT FROM e.n END AS ok
+FROM c FULL JOIN e ON c.measure = e.measure AND c.block IS NOT DISTINCT FROM e.block""",
+)
+def check_expected_totals(spark, sf):
+    """Orders, parts and suppliers met in the lines, per block, against what their own tables say.
+
+    Block 9 is null. Faults: one order too many is expected in block 3, the parts of block 5 are not
+    expected and regions are not in the lines. What is not expected of suppliers (block 4) is optional.
+    """
+
+    def per_block(measure, df, key, n):
+        return df.groupBy(F.expr(f"nullif({key} % 10, 9)").alias("block")).agg(n.alias("value")).select(F.lit(measure).alias("measure"), "block", "value")
+
+    def own(measure, name, key, leave=-1):
+        return per_block(measure, table(spark, sf, name).where(F.col(key) % 10 != leave), key, F.count(F.lit(1)))
+
+    met = table(spark, sf, "lineitem")
+    computed = [per_block(m, met, k, F.count_distinct(k)) for m, k in (("orders", "l_orderkey"), ("parts", "l_partkey"), ("suppliers", "l_suppkey"))]
+    orders = own("orders", "orders", "o_orderkey").withColumn("value", F.expr("value + if(block <=> 3, 1, 0)"))
+    regions = table(spark, sf, "region").agg(F.count(F.lit(1)).alias("value")).selectExpr("'regions' AS measure", "CAST(NULL AS bigint) AS block", "value")
+    expected = [orders, own("parts", "part", "p_partkey", 5), own("suppliers", "supplier", "s_suppkey", 4), regions]
+    return q.expected_totals(reduce(DataFrame.unionByName, computed), reduce(DataFrame.unionByName, expected), ["measure", "block"],
+                             optional=F.col("measure") == "suppliers")
+
+
 @query(
     "check_filled_where_given",
     """SELECT CAST(event_id AS VARCHAR) AS subject, event_type AS detail FROM events WHERE event_id % 101 = 7""",

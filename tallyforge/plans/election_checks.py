@@ -337,12 +337,13 @@ def c7b(t, cfg):
 
 
 def totals_against(cfg, frames: list[tuple[str, DataFrame, str]]):
-    """Compare one computed number per election with a configured column."""
-    bad = []
-    for label, df, want in frames:
-        rows = cfg.join(df, E, "left")
-        bad.append(bad_rows(rows.where(~q.zero(F.col("n")).eqNullSafe(F.col(want))), F.lit(label), path("n", want)))
-    return union_checks(*bad)
+    """Compare computed numbers per election with configured columns."""
+    asked = F.explode(F.array(*[
+        F.struct(F.lit(label).alias("measure"), F.col(want).cast("bigint").alias("value")) for label, _, want in frames])).alias("a")
+    got = [df.select(*E, F.lit(label).alias("measure"), F.col("n").cast("bigint").alias("value")) for label, df, _ in frames]
+    both = q.expected_totals(union_checks(*got), cfg.select(*E, asked).select(*E, "a.*"), [*E, "measure"], absent=0)
+    bad = both.where("asked AND NOT ok").withColumn("computed", q.zero(F.col("computed")))
+    return bad_rows(bad, F.col("measure"), path("computed", "expected"))
 
 
 @check("C8", "smd_candidates", "pr_party_blocks", "pr_list_entries")

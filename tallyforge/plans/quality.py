@@ -157,6 +157,29 @@ def reconcile(
     return both.select(*keys, "computed", "published", ok.alias("ok"))
 
 
+def expected_totals(
+    computed: DataFrame, expected: DataFrame, keys: Sequence[str], value: str = "value",
+    optional: Column | None = None, absent: int | None = None,
+) -> DataFrame:
+    """Computed totals against a list of expected ones: keys, ``computed``, ``expected``, ``asked``, ``ok``.
+
+    Keys name a scope and a measure; null keys are equal. One aggregate puts both sides together, so any
+    number of measures costs one shuffle of partial sums. Computed rows of one key are added up; expected rows
+    of one key that differ are never met. A computed total that nobody asked for is ok only where
+    ``optional`` (an expression over the keys) holds. ``absent`` stands for a total that was not computed.
+    """
+    sides = computed.select(*keys, F.col(value).alias("__got"), F.lit(None).cast("bigint").alias("__want"), F.lit(False).alias("__asked"))
+    sides = sides.unionByName(expected.select(
+        *keys, F.lit(None).cast("bigint").alias("__got"), F.col(value).alias("__want"), F.lit(True).alias("__asked")))
+    rows = sides.groupBy(*keys).agg(
+        F.sum("__got").alias("computed"), F.min("__want").alias("expected"), F.max("__want").alias("__high"), F.max("__asked").alias("asked"),
+        (F.count_if("__asked") - F.count("__want")).alias("__blank"))
+    got = F.col("computed") if absent is None else F.coalesce("computed", F.lit(absent))
+    single = F.col("expected").eqNullSafe(F.col("__high")) & ((F.col("__blank") == 0) | F.col("expected").isNull())
+    met = F.when(F.col("asked"), single & got.eqNullSafe(F.col("expected"))).otherwise(F.lit(False) if optional is None else optional)
+    return rows.select(*keys, "computed", "expected", "asked", F.coalesce(met, F.lit(False)).alias("ok"))
+
+
 def contiguous(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     """Per key: are the numbers exactly 1..n? Aggregates only, no sorted group."""
     return df.groupBy(*keys).agg(

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 DATA = Path("/root/testdata/sf0.001")
 SAMPLE = [
     "apportion_dhondt", "apportion_capacity_vacant", "apportion_tie_flag", "quotient_table", "list_capacity", "majority_lines",
-    "check_identity", "check_contiguity", "parse_printed_number", "label_list_header", "gap_cluster", "range_bin", "section_positions", "merge_wrapped_parts", "nested_list_parts", "row_labels", "category_fold",
+    "check_identity", "check_expected_totals", "check_contiguity", "parse_printed_number", "label_list_header", "gap_cluster", "range_bin", "section_positions", "merge_wrapped_parts", "nested_list_parts", "row_labels", "category_fold",
     "carry_forward", "merge_wrapped", "header_span", "locate_key_column", "nested_lists", "grouped_totals", "mode_first_seen",
     "rejection_layers", "orderings",
 ]

@@ -87,3 +87,22 @@ def test_contiguous_and_ascending(spark):
                                "k string, n int, o long")
     assert {r.k for r in q.contiguous(df, ["k"], "n").where("ok").collect()} == {"a", "d"}
     assert {r.k for r in q.ascending(df, ["k"], "n", "o", numeric_split("o", 1)).where("ok").collect()} == {"a", "c"}
+
+
+def test_expected_totals(spark):
+    got = spark.createDataFrame([("a", None, 3), ("a", "x", 1), ("a", "x", 1), ("b", "x", 5), ("c", "x", 5), ("d", "x", 0)], "m string, s string, value long")
+    want = spark.createDataFrame(
+        [("a", None, 3), ("a", "x", 2), ("a", "y", 0), ("a", "z", 4), ("d", "x", None), ("e", None, None), ("f", "x", 0), ("f", "x", 1), ("g", "x", 0), ("g", "x", None)],
+        "m string, s string, value long")
+
+    def rows(**more):
+        return {(r.m, r.s): (r.computed, r.expected, r.asked, r.ok) for r in q.expected_totals(got, want, ["m", "s"], optional=F.col("m") == "b", **more).collect()}
+
+    plain, zero = rows(), rows(absent=0)
+    assert plain[("a", None)] == (3, 3, True, True) and plain[("a", "x")] == (2, 2, True, True)
+    assert plain[("b", "x")] == (5, None, False, True) and plain[("c", "x")] == (5, None, False, False)
+    assert plain[("a", "y")] == (None, 0, True, False) and zero[("a", "y")] == (None, 0, True, True)
+    assert not plain[("a", "z")][3] and not zero[("a", "z")][3] and not plain[("d", "x")][3]
+    assert plain[("e", None)][3] and not zero[("e", None)][3]
+    assert not any(r[k][3] for r in (plain, zero) for k in (("f", "x"), ("g", "x")))
+    assert len(plain) == 10 and q.expected_totals(got.limit(0), want.limit(0), ["m", "s"]).count() == 0
