@@ -131,14 +131,30 @@ class Model:
         hit = (self.keys[at] == key) & (key >= 0)
         return np.where(hit, self.ranks[at], _NONE), np.where(hit, self.made[at], -1)
 
+    def _all_pairs(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of every symbol with the next one of its word."""
+        if not len(symbols):
+            return symbols, symbols
+        return self._look_up(symbols, np.append(np.where(word[1:] == word[:-1], symbols[1:], -1), -1))
+
+    def _merge(self, at, symbols, word, rank, made) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Merge the pairs at ``at``, compact the arrays and look the pairs beside merged symbols up again."""
+        symbols[at] = made[at]
+        stay = np.ones(len(symbols), bool)
+        stay[at + 1] = False
+        symbols, word, rank, made = symbols[stay], word[stay], rank[stay], made[stay]
+        at = at - np.arange(len(at))
+        at = np.concatenate([at[at > 0] - 1, at])
+        there = np.minimum(at + 1, len(word) - 1)
+        right = np.where((at + 1 < len(word)) & (word[there] == word[at]), symbols[there], -1)
+        rank[at], made[at] = self._look_up(symbols[at], right)
+        return symbols, word, rank, made
+
     def _rounds(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge until no pair of any word is left; ``word`` is the ascending word number of a symbol."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank, made = self._all_pairs(symbols, word)
         while len(symbols):
-            rank, made = self._look_up(symbols[:-1], symbols[1:])
-            rank[word[:-1] != word[1:]] = _NONE
-            rank = np.append(rank, _NONE)
-            made = np.append(made, -1)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             size = np.diff(np.append(first, len(word)))
             best = np.minimum.reduceat(rank, first)
@@ -162,10 +178,7 @@ class Model:
             # The growing kind is merged one at a time, unless the word has only that one.
             risky = np.logical_or.reduceat(self.grows[made[at]], np.flatnonzero(leading))
             at = at[leading | ~np.repeat(risky, np.diff(np.append(np.flatnonzero(leading), len(at))))]
-            symbols[at] = made[at]
-            stay = np.ones(len(symbols), bool)
-            stay[at + 1] = False
-            symbols, word = symbols[stay], word[stay]
+            symbols, word, rank, made = self._merge(at, symbols, word, rank, made)
         if not done:
             return symbols, word
         symbols, word = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
@@ -181,7 +194,7 @@ class Model:
         long as they follow within a window of each other.
         """
         reach = 2 * self.longest + 2
-        rank, made = self._look_up(symbols, np.append(np.where(word[1:] == word[:-1], symbols[1:], -1), -1))
+        rank, made = self._all_pairs(symbols, word)
         for _ in range(ROUNDS):
             hit = (rank == _least(rank, reach, reach)) & (rank < _NONE)
             at = np.flatnonzero(hit)
@@ -201,15 +214,7 @@ class Model:
             group = np.flatnonzero(np.append(True, np.diff(at) > reach))
             held -= np.repeat(held[group], np.diff(np.append(group, len(at))))
             at = at[(held == 0) & ~waits]
-            symbols[at] = made[at]
-            stay = np.ones(len(symbols), bool)
-            stay[at + 1] = False
-            symbols, word, rank, made = symbols[stay], word[stay], rank[stay], made[stay]
-            at = at - np.arange(len(at))
-            at = np.concatenate([at[at > 0] - 1, at])
-            there = np.minimum(at + 1, len(word) - 1)
-            right = np.where((at + 1 < len(word)) & (word[there] == word[at]), symbols[there], -1)
-            rank[at], made[at] = self._look_up(symbols[at], right)
+            symbols, word, rank, made = self._merge(at, symbols, word, rank, made)
         first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         parts = [np.array(self._heap(p.tolist()), np.int64) for p in np.split(symbols, first[1:])]
         return np.concatenate(parts), np.repeat(word[first], [len(p) for p in parts])
