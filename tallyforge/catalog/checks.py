@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.scan import numeric_split
 from ..plans import quality as q
 from ..plans.simulate import simulate
 from ..plans import scenarios
@@ -164,7 +163,7 @@ GROUP BY 1""",
 )
 def check_ascending(spark, sf):
     rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("d"))
-    return q.ascending(rows, ["o_custkey"], "d", "o_orderkey", numeric_split("o_orderkey")).select(
+    return q.ascending(rows, ["o_custkey"], "d", "o_orderkey").select(
         "o_custkey", "low", "falls"
     )
 

@@ -17,7 +17,6 @@ MICROS = (
     "cast(datediff(cast(ts as date), date'1970-01-01') as bigint) * 86400000000"
     " + hour(ts) * 3600000000L + minute(ts) * 60000000L + cast(extract(second from ts) * 1000000 as bigint)"
 )
-DAY = 86_400_000_000
 
 
 def events(spark, sf):
@@ -31,16 +30,16 @@ i1 AS (SELECT *, CASE WHEN us - LAG(us) OVER (PARTITION BY user_id ORDER BY us,
 isl AS (SELECT *, SUM(s) OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM i1)"""
 
 
-#: Keys of so many rows are cut into splits in the ``…_split`` queries, so that those paths are compared, too.
-FEW_ROWS = 8
+#: Keys of so many rows are cut into ranges in the ``…_split`` queries, so that those paths are compared, too.
+FEW_ROWS = scan.Limits(rows=8, ranges=16)
 GAP_SQL = f"""WITH {ISLAND_SQL} SELECT user_id, CAST(n AS BIGINT) AS cluster_no, COUNT(*) AS size,
   CAST(MAX(us) - MIN(us) AS BIGINT) AS extent, CAST((SUM(us - 1704067200000000) // COUNT(*)) AS BIGINT) AS center FROM isl GROUP BY 1, 2"""
 
 
 @query("gap_cluster", GAP_SQL)
-def gap_cluster(spark, sf, hot_rows=scan.HOT_ROWS):
+def gap_cluster(spark, sf, limits=scan.LIMITS):
     rows = events(spark, sf).select("user_id", "event_id", (F.col("at") - 1704067200000000).alias("at"))
-    islands = scan.islands(rows, ["user_id"], ["at", "event_id"], F.floor(F.col("at") / DAY), "at", GAP, "cluster_no", hot_rows)
+    islands = scan.islands(rows, ["user_id"], ["at", "event_id"], "at", GAP, "cluster_no", limits)
     return islands.groupBy("user_id", F.col("cluster_no").cast("bigint").alias("cluster_no")).agg(
         F.count(F.lit(1)).alias("size"), (F.max("at") - F.min("at")).alias("extent"),
         F.expr("sum(at) div count(1)").alias("center"),
@@ -58,10 +57,9 @@ def gap_cluster_split(spark, sf):
   CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) OVER w AS BIGINT) AS so_far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
 )
 def ordered_windows_split(spark, sf):
-    """Rank, lag and running sum of users whose events are cut into splits of a few."""
+    """Rank, lag and running sum of users whose events are cut into ranges of a few."""
     rows = events(spark, sf).select("user_id", "event_id", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
-    split = F.expr("event_id div 50")
-    args = (["user_id"], ["event_id"], split)
+    args = (["user_id"], ["event_id"])
     rows = scan.ordered_rank(rows, *args, "place", FEW_ROWS)
     rows = scan.ordered_lag(rows, *args, "event_type", "before", FEW_ROWS)
     rows = scan.ordered_running_sum(rows, *args, "cents", "so_far", FEW_ROWS)
@@ -100,7 +98,7 @@ def subdivide_columns(spark, sf):
     bounds = table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("f"), F.col("l_quantity").cast("bigint").alias("bound")
     ).distinct()
-    cut = grid.subdivide(bounds, ["f"], 4, F.floor(F.col("bound") / 10))
+    cut = grid.subdivide(bounds, ["f"], 4)
     return cut.select("f", F.round(F.col("bound") * 1000).cast("bigint").alias("bound"))
 
 
@@ -111,18 +109,18 @@ SELECT event_id, CASE WHEN g = 0 THEN NULL ELSE FIRST_VALUE(CASE WHEN event_type
 
 
 @query("carry_forward", CARRY_SQL)
-def carry_forward(spark, sf, split=None, hot_rows=scan.HOT_ROWS):
+def carry_forward(spark, sf, limits=scan.LIMITS):
     """A label opens at each purchase and is cleared by an error."""
     rows = events(spark, sf).select("user_id", "event_id", "event_type")
     label = F.when(F.col("event_type") == "purchase", F.concat(F.lit("p"), F.col("event_id").cast("string")))
     return scan.carry_forward(
-        rows, ["user_id"], ["event_id"], scan.numeric_split("event_id") if split is None else split, label, "label", F.col("event_type") == "error", hot_rows
+        rows, ["user_id"], ["event_id"], label, "label", F.col("event_type") == "error", limits
     ).select("event_id", "label")
 
 
 @query("carry_forward_split", CARRY_SQL)
 def carry_forward_split(spark, sf):
-    return carry_forward(spark, sf, F.expr("event_id div 50"), FEW_ROWS)
+    return carry_forward(spark, sf, FEW_ROWS)
 
 
 @query(
@@ -148,7 +146,7 @@ GROUP_SQL = """c AS (SELECT *, SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OV
 def wrapped(spark, sf, part_rows=None):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     merged = reshape.merge_wrapped(
-        rows, ["conv_id"], "turn", scan.numeric_split("turn"), "text", F.col("role") == "user", part_rows=part_rows
+        rows, ["conv_id"], "turn", "text", F.col("role") == "user", part_rows=part_rows
     )
     return merged.withColumns({"group_no": F.col("group_no").cast("bigint"), "label_md5": F.md5("label")}).drop("label")
 
@@ -185,7 +183,7 @@ SELECT event_id, CAST(h AS BIGINT) AS header_no,
 def ordinal_restart(spark, sf):
     rows = events(spark, sf).select("user_id", "event_id", "event_type")
     out = reshape.ordinal_in_group(
-        rows, ["user_id"], "event_id", scan.numeric_split("event_id"), F.col("event_type") == "purchase"
+        rows, ["user_id"], "event_id", F.col("event_type") == "purchase"
     )
     return out.select("event_id", F.col("header_no").cast("bigint").alias("header_no"), "ordinal")
 
@@ -200,7 +198,7 @@ def attach_rates(spark, sf):
     """A click takes the value of a view that directly follows it."""
     rows = events(spark, sf).select("user_id", "event_id", "event_type", "value")
     out = reshape.attach_following(
-        rows, ["user_id"], "event_id", scan.SPLIT_ROWS, F.col("event_type") == "click", F.col("event_type") == "view", "value", "rate"
+        rows, ["user_id"], "event_id", F.col("event_type") == "click", F.col("event_type") == "view", "value", "rate"
     )
     return out.select("event_id", F.round(F.col("rate") * 100).cast("bigint").alias("rate_cents"))
 
@@ -236,7 +234,7 @@ def section_positions(spark, sf):
     rows = events(spark, sf).select(
         "user_id", "event_id", F.when(F.col("event_type").isin("click", "view"), "x").otherwise("y").alias("printed"))
     out = reshape.positional_labels(
-        rows, ["user_id"], "event_id", scan.numeric_split("event_id"), SECTIONS, LABELS, "printed")
+        rows, ["user_id"], "event_id", SECTIONS, LABELS, "printed")
     return out.select("event_id", "section", "label", "ok", "complete")
 
 
@@ -272,7 +270,7 @@ def token_lines(spark, sf):
         F.expr(f"event_id div {PAGE}").alias("page"), F.col("event_id").alias("x"),
         F.round(F.col("value") * 100).cast("bigint").alias("top"), F.substring("event_type", 1, 1).alias("c"),
     )
-    out = grid.token_lines(tokens, ["page"], "top", "x", "c", 10, F.floor(F.col("top") / 1000))
+    out = grid.token_lines(tokens, ["page"], "top", "x", "c", 10)
     return out.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
@@ -441,6 +439,6 @@ def nested_list_parts(spark, sf):
     """Lists of any length, in consecutive parts."""
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
     parts = nest_in_parts(
-        orders, ["o_custkey"], ["o_orderkey"], scan.numeric_split("o_orderkey"), ["o_orderkey", "o_orderpriority"], "items", 4)
+        orders, ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_orderpriority"], "items", 4)
     body = F.array_join(F.transform("items", lambda x: F.concat(x["o_orderkey"].cast("string"), F.lit("="), x["o_orderpriority"])), ",")
     return parts.select("o_custkey", "part_no", F.size("items").cast("bigint").alias("items"), body.alias("body"))

@@ -11,10 +11,10 @@ from ..session import cut_lineage
 from .scan import islands, join_null_safe, ordered_lag
 
 
-def cluster_means(df: DataFrame, keys: Sequence[str], value: str, tol: float, split: Column, tie: str | None = None) -> DataFrame:
+def cluster_means(df: DataFrame, keys: Sequence[str], value: str, tol: float, tie: str | None = None) -> DataFrame:
     """Clusters of near positions with mean, extent and size, numbered from 1 per key."""
     order = [value, tie] if tie else [value]
-    return islands(df, keys, order, split, value, tol, "cluster_no").groupBy(*keys, "cluster_no").agg(
+    return islands(df, keys, order, value, tol, "cluster_no").groupBy(*keys, "cluster_no").agg(
         F.avg(value).alias("center"), F.min(value).alias("low"), F.max(value).alias("high"),
         F.count(F.lit(1)).alias("size"),
     )
@@ -35,9 +35,9 @@ def bin_by_bounds(df: DataFrame, bounds: DataFrame, keys: Sequence[str], value:
     ).drop("__b")
 
 
-def subdivide(bounds: DataFrame, keys: Sequence[str], n: int, split: Column, bound: str = "bound") -> DataFrame:
+def subdivide(bounds: DataFrame, keys: Sequence[str], n: int, bound: str = "bound") -> DataFrame:
     """Each interval between neighbouring bounds cut into ``n`` equal parts."""
-    lagged = ordered_lag(bounds, keys, [bound], split, bound, "__left")
+    lagged = ordered_lag(bounds, keys, [bound], bound, "__left")
     step = (F.col(bound) - F.col("__left")) / n
     inner = F.when(
         F.col("__left").isNotNull(), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.col("__left") + step * k)
@@ -46,13 +46,13 @@ def subdivide(bounds: DataFrame, keys: Sequence[str], n: int, split: Column, bou
 
 
 def token_lines(
-    tokens: DataFrame, keys: Sequence[str], top: str, x: str, text: str, tol: float, split: Column, cell: Sequence[str] = ()
+    tokens: DataFrame, keys: Sequence[str], top: str, x: str, text: str, tol: float, cell: Sequence[str] = ()
 ) -> DataFrame:
     """Bands of tokens whose ``top`` is within ``tol`` of the last one, text in x order.
 
     ``cell`` columns (a bin number) keep the columns of a band apart.
     """
-    banded = islands(tokens, keys, [top, x], split, top, tol, "line_no")
+    banded = islands(tokens, keys, [top, x], top, tol, "line_no")
     parts = F.sort_array(F.collect_list(F.struct(F.col(x).alias("x"), F.col(top).alias("y"), F.col(text).alias("t"))))
     return banded.groupBy(*keys, "line_no", *cell).agg(
         F.count(F.lit(1)).alias("tokens"), F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .scan import numeric_split, ordered_rank
+from .scan import ordered_rank
 
 
 @dataclass
@@ -21,10 +21,10 @@ class Links:
     right_rest: DataFrame
 
 
-def _pair_in_order(left, right, keys, left_order, right_order, split) -> DataFrame:
+def _pair_in_order(left, right, keys, left_order, right_order) -> DataFrame:
     """The k-th left record of a key with the k-th right one; never all pairs of a key."""
-    a = ordered_rank(left, keys, left_order, split(left_order[0]), "__no")
-    b = ordered_rank(right, keys, right_order, split(right_order[0]), "__no")
+    a = ordered_rank(left, keys, left_order, "__no")
+    b = ordered_rank(right, keys, right_order, "__no")
     return a.select(*keys, "__no", left_order[-1]).join(
         b.select(*keys, "__no", right_order[-1]), [*keys, "__no"]
     ).select(left_order[-1], right_order[-1])
@@ -37,7 +37,6 @@ def link(
     right_id: str,
     passes: Sequence[tuple[Sequence[Column], Sequence[Column]]],
     residual: tuple[Sequence[Column], Sequence[Column]] | None = None,
-    split=numeric_split,
     left_order: Sequence[str] = (),
     right_order: Sequence[str] = (),
 ) -> Links:
@@ -46,8 +45,7 @@ def link(
     ``passes``: (left key columns, right key columns); a null key part never links.
     ``residual``: keys under which exactly one record remaining on each side is a
     pair. Ids are unique. Records of one key pair in the order of ``left_order`` and
-    ``right_order`` (file order, say), then of the id; ``split`` makes the split of the
-    first order column. Each pass writes its pairs (two ids per row), so later passes
+    ``right_order`` (file order, say), then of the id. Each pass writes its pairs (two ids per row), so later passes
     do not repeat earlier ones.
     """
     left_order, right_order = [*left_order, left_id], [*right_order, right_id]
@@ -64,7 +62,7 @@ def link(
         names = [f"__k{i}" for i in range(len(lk))]
         found = _pair_in_order(
             keyed(rest(left, left_id), left_order, lk), keyed(rest(right, right_id), right_order, rk),
-            names, left_order, right_order, split,
+            names, left_order, right_order,
         ).withColumn("pass_no", F.lit(no))
         pairs = cut_lineage(found if pairs is None else pairs.unionByName(found))
     if residual is not None:

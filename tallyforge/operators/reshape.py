@@ -26,7 +26,7 @@ def unpivot_groups(
 
 
 def merge_wrapped(
-    df: DataFrame, keys: Sequence[str], order: str, split: Column, label: str, is_head: Column, out: str = "label",
+    df: DataFrame, keys: Sequence[str], order: str, label: str, is_head: Column, out: str = "label",
     part_rows: int | None = None,
 ) -> DataFrame:
     """Join the label of each head row with the rows that continue it.
@@ -37,10 +37,10 @@ def merge_wrapped(
     """
     keys = list(keys)
     flagged = df.withColumn("__head", F.when(is_head, 1).otherwise(0))
-    rows = ordered_running_sum(flagged, keys, [order], split, "__head", "group_no")
+    rows = ordered_running_sum(flagged, keys, [order], "__head", "group_no")
     by = [*keys, "group_no"]
     if part_rows:
-        rows = ordered_rank(rows, by, [order], split, "__no").withColumn(
+        rows = ordered_rank(rows, by, [order], "__no").withColumn(
             "part_no", F.floor((F.col("__no") - 1) / part_rows) + 1
         )
         by = [*by, "part_no"]
@@ -52,11 +52,11 @@ def merge_wrapped(
     )
 
 
-def ordinal_in_group(df: DataFrame, keys: Sequence[str], order: str, split: Column, is_header: Column, out="ordinal") -> DataFrame:
+def ordinal_in_group(df: DataFrame, keys: Sequence[str], order: str, is_header: Column, out="ordinal") -> DataFrame:
     """Reading-order number of each row below its header; headers are 0."""
     flagged = df.withColumn("__head", F.when(is_header, 1).otherwise(0))
-    grouped = ordered_running_sum(flagged, keys, [order], split, "__head", "header_no")
-    ranked = ordered_rank(grouped, [*keys, "header_no"], [order], split, "__no")
+    grouped = ordered_running_sum(flagged, keys, [order], "__head", "header_no")
+    ranked = ordered_rank(grouped, [*keys, "header_no"], [order], "__no")
     # Rows above the first header have no header to count from.
     return ranked.withColumn(
         out, F.when(F.col("header_no") == 0, F.col("__no")).otherwise(F.col("__no") - 1)
@@ -64,13 +64,13 @@ def ordinal_in_group(df: DataFrame, keys: Sequence[str], order: str, split: Colu
 
 
 def attach_following(
-    df: DataFrame, keys: Sequence[str], order: str, split_width: int, is_value: Column, is_rate: Column, rate: str, out: str
+    df: DataFrame, keys: Sequence[str], order: str, is_value: Column, is_rate: Column, rate: str, out: str
 ) -> DataFrame:
     """Value rows with the rate of the directly following rate row, if there is one."""
     marked = df.withColumn("__back", -F.col(order)).withColumn(
         "__next", F.when(is_rate, F.struct(F.col(rate).alias("r")))
     )
-    led = ordered_lag(marked, keys, ["__back"], F.floor(F.col("__back") / split_width), "__next", "__follow")
+    led = ordered_lag(marked, keys, ["__back"], "__next", "__follow")
     return led.where(is_value).withColumn(out, F.col("__follow.r")).drop("__back", "__next", "__follow")
 
 
@@ -89,7 +89,7 @@ def unresolved(df: DataFrame, register: DataFrame, keys: Sequence[str], unreadab
 
 
 def positional_labels(
-    df: DataFrame, keys: Sequence[str], order: str, split: Column, sections: Sequence[str], labels: Sequence[str], printed: str
+    df: DataFrame, keys: Sequence[str], order: str, sections: Sequence[str], labels: Sequence[str], printed: str
 ) -> DataFrame:
     """Section and label by position, with ``ok`` where the printed label agrees.
 
@@ -97,7 +97,7 @@ def positional_labels(
     have neither section nor label.
     """
     n = len(labels)
-    ranked = ordered_rank(df, keys, [order], split, "__no")
+    ranked = ordered_rank(df, keys, [order], "__no")
     counts = df.groupBy(*keys).agg((F.count(F.lit(1)) == n * len(sections)).alias("complete"))
     at = F.col("__no") - 1
     section = F.get(F.array(*[F.lit(s) for s in sections]), F.expr(f"int((__no - 1) div {n})"))

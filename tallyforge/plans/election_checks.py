@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import BLOCK_TOTAL, GRAND_TOTAL, TOTAL, any_required_missing, fold_uncertified, within
 from ..operators import apportion as ap
 from ..operators.linkage import disagreements
-from ..operators.scan import join_null_safe, numeric_split
+from ..operators.scan import join_null_safe
 from ..sources.dimensions import BLOCKS, PREFECTURES, is_prefecture
 from ..sources.schemas import PERSONAL_TABLES, TABLES
 from . import quality as q
@@ -492,7 +492,7 @@ def e3(t, cfg):
 
 @check("E4", "pr_list_entries")
 def e4(t, cfg):
-    got = q.ascending(t["pr_list_entries"], BLOCK_PARTY, "list_rank", "file_ordinal", numeric_split("file_ordinal"))
+    got = q.ascending(t["pr_list_entries"], BLOCK_PARTY, "list_rank", "file_ordinal")
     return q.row_check("E4", "E", "list rank starts at 1 and never falls", got, path("block", "party"), F.col("ok"), path("low", "falls"), E)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import scaled
 from ..functions.text import name_key
 from ..operators.linkage import Links, link
-from ..operators.scan import join_null_safe, numeric_split
+from ..operators.scan import join_null_safe
 from ..sources.dimensions import geography, is_prefecture
 from ..sources.documents import nest
 from . import quality as q
@@ -45,7 +45,7 @@ def link_duals(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, Links]:
     found = link(
         left, right, "cid", "lid",
         [(shown("name_display"), shown("name")), (shown("name_kanji"), shown("name"))], (rest, rest),
-        numeric_split if by_file else (lambda c: F.substring(c, 1, 3)), order, order,
+        order, order,
     )
     return left, right, found
 

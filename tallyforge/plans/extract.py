@@ -16,7 +16,7 @@ from ..functions import labels
 from ..functions.numbers import parse_decimal, parse_int
 from ..functions.text import squash
 from ..operators.grid import header_span, locate_column
-from ..operators.scan import carry_forward, join_null_safe, numeric_split, ordered_running_sum, ordered_rank
+from ..operators.scan import carry_forward, join_null_safe, ordered_running_sum, ordered_rank
 from ..sources.dimensions import BLOCKS, PREFECTURES, is_prefecture
 
 # Header labels of the candidate table and their roles.
@@ -59,7 +59,7 @@ def measures_by_place(
     marked = rows.select("*", label.alias("label"), opens.alias("opens"))
     # The grand total itself no longer belongs to a block.
     held = carry_forward(
-        marked, keys, ["row"], numeric_split("row"), "opens", "block", F.col("label") == labels.GRAND_TOTAL
+        marked, keys, ["row"], "opens", "block", F.col("label") == labels.GRAND_TOTAL
     ).withColumn("block", F.coalesce("block", F.lit("")))
     place = labels.row_label(F.col("label"), is_prefecture("label"), F.col("block"))
     kept = held.withColumn("prefecture", place).where("prefecture IS NOT NULL")
@@ -122,11 +122,10 @@ def vote_totals(cells: DataFrame, keys: Sequence[str], known: Sequence[str] | No
     period = F.lit(None).cast("string")
     for text, name in PERIODS.items():
         period = F.when(F.col("label") == text, name).otherwise(period)
-    split = numeric_split("row")
     kinds = rows.withColumn("period", period).withColumn("is_head", F.when(F.col("label") == "区分", 1).otherwise(0))
-    blocks = ordered_running_sum(kinds, keys, ["row"], split, "is_head", "table_no").where("table_no > 0")
+    blocks = ordered_running_sum(kinds, keys, ["row"], "is_head", "table_no").where("table_no > 0")
     by = [*keys, "table_no"]
-    held = carry_forward(blocks, by, ["row"], split, "period", "of_period")
+    held = carry_forward(blocks, by, ["row"], "period", "of_period")
     cols = held.select("*", F.explode(F.map_entries("cells")).alias("c")).where("c.key > 0").withColumn(
         "text", squash(F.col("c.value"))).withColumn("col", F.col("c.key"))
     names = cols.where("of_period IS NULL").groupBy(*by, "col").agg(
@@ -154,8 +153,7 @@ def candidates(
     joined = squash(F.array_join(F.transform(F.array_sort(F.map_entries("cells")), lambda e: e["value"]), ""))
     header = F.when(joined.contains(HEADER_WORD), labels.parse_header(joined))
     marked = rows.withColumn("__joined", joined).where("__joined <> ''").withColumn("header", header)
-    split = numeric_split("pos")
-    placed = carry_forward(marked, doc, ["pos"], split, "header", "district")
+    placed = carry_forward(marked, doc, ["pos"], "header", "district")
     head = F.col("header").isNotNull()
     districts = placed.where(head).select(
         *doc, *page, F.col("district.area").alias("prefecture"), F.col("district.number").alias("district_no"),
@@ -164,7 +162,7 @@ def candidates(
     people = join_null_safe(placed.where(~head), where_roles, page, "inner")
     numbered = ordered_rank(
         people.withColumn("__area", F.coalesce("district.area", F.lit(""))).withColumn("__nr", F.coalesce("district.number", F.lit(0))),
-        [*doc, "__area", "__nr"], ["pos"], split, "order_in_district")
+        [*doc, "__area", "__nr"], ["pos"], "order_in_district")
 
     def of(role):
         return squash(cell(F.coalesce(F.try_element_at("roles", F.lit(role)), F.lit(-1))))
@@ -211,7 +209,7 @@ def list_entries(rows: DataFrame, headers: DataFrame, keys: Sequence[str], known
         *keys, "pos", "party", F.col("list_rank").cast("int").alias("list_rank"),
         need(F.col("name") != "", F.col("name"), "list entry without a name").alias("name"),
         parse_int(cell(4)).cast("int").alias("elected_order"), labels.list_marks(cell(5), cell(6)).alias("__m"))
-    numbered = ordered_rank(entries, keys, ["pos"], numeric_split("pos"), "ordinal")
+    numbered = ordered_rank(entries, keys, ["pos"], "ordinal")
     return numbered.select(
         *keys, F.col("ordinal").cast("int").alias("ordinal"), "party", "list_rank", "name", "elected_order",
         F.col("elected_order").isNotNull().alias("elected_pr"), F.col("__m.result").alias("smd_result"),

@@ -191,9 +191,9 @@ def contiguous(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     )
 
 
-def ascending(df: DataFrame, keys: Sequence[str], number: str, ordinal: str, split: Column) -> DataFrame:
+def ascending(df: DataFrame, keys: Sequence[str], number: str, ordinal: str) -> DataFrame:
     """Per key: does ``number`` start at 1 and never fall in file order?"""
-    lagged = ordered_lag(df, keys, [ordinal], split, number, "__before")
+    lagged = ordered_lag(df, keys, [ordinal], number, "__before")
     return lagged.groupBy(*keys).agg(
         F.min(number).alias("low"), F.count_if(F.col(number) < F.col("__before")).alias("falls")
     ).withColumn("ok", F.coalesce((F.col("low") == 1) & (F.col("falls") == 0), F.lit(False)))

@@ -22,14 +22,13 @@ def nest(df: DataFrame, keys: Sequence[str], order: Sequence[str], items: Sequen
 
 
 def nest_in_parts(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], split: Column, items: Sequence[str], out: str, part_rows: int
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], items: Sequence[str], out: str, part_rows: int
 ) -> DataFrame:
     """Like ``nest``, but a group becomes consecutive parts of ``part_rows`` items.
 
     Every item is kept; no array, and so no task, ever holds more than one part.
-    ``split`` never decreases along ``order``.
     """
-    ranked = ordered_rank(df, keys, order, split, "__no")
+    ranked = ordered_rank(df, keys, order, "__no")
     parts = ranked.withColumn("part_no", F.floor((F.col("__no") - 1) / part_rows) + 1)
     return nest(parts, [*keys, "part_no"], ["__no"], items, out)
 
