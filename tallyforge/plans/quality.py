@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scan import join_null_safe, ordered_lag, top_by_group
+from ..session import cut_lineage
 
 PASS, WARN, FAIL = "PASS", "WARN", "FAIL"
 SAMPLES = 8
@@ -31,77 +32,107 @@ class Check:
     allow: bool = True
 
 
+@dataclass
+class RowCheck(Check):
+    """A predicate over ``rows``; ``grade`` evaluates all predicates over the same rows in one scan."""
+
+    rows: DataFrame = None
+    subject: Column = None
+    detail: Column = None
+    ok: Column = None
+    per_row: int = 1
+
+
 def row_check(
     check_id: str, category: str, title: str, rows: DataFrame, subject: Column, ok: Column, detail: Column,
     scope: Sequence[str] = (), per_row: int = 1, allow: bool = True,
-) -> Check:
+) -> RowCheck:
     """A predicate that must hold on every row; null counts as broken."""
-    bad = rows.where(~F.coalesce(ok, F.lit(False))).select(
-        *scope, subject.cast("string").alias("subject"), detail.cast("string").alias("detail")
-    )
-    return Check(check_id, category, title, count_subjects(rows, scope, per_row), bad, allow)
+    subject, detail, ok = subject.cast("string"), detail.cast("string"), F.coalesce(ok, F.lit(False))
+    bad = rows.where(~ok).select(*scope, subject.alias("subject"), detail.alias("detail"))
+    return RowCheck(
+        check_id, category, title, count_subjects(rows, scope, per_row), bad, allow, rows, subject, detail, ok, per_row)
 
 
 def count_subjects(rows: DataFrame, scope: Sequence[str] = (), per_row: int = 1) -> DataFrame:
     return rows.groupBy(*scope).agg((F.count(F.lit(1)) * per_row).alias("n"))
 
 
+META = ["check_id", "category", "title", "allow"]
+
+
+def _meta(c: Check) -> list[Column]:
+    return [F.lit(getattr(c, m)).alias(m) for m in META]
+
+
+def _outcome(c: Check, subject: Column, detail: Column, n: Column, bad: Column) -> Column:
+    return F.struct(
+        *_meta(c), subject.cast("string").alias("subject"), detail.cast("string").alias("detail"),
+        n.cast("bigint").alias("n"), bad.cast("bigint").alias("bad"))
+
+
+def outcomes(checks: Sequence[Check], scope: Sequence[str] = ()) -> DataFrame:
+    """Rows (scope, check, subject, detail, n subjects, bad violations) of all checks.
+
+    All row checks over one DataFrame share a scan: a row emits an array with one outcome
+    per check. Outcomes that hold carry no subject, so that they add up to a single row per task.
+    """
+    none = F.lit(None).cast("string")
+    by_rows: dict[int, list[RowCheck]] = {}
+    parts = []
+    for c in checks:
+        if isinstance(c, RowCheck):
+            by_rows.setdefault(id(c.rows), []).append(c)
+        else:
+            parts.append(c.subjects.select(*scope, _outcome(c, none, none, F.col("n"), F.lit(0)).alias("__x")))
+            parts.append(c.violations.select(
+                *scope, _outcome(c, F.col("subject"), F.col("detail"), F.lit(0), F.lit(1)).alias("__x")))
+    for same in by_rows.values():
+        parts.append(same[0].rows.select(*scope, F.explode(F.array(*[
+            _outcome(c, F.when(~c.ok, c.subject), F.when(~c.ok, c.detail), F.lit(c.per_row), (~c.ok).cast("int"))
+            for c in same])).alias("__x")))
+    if not scope:
+        # A check without any row is still reported.
+        spark = parts[0].sparkSession
+        parts.append(spark.range(1).select(F.explode(F.array(*[_outcome(c, none, none, F.lit(0), F.lit(0)) for c in checks])).alias("__x")))
+    return reduce(DataFrame.unionByName, parts).select(*scope, "__x.*")
+
+
 def grade(
     checks: Sequence[Check], register: DataFrame | None = None, scope: Sequence[str] = (), samples: int = SAMPLES
 ) -> DataFrame:
     """One row per (scope, check): status, subjects, failures, known, first samples.
 
-    FAIL when a violation is not registered, WARN when all of them are, else PASS. All
-    checks are one plan; every violation is counted with map-side combine, and only
-    the first few per check are gathered.
+    FAIL when a violation is not registered, WARN when all of them are, else PASS. One
+    aggregate over the outcomes of all checks leaves a row per check and a row per distinct
+    violation; it is written, and counts and first samples are taken from it.
     """
     scope = list(scope)
-    meta = ["check_id", "category", "title"]
-
-    def tagged(df, c, *cols):
-        return df.select(
-            *scope, F.lit(c.check_id).alias("check_id"), F.lit(c.category).alias("category"),
-            F.lit(c.title).alias("title"), *cols,
-        )
-
-    subjects = reduce(DataFrame.unionByName, [tagged(c.subjects, c, "n") for c in checks])
-    found = reduce(
-        DataFrame.unionByName,
-        [tagged(c.violations, c, "subject", "detail", F.lit(c.allow).alias("allow")) for c in checks],
-    )
-    keys = [*scope, *meta]
+    keys = [*scope, "check_id", "category", "title"]
+    found = cut_lineage(outcomes(checks, scope).groupBy(*scope, *META, "subject", "detail").agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     if register is not None:
         known = register.select(
             *[c for c in scope if c in register.columns], "check_id", "subject", F.lit(True).alias("__known")
         ).distinct()
-        on = [c for c in known.columns if c != "__known"]
-        found = join_null_safe(found, known, on, "left")
+        found = join_null_safe(found, known, [c for c in known.columns if c != "__known"], "left")
     else:
         found = found.withColumn("__known", F.lit(None).cast("boolean"))
     found = found.withColumn("known", F.coalesce("__known", F.lit(False)) & F.col("allow")).drop("__known")
     counts = found.groupBy(*keys).agg(
-        F.count_if(~F.col("known")).alias("fail_count"), F.count_if("known").alias("known_count")
-    )
-    first = top_by_group(
-        found.where(~F.col("known")), keys, [F.col("subject"), F.col("detail")], samples, ["subject", "detail"], "__no"
-    ).groupBy(*keys).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("__no", "subject"))), lambda x: x["subject"]), "; "
-        ).alias("samples")
-    )
-    totals = subjects.groupBy(*keys).agg(F.sum("n").alias("subject_count"))
-    # A data set may have violations of a check without having subjects for it.
-    every = totals.unionByName(
-        join_null_safe(counts, totals.select(*keys), keys, "left_anti").select(*keys, F.lit(0).cast("bigint").alias("subject_count"))
-    )
-    out = join_null_safe(join_null_safe(every, counts, keys, "left"), first, keys, "left")
-    fails = F.coalesce("fail_count", F.lit(0))
-    knowns = F.coalesce("known_count", F.lit(0))
-    return out.select(
+        F.sum("n").alias("subject_count"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("bad"))).alias("fail_count"),
+        F.sum(F.when(F.col("known"), F.col("bad")).otherwise(0)).alias("known_count"))
+    wrong = found.where("NOT known AND bad > 0")
+    first = top_by_group(wrong, keys, [F.col("subject"), F.col("detail")], samples, ["subject", "detail"], "__no")
+    # A violation that occurs several times is named so often.
+    named = F.struct("__no", F.array_repeat("subject", F.least("bad", F.lit(samples)).cast("int")).alias("s"))
+    listed = F.flatten(F.transform(F.sort_array(F.collect_list(named)), lambda x: x["s"]))
+    first = first.groupBy(*keys).agg(F.array_join(F.slice(listed, 1, samples), "; ").alias("samples"))
+    fails, knowns = F.col("fail_count"), F.col("known_count")
+    return join_null_safe(counts, first, keys, "left").select(
         *keys,
         F.when(fails > 0, FAIL).when(knowns > 0, WARN).otherwise(PASS).alias("status"),
-        "subject_count", fails.alias("fail_count"), knowns.alias("known_count"),
-        F.coalesce("samples", F.lit("")).alias("samples"),
+        "subject_count", "fail_count", "known_count", F.coalesce("samples", F.lit("")).alias("samples"),
     )
 
 

@@ -81,6 +81,25 @@ def test_grade_counts_and_samples(spark):
     assert got["T3"].status == "WARN" and got["T4"].status == "FAIL"
 
 
+def test_checks_of_a_table_share_a_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([("x", 1, 2), ("x", 1, 2), (None, 3, 2), ("y", 2, None), ("z", 2, 2)], "k string, a int, b int").write.parquet(path)
+    rows = spark.read.parquet(path)
+    checks = [
+        q.row_check("T1", "T", "small", rows, F.col("k"), F.col("a") < 2, F.col("a")),
+        q.row_check("T2", "T", "given", rows, F.col("k"), F.col("b") == 2, F.col("b"), per_row=2),
+        q.row_check("T3", "T", "any", rows, F.col("k"), F.lit(True), F.col("b")),
+    ]
+    plan = q.outcomes(checks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    got = {r.check_id: (r.status, r.subject_count, r.fail_count, r.samples) for r in q.grade(checks).collect()}
+    assert got == {"T1": ("FAIL", 5, 3, "y; z"), "T2": ("FAIL", 10, 1, "y"), "T3": ("PASS", 5, 0, "")}
+    twice = q.row_check("T4", "T", "never", rows.where("k = 'x'"), F.col("k"), F.lit(None).cast("boolean"), F.col("a"))
+    none = q.row_check("T5", "T", "no rows", rows.where("k = '?'"), F.col("k"), F.lit(False), F.col("a"))
+    got = {r.check_id: (r.status, r.subject_count, r.fail_count, r.samples) for r in q.grade([twice, none]).collect()}
+    assert got == {"T4": ("FAIL", 2, 2, "x; x"), "T5": ("PASS", 0, 0, "")}
+
+
 def test_contiguous_and_ascending(spark):
     df = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 2, 0), ("b", 3, 1), ("c", 1, 0), ("c", 1, 1), ("d", 1, 0), ("d", 3, 1), ("d", 2, 2)],
                                "k string, n int, o long")
