@@ -10,16 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .scan import join_null_safe
 
 VOTES = "decimal(28,10)"
-#: Sums of the receivers of one bag, below 10^12 votes, and points of a bag; so narrow that a quotient keeps 16 places.
-_SUM, _SHARE = "decimal(22,10)", "decimal(17,16)"
+#: The same as whole units of 10^-10 votes, and what one digit of a quotient counts: a product of both has 38 places.
+_UNITS, _DIGIT = "decimal(28,0)", 10**10
 _SEQ_STEP = 1 << 32
 
 
@@ -99,6 +100,29 @@ def _standing(parcels: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _units(votes: Column) -> Column:
+    return (votes.cast(VOTES) * F.lit(_DIGIT)).cast(_UNITS)
+
+
+def _quotient(part: Column, whole: Column) -> Column:
+    """``part / whole`` of units, at most 1, to 30 places: three digits to the base 10^10 by long division."""
+    digits = []
+    for _ in range(3):
+        ahead = part * F.lit(_DIGIT)
+        digits.append(F.call_function("div", ahead, whole))
+        part = (ahead % whole).cast(_UNITS)
+    return F.array(*digits)
+
+
+def _portion(units: Column, digits: Column) -> Column:
+    """Votes that ``digits`` of a quotient are of ``units``, rounded down to a unit."""
+    carry = F.lit(0)
+    for i in (2, 1, 0):
+        product = units * digits[i] + carry
+        carry = ((product - product % F.lit(_DIGIT)) / F.lit(_DIGIT)).cast(_UNITS)
+    return (carry * F.lit(Decimal("1e-10"))).cast(VOTES)
+
+
 def _redistribute(parcels: DataFrame, standing: DataFrame, accepts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All parcels of the open contests after this round, marked kept, moved or gone."""
     columns = [*keys, "round", "name", "party", "src", "layer", "route", "votes", "pieces", "seq"]
@@ -137,13 +161,13 @@ def _redistribute(parcels: DataFrame, standing: DataFrame, accepts: DataFrame, k
         F.when(some, F.col("__base")).otherwise(F.col("__same")).cast(VOTES).alias("__base"),
     ).unionByName(even)
     # A receiver gets what lies between two points of the bag. The last point is all of it, so no vote is lost.
-    upto = F.sum("total").over(Window.partitionBy(*keys, "target", "route").orderBy("name")).cast(_SUM)
+    upto, base = F.sum("total").over(Window.partitionBy(*keys, "target", "route").orderBy("name")), _units(F.col("__base"))
     receivers = receivers.select(
         *keys, "target", "route", "name", "party",
-        ((upto - F.col("total").cast(_SUM)).cast(_SUM) / F.col("__base").cast(_SUM)).cast(_SHARE).alias("__from"),
-        (upto / F.col("__base").cast(_SUM)).cast(_SHARE).alias("__to"))
+        _quotient(_units(upto - F.col("total")), base).alias("__from"), _quotient(_units(upto), base).alias("__to"))
+    units = _units(F.col("votes"))
     part = F.when(F.col("__to").isNull(), F.col("votes")).otherwise(
-        (F.col("votes") * F.col("__to")).cast(VOTES) - (F.col("votes") * F.col("__from")).cast(VOTES)).cast(VOTES)
+        _portion(units, F.col("__to")) - _portion(units, F.col("__from"))).cast(VOTES)
     arrived = join_null_safe(moved, receivers, [*keys, "target", "route"], "left").withColumn("votes", part)
     return kept.select(*columns, F.lit("kept").alias("state")).unionByName(
         arrived.select(*columns, F.when(F.col("name").isNull(), "gone").otherwise("moved").alias("state"))
@@ -165,7 +189,7 @@ def runoff(candidates: DataFrame, layers: DataFrame, orderings: DataFrame, keys:
     """Instant runoff per contest until a majority of continuing votes or one is left.
 
     candidates: keys, name (unique in a contest), party, votes · layers: voter, layer,
-    weight, rejects · orderings: voter, pos, target.
+    weight, rejects · orderings: voter, pos, target. The votes of a contest are below 10^18.
 
     Two small tables are written per round. The round number is a column, so every
     round runs the same generated code.
