@@ -175,10 +175,11 @@ def _complete(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percen
 
         size = 0
         for batch in batches:
-            for a, b, cls, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            # Texts leave the batch one at a time: a batch of them is large.
+            for a, b, cls, t in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 c = cache.get(cls)
                 if c is None:
-                    w = words_of(t)
+                    w = words_of(t.as_py())
                     c = columns_of(known.of(w, len(w)), n)
                     if class_of(c) != cls:  # another row with the same doc_id
                         continue
@@ -192,7 +193,7 @@ def _complete(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percen
                         held = None
                 else:
                     held = (a, b, cls, c)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     yield product()
                     block, size = [], 0
         if block:
